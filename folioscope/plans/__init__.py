@@ -1 +1,3 @@
 """Queries over the driver's tables, one module for each subsystem."""
+
+from folioscope.plans import catalogue, citations  # noqa: F401
