@@ -157,9 +157,17 @@ def distances(ref: dict) -> tuple[Column, Column]:
 
 
 def judge(
-    docs: DataFrame, most_class: float = 0.30, most_word: float = 0.50, least_words: int = 80, base_words: int = 50
+    docs: DataFrame,
+    most_class: tuple[float, float] = (0.22, 0.7),
+    most_word: tuple[float, float] = (0.17, 1.3),
+    least_words: int = 80,
+    base_words: int = 50,
 ) -> DataFrame:
-    """Counts, base verdict, nearest language, both distances and ``kept``, one row for each of ``docs``."""
+    """Counts, base verdict, nearest language, both distances and ``kept``, one row for each of ``docs``.
+
+    A distance from few words is noise in good part, which shrinks with the root of their number, so a limit (a, b)
+    stands for a + b / sqrt(n_words).
+    """
     table = materialize(features(docs), "quality-features")
     n, ok = F.col("n_words"), F.lit(True)
     failed = (n < base_words) | (100 * F.col("n_repeat_words") > 50 * n)
@@ -173,7 +181,8 @@ def judge(
         best = F.when(n > 0, F.array_min(options))
         table = table.withColumn("best", best)
         near, class_d, word_d = F.col("best.lang"), F.col("best.class_d"), F.col("best.word_d")
-        ok = (class_d <= most_class) & ((n < least_words) | (word_d <= most_word))
+        limit = lambda ab: ab[0] + ab[1] / F.sqrt(F.greatest(n, F.lit(1)))
+        ok = (class_d <= limit(most_class)) & ((n < least_words) | (word_d <= limit(most_word)))
     return table.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"), (~failed & F.coalesce(ok, F.lit(False))).alias("kept"),
