@@ -184,7 +184,7 @@ class Memo(dict):
 class Encoder:
     """From raw text to ids, by white-space-separated words; short words are remembered."""
 
-    def __init__(self, path: str, max_entries: int = 400_000):
+    def __init__(self, path: str, max_entries: int = 160_000):
         spec = json.load(open(path, encoding="utf-8"))
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
@@ -288,7 +288,7 @@ def encode_decode(
     docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", style: str = "library"
 ) -> DataFrame:
     """Rows (doc_id, n_tokens, ids, decoded), one for each row of ``docs``; no shuffle."""
-    ensure_workers(docs.sparkSession)
+    ensure_workers(docs.sparkSession, 64)  # texts, ids and decoded texts of a batch are in memory together
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = encoder(path)
