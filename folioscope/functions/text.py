@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed patterns of paper identifiers.
 ID_BODY = r"(?:\d{4}\.\d{4,5}|[a-z][a-z0-9.\-]+/\d{7})"
 VERSION = r"(?:v\d+)?"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_search_text(s: pd.Series) -> pd.Series:
     """NFKD, marks dropped, lower case, everything but letters and numbers to single spaces."""
 
@@ -26,7 +27,7 @@ def normalize_search_text(s: pd.Series) -> pd.Series:
     return s.map(one, na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def author_key(s: pd.Series) -> pd.Series:
     """NFKC, case-folded, white space collapsed; null stays null."""
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
@@ -47,7 +48,7 @@ def strip_descriptor(c: Column, label: str) -> Column:
 
 def split_list(c: Column, separators: str = ",;") -> Column:
     """Parts between separators, trimmed, empties dropped."""
-    return F.filter(F.transform(F.split(c, f"[{separators}]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, f"[{separators}]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def strip_reference_label(c: Column) -> Column:
@@ -96,7 +97,7 @@ def is_substantive(c: Column) -> Column:
 
 def author_label(names: Column, most: int = 4, most_chars: int = 80) -> Column:
     """A collaboration's name; else one or two names; else up to ``most`` short ones; else "X et al."."""
-    names = F.filter(F.transform(names, F.trim), lambda x: x != "")
+    names = F.filter(F.transform(names, lambda x: F.trim(x)), lambda x: x != "")
     group = F.get(F.filter(names, lambda x: x.rlike(r"(?i)\b(?:collaboration|consortium)\b")), F.lit(0))
     whole, n = F.array_join(names, ", "), F.size(names)
     short = (n <= 2) | ((n <= most) & (F.length(whole) <= most_chars))

@@ -1,3 +1,3 @@
 """Queries over the driver's tables, one module for each subsystem."""
 
-from folioscope.plans import catalogue, citations, maintenance, maps  # noqa: F401
+from folioscope.plans import catalogue, citations, maintenance, maps, web  # noqa: F401
