@@ -80,11 +80,12 @@ def bag_min_hash(hashes: np.ndarray, size: int) -> np.ndarray:
     if not len(hashes):
         return least.view(np.uint64)
     keys, weights = np.unique(hashes, return_counts=True)
-    parts = [(keys, np.ones(len(keys)), np.zeros(len(keys)), weights)]
+    # each interval's process has a seed of its own, mixed before steps are added to it
+    parts = [(mix64(keys), np.ones(len(keys)), np.zeros(len(keys)), weights)]
     low = 1  # dyadic intervals [0,1), [1,2), [2,4), ... as far as a weight reaches
     while (more := weights > low).any():
         n = int(more.sum())
-        parts.append((keys[more] + np.uint64(low * int(GOLD) & MASK), np.full(n, float(low)), np.full(n, float(low)), weights[more]))
+        parts.append((mix64(keys[more] + np.uint64(low * int(GOLD) & MASK)), np.full(n, float(low)), np.full(n, float(low)), weights[more]))
         low *= 2
     seed, width, start, weight = (np.concatenate(x) for x in zip(*parts))
     time, step = np.zeros(len(seed)), 0
