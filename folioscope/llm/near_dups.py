@@ -89,19 +89,25 @@ def bag_min_hash(hashes: np.ndarray, size: int) -> np.ndarray:
         low *= 2
     seed, width, start, weight = (np.concatenate(x) for x in zip(*parts))
     time, step = np.zeros(len(seed)), 0
-    top = np.inf
     while len(seed):
-        step += 1
-        a = mix64(seed + np.uint64(step * int(GOLD) & MASK))
-        b = mix64(a + GOLD)
-        time = time - np.log((a >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54) / width
-        place = start + np.floor((b >> np.uint64(32)).astype(np.float64) * 2.0**-32 * width)
-        counts = place < weight
-        np.minimum.at(least, (b[counts] & np.uint64(0xFFFFFFFF)).astype(np.int64) % size, time[counts])
-        top = least.max()
-        stay = time < top
-        if not stay.all():
-            seed, width, start, weight, time = seed[stay], width[stay], start[stay], weight[stay], time[stay]
+        # several points of each process at a time, about as many as fill the components
+        ahead = int(min(64, max(1, 3 * size // len(seed))))
+        turns = np.arange(step + 1, step + 1 + ahead, dtype=np.uint64) * GOLD
+        step += ahead
+        a = mix64(seed[:, None] + turns)
+        gap = np.log((a >> np.uint64(32)).astype(np.float64) * 2.0**-32 + 2.0**-33)
+        times = time[:, None] - np.cumsum(gap / width[:, None], axis=1)
+        component = (a & np.uint64(0xFFFFFFFF)) % np.uint64(size)
+        wide = width > 1
+        if wide.any():  # a point of a wide interval counts if its place is below the weight
+            place = (mix64(a[wide] + GOLD) >> np.uint64(32)).astype(np.float64) * 2.0**-32
+            counts = np.ones(times.shape, bool)
+            counts[wide] = start[wide, None] + np.floor(place * width[wide, None]) < weight[wide, None]
+            np.minimum.at(least, component[counts].astype(np.int64), times[counts])
+        else:
+            np.minimum.at(least, component.astype(np.int64).ravel(), times.ravel())
+        stay = times[:, -1] < least.max()
+        seed, width, start, weight, time = seed[stay], width[stay], start[stay], weight[stay], times[stay, -1]
     return least.view(np.uint64)
 
 
