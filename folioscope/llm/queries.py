@@ -39,7 +39,8 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(table(spark, sf_dir, "documents"))
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,4 +135,38 @@ SELECT conv_id, count(*) AS n_turns,
 FROM w GROUP BY conv_id
 """
 
-ORACLE_SQL = {"op10_chat_format": OP10_SQL}
+_COMMON = " UNION ALL ".join(
+    f"SELECT '{lang}' AS lang, unnest([{', '.join(repr(w) for w in words)}]) AS word" for lang, words in quality_rules.COMMON.items()
+)
+_HALF = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+_TERM = f"({_HALF.format('p', 'q')} + {_HALF.format('q', 'p')}) / 2"
+
+OP3_SQL = f"""
+WITH common AS ({_COMMON}),
+d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+tri AS (SELECT doc_id, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS g FROM d, unnest(range(1, greatest(len(w) - 1, 1))) r(i)),
+rep AS (SELECT doc_id, g FROM tri GROUP BY ALL HAVING count(*) > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM tri JOIN rep USING (doc_id, g)) GROUP BY 1),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY 1),
+c AS (SELECT doc_id, lang, len(w) AS n_words, [length(regexp_replace(t, p, '', 'g')) FOR p IN
+  ['[^a-z]+', '[^\\x20\\x09-\\x0D]+', '[^.,]+', '[^#*$%&|<>]+', '[^A-Z]+', '[^0-9]+', '[\\x00-\\x7F]+']] AS k, length(t) AS n FROM d),
+f AS (SELECT doc_id, lang, n_words, n - k[2] AS word_chars, k[4] AS n_symbols, k || [n - list_sum(k)] AS classes, n FROM c),
+found AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, lower(unnest(w)) AS word FROM d) WHERE word IN (SELECT word FROM common) GROUP BY 1, 2),
+langs AS (SELECT lang, sum(n_words) AS words, sum(n) AS chars FROM f WHERE lang IN (SELECT lang FROM common) GROUP BY 1 HAVING sum(n_words) > 0),
+ref_class AS (SELECT lang, i, sum(classes[i]) / any_value(chars) AS q FROM f JOIN langs USING (lang), range(1, 9) r(i) GROUP BY 1, 2),
+ref_word AS (SELECT c.lang, c.word, coalesce(sum(x.n), 0) / any_value(l.words) AS q FROM common c JOIN langs l ON l.lang = c.lang
+  LEFT JOIN (SELECT f.lang, word, found.n FROM found JOIN f USING (doc_id)) x ON x.lang = c.lang AND x.word = c.word GROUP BY 1, 2),
+class_d AS (SELECT doc_id, lang, sqrt(greatest(sum({_TERM}), 0)) AS v FROM (SELECT doc_id, r.lang, classes[i] / n AS p, q FROM f, ref_class r WHERE n_words > 0) GROUP BY 1, 2),
+bins AS (SELECT f.doc_id, r.lang, r.word, coalesce(x.n, 0) / n_words AS p, q FROM f CROSS JOIN ref_word r LEFT JOIN found x ON x.doc_id = f.doc_id AND x.word = r.word WHERE n_words > 0),
+all_bins AS (SELECT doc_id, lang, p, q FROM bins UNION ALL SELECT doc_id, lang, 1 - sum(p), 1 - sum(q) FROM bins GROUP BY 1, 2),
+word_d AS (SELECT doc_id, lang, sqrt(greatest(sum({_TERM}), 0)) AS v FROM all_bins GROUP BY 1, 2),
+best AS (SELECT doc_id, lang, a.v AS c, b.v AS w, row_number() OVER (PARTITION BY doc_id ORDER BY a.v + b.v, lang) AS rn FROM class_d a JOIN word_d b USING (doc_id, lang)),
+g AS (SELECT f.doc_id, n_words, word_chars, n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words, b.lang AS nearest, b.c, b.w,
+  n_words < 50 OR 100 * coalesce(cov.n, 0) > 50 * n_words AS base_failed
+  FROM f LEFT JOIN dup USING (doc_id) LEFT JOIN cov ON cov.doc_id = f.doc_id LEFT JOIN best b ON b.doc_id = f.doc_id AND rn = 1)
+SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(c <= 0.22 + 0.7 / sqrt(greatest(n_words, 1)) AND (n_words < 80 OR w <= 0.17 + 1.3 / sqrt(greatest(n_words, 1))), false) AS kept,
+  nearest, round(c, 6) AS class_distance, round(w, 6) AS word_distance FROM g
+"""
+
+ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op10_chat_format": OP10_SQL}
