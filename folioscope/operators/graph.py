@@ -12,9 +12,8 @@ def mapped_edges(cites: DataFrame, papers: DataFrame, distinct: bool = True) ->
     if distinct:
         edges = edges.where("src <> dst").distinct()
     ids = papers.select("id")
-    return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(
-        ids.withColumnRenamed("id", "dst"), "dst", "left_semi"
-    )
+    edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
+    return edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
 def incoming_counts(edges: DataFrame, papers: DataFrame) -> DataFrame:
