@@ -24,7 +24,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.session import ensure_workers, materialize
@@ -230,8 +230,9 @@ def near_duplicates(
     fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)  # noqa: E731  sizes that can reach it
     for turn in range(6):
         mine = materialize(labelled(), "labelled")
-        in_key = Window.partitionBy("key")
-        open_ = mine.withColumn("low", F.min("comp").over(in_key)).withColumn("high", F.max("comp").over(in_key)).where("low < high")
+        # buckets with more than one class, by a grouped aggregate and a join: a hot bucket is split, not sorted in a task
+        mixed = mine.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        open_ = mine.join(mixed.select("key"), "key", "left_semi")
         open_ = materialize(open_, "open")
         per = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(
             ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n")
