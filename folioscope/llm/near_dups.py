@@ -9,7 +9,7 @@ similarity, at a cost logarithmic in the weights. Bands of components give candi
 candidate pair is verified on the exact multisets.
 
 Links come in rounds, all within buckets of equal band keys: first each text with the smallest
-bucket leader it has, then with its other leaders, then every pair of a bucket whose texts are in
+bucket leader it has, then with a few others, then every pair of a bucket whose texts are in
 different classes still. Pairs within one class need no test, so no class loses a link.
 
 Defined results: null is the empty text; texts with the same words are one class (so are those
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ensure_workers, materialize
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 50, 8
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 6
 BLANK = " \t\n\x0b\x0c\r"
 MASK = (1 << 64) - 1
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -190,76 +190,102 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return label
 
 
+def merge_classes(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label(id, comp)`` with the classes joined that ``links(a, b)`` connect. Only pairs of classes go through
+    ``components``, so later rounds work on what is still apart."""
+    side = lambda c: label.select(F.col("id").alias(c), F.col("comp").alias(f"class_{c}"))
+    apart = links.select("a", "b").join(side("a"), "a").join(side("b"), "b").where("class_a <> class_b")
+    pairs = materialize(apart.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "class-pairs")
+    if pairs.isEmpty():
+        return label
+    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    joined = components(nodes, pairs).select(F.col("id").alias("comp"), F.col("comp").alias("root"))
+    return materialize(label.join(joined, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "classes")
+
+
 def near_duplicates(
-    docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, pairs_per_member: int = 8
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    bands: int = BANDS,
+    rows: int = ROWS,
+    slices: tuple[int, ...] = (8, BANDS),
+    pairs_per_member: int = 16,
+    leaders: int = 4,
+    turns: int = 3,
 ) -> DataFrame:
     """(doc_id, copy_of, class_id, n_links), one for each row of ``docs``: ``copy_of`` is the smallest doc_id
-    with the same words, ``class_id`` the smallest of the class, ``n_links`` the verified links that text has."""
+    with the same words, ``class_id`` the smallest of the class, ``n_links`` the verified links that text has.
+
+    Bands are taken in ``slices``; only buckets whose texts are in different classes by then give rows. Such a
+    bucket's texts are held first against its smallest text, then for at most ``turns`` turns against ``leaders`` texts
+    of it while its classes would make more than ``pairs_per_member`` pairs a text; all pairs left are tested.
+    """
     sigs = materialize(signatures(docs.select(F.col("doc_id").cast("long"), "text"), bands, rows), "signatures")
     distinct = sigs.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "keys")).alias("r"))
-    keyed = distinct.select(F.col("r.doc_id").alias("id"), F.col("r.size").alias("size"), F.explode("r.keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
-    members = materialize(keyed.join(buckets.drop("last"), "key"), "members")
-    ids = members.groupBy("id").agg(F.min("leader").alias("leader"))
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(
-        ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"
-    )
-    texts = materialize(texts.groupBy("doc_id").agg(F.first("text").alias("text")), "candidates")
-    nodes = ids.select("id")
-
-    tested = materialize(ids.where("leader < id").select(F.col("leader").alias("a"), F.col("id").alias("b")), "pairs")
-    links = [materialize(verify(tested, texts, similarity), "links")]
-    label = components(nodes, links[0])
-    rounds = [tested]
-
-    def labelled() -> DataFrame:
-        mine = members.join(label, "id")
-        return mine.select("key", "id", "size", "leader", "comp")
+    reps = materialize(distinct.select("digest", "r.*"), "distinct")
+    arrays = reps.select(F.col("doc_id").alias("id"), "size", "keys")
+    label = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"))
+    links: list[DataFrame] = []
+    tested: list[DataFrame] = []
+    texts: DataFrame | None = None
+    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)  # noqa: E731  sizes that can reach it
 
-    def fresh(pairs: DataFrame) -> DataFrame:
-        done = reduce(DataFrame.union, rounds)
-        return materialize(pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows (key, id, size, comp) of buckets with more than one class, by a grouped aggregate and a join."""
+        keys = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+        return materialize(rows.join(keys.select("key"), "key", "left_semi"), "mixed")
 
     def take(pairs: DataFrame) -> None:
         nonlocal label
-        rounds.append(pairs)
-        links.append(materialize(verify(pairs, texts, similarity), "links"))
-        if not links[-1].isEmpty():
-            label = components(nodes, reduce(DataFrame.union, links))
-
-    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)  # noqa: E731  sizes that can reach it
-    for turn in range(6):
-        mine = materialize(labelled(), "labelled")
-        # buckets with more than one class, by a grouped aggregate and a join: a hot bucket is split, not sorted in a task
-        mixed = mine.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        open_ = mine.join(mixed.select("key"), "key", "left_semi")
-        open_ = materialize(open_, "open")
-        per = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(
-            ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n")
-        )
-        total = per.agg(F.sum("pairs").alias("p"), F.sum("n").alias("n")).first()
-        if not total["n"]:
-            break
-        if total["p"] <= pairs_per_member * total["n"] or turn == 5:
-            one, two = open_.alias("one"), open_.alias("two")
-            rest = one.join(two, F.col("one.key") == F.col("two.key")).where(
-                (F.col("one.id") < F.col("two.id")) & (F.col("one.comp") != F.col("two.comp")) & fits(F.col("one.size"), F.col("two.size"))
+        pairs = pairs.distinct()
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
+        tested.append(materialize(pairs, "pairs"))
+        links.append(materialize(verify(tested[-1], texts, similarity), "links"))
+        label = merge_classes(label, links[-1])
+
+    def ordered(x: str, y: str) -> list[F.Column]:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    start = 0
+    for end in (*[x for x in slices if x < bands], bands):
+        cut = arrays.select("id", "size", F.slice("keys", start + 1, end - start).alias("keys")).join(label, "id")
+        open_ = mixed(cut.select("id", "size", "comp", F.explode("keys").alias("key")))
+        start = end
+        if open_.isEmpty():
+            continue
+        ids = open_.select(F.col("id").alias("doc_id")).distinct()
+        found = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
+        texts = materialize(found.groupBy("doc_id").agg(F.first("text").alias("text")), "candidates")
+        first = open_.groupBy("key").agg(F.min("id").alias("leader"))
+        nearest = open_.join(first, "key").where("leader < id").groupBy("id").agg(F.min("leader").alias("leader"))
+        take(nearest.select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        for turn in range(turns + 1):
+            open_ = mixed(open_.drop("comp").join(label, "id"))
+            per = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(
+                ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n")
             )
-            take(fresh(rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))))
-            break
-        # one leader a bucket against its other classes: the smallest text, of another class each turn
-        chosen = open_.groupBy("key").agg(
-            F.min(F.struct(F.when(F.lit(turn) > 0, F.xxhash64("comp", F.lit(turn))).otherwise(F.lit(0)), "id", "comp", "size")).alias("c")
-        )
-        star = open_.join(chosen, "key").where((F.col("c.comp") != F.col("comp")) & fits(F.col("c.size"), F.col("size")))
-        pairs = star.select(F.least("c.id", "id").alias("a"), F.greatest("c.id", "id").alias("b"))
-        take(fresh(pairs))
-
-    all_links = reduce(DataFrame.union, links)
-    degree = all_links.select(F.col("a").alias("id")).union(all_links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = label.join(degree, "id", "left")
-    reps = distinct.select("digest", F.col("r.doc_id").alias("copy_of"))
-    reps = reps.join(classes, F.col("copy_of") == F.col("id"), "left").select(
-        "digest", "copy_of", F.coalesce("comp", "copy_of").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+            total = per.agg(F.sum("pairs").alias("p"), F.sum("n").alias("n")).first()
+            if not total["n"]:
+                break
+            if total["p"] <= pairs_per_member * total["n"] or turn == turns:
+                one, two = open_.alias("one"), open_.alias("two")
+                rest = one.join(two, F.col("one.key") == F.col("two.key")).where(
+                    (F.col("one.id") < F.col("two.id")) & (F.col("one.comp") != F.col("two.comp")) & fits(F.col("one.size"), F.col("two.size"))
+                )
+                take(rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")))
+                break
+            by = lambda salt: F.min(F.struct(F.xxhash64("comp", F.lit(turn), F.lit(salt)) if salt else F.lit(0), "id", "comp", "size"))  # noqa: B023, E731
+            picked = open_.groupBy("key").agg(*[by(k).alias(f"c{k}") for k in range(leaders)])
+            few = F.array(*[F.struct(*[F.col(f"c{k}.{x}") for x in ("id", "comp", "size")]) for k in range(leaders)])
+            chosen = picked.select("key", F.explode(F.array_distinct(few)).alias("c"))
+            star = open_.join(chosen, "key").where((F.col("c.comp") != F.col("comp")) & fits(F.col("c.size"), F.col("size")))
+            take(star.select(*ordered("c.id", "id")))
+
+    ends = [x.select(F.explode(F.array("a", "b")).alias("id")) for x in links]
+    degree = (reduce(DataFrame.union, ends) if ends else label.select("id").where("1 = 0")).groupBy("id").agg(F.count("*").alias("n_links"))
+    classes = label.join(degree, "id", "left").select(
+        "id", F.col("comp").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
-    return sigs.select("doc_id", "digest").join(reps, "digest").select("doc_id", "copy_of", "class_id", "n_links")
+    known = reps.select("digest", F.col("doc_id").alias("copy_of")).join(classes, F.col("copy_of") == F.col("id"))
+    return sigs.select("doc_id", "digest").join(known.drop("id"), "digest").select("doc_id", "copy_of", "class_id", "n_links")
