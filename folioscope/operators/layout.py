@@ -164,10 +164,15 @@ def relax(x: np.ndarray, y: np.ndarray, r: np.ndarray, gap: float, mobility: np.
     return x, y, max(0.0, worst)
 
 
-def pack(points: DataFrame, gap: float = PAPER_GAP) -> DataFrame:
-    """(group, id, x, y, overlap): members of each group moved apart, groups independent of one another."""
+def pack(points: DataFrame, gap: float = PAPER_GAP, most: int = 3000) -> DataFrame:
+    """(group, id, x, y, overlap): members of each group moved apart, groups independent of one another.
+
+    A group is an island of one map and is packed by one task, so ``most`` bounds it: a larger one is an error.
+    """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > most:
+            raise ValueError(f"a group of {len(pdf)} members; at most {most} are packed together")
         pdf = pdf.sort_values(["rank", "id"]).reset_index(drop=True)
         x, y, worst = relax(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["radius"].to_numpy(float), gap)
         return pd.DataFrame({"group": pdf["group"], "id": pdf["id"], "x": x, "y": y, "overlap": worst})
