@@ -210,8 +210,8 @@ def near_duplicates(
     rows: int = ROWS,
     slices: tuple[int, ...] = (8, BANDS),
     pairs_per_member: int = 16,
-    leaders: int = 4,
-    turns: int = 3,
+    leaders: int = 6,
+    turns: int = 1,
 ) -> DataFrame:
     """(doc_id, copy_of, class_id, n_links), one for each row of ``docs``: ``copy_of`` is the smallest doc_id
     with the same words, ``class_id`` the smallest of the class, ``n_links`` the verified links that text has.
