@@ -228,5 +228,5 @@ def label_wrap(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def id_extract_lookaround(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" arXiv:2401."), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("v2"))
-    rows = docs(spark, sf).select("doc_id", text.bare_ids(said).alias("ids"), text.is_substantive(F.substring("text", 1, 200)).alias("substantive"))
+    rows = docs(spark, sf).select("doc_id", text.bare_ids(said).alias("ids"), text.is_substantive(F.col("text")).alias("substantive"))
     return rows.select("doc_id", F.array_join("ids", ",").alias("ids"), "substantive")

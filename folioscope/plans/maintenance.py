@@ -113,14 +113,14 @@ OBS = f"""{VER}, cat AS (SELECT c_custkey AS id, c_custkey % 9 AS published FROM
     FROM old o FULL JOIN new n ON o.id = n.id AND o.version = n.version LEFT JOIN cat ON cat.id = coalesce(o.id, n.id))"""
 
 
-def observed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def observed(spark: SparkSession, sf: str, held: str = "version <= 20", found: str = "version between 10 and 30") -> tuple[DataFrame, DataFrame]:
     v = vers(spark, sf)
     sha = F.sha2("event_type", 256)
-    old = v.where("version <= 20").select(
+    old = v.where(held).select(
         "id", "version", sha.alias("digest"), F.when(F.col("event_id") % 2 == 0, "relevant").otherwise("excluded").alias("status"), sha.alias("reviewed")
     )
     changed = F.sha2(F.concat("event_type", F.col("version").cast("string")), 256)
-    new = v.where("version between 10 and 30").select("id", "version", F.when(F.col("version") % 5 == 0, changed).otherwise(sha).alias("digest"))
+    new = v.where(found).select("id", "version", F.when(F.col("version") % 5 == 0, changed).otherwise(sha).alias("digest"))
     catalogue = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 9).alias("published"))
     return state.observe(old, new, catalogue), catalogue
 
@@ -130,6 +130,15 @@ def change_detection(spark: SparkSession, sf: str) -> DataFrame:
     return observed(spark, sf)[0]
 
 
+# the sides overlap and leave no version out
+OBS_WHOLE = OBS.replace("version <= 20", "version % 3 <> 0").replace("version BETWEEN 10 AND 30", "version % 3 <> 1")
+
+
+@query(f"WITH {OBS_WHOLE} SELECT id, version, digest, status, reviewed FROM obs")
+def change_detection_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return observed(spark, sf, "version % 3 <> 0", "version % 3 <> 1")[0]
+
+
 QUEUE = """q AS (SELECT d.doc_id, n_chars AS version, sha256(coalesce(source, '')) AS digest, CASE WHEN quality IS NULL THEN 'pending' WHEN quality = 1 AND toxic = 0 THEN 'relevant' WHEN quality = 0 THEN 'excluded' ELSE 'ambiguous' END AS status,
     CASE WHEN quality IS NULL THEN NULL WHEN d.doc_id % 13 = 0 THEN 'other' ELSE sha256(coalesce(source, '')) END AS reviewed, d.doc_id % 2 = 0 AS in_cat, CASE WHEN d.doc_id % 10 <> 0 THEN n_chars - d.doc_id % 3 END AS published,
     d.doc_id IN (SELECT item_id FROM benchmark) AS logged FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
@@ -264,6 +273,24 @@ def violations(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""SELECT 'domain' AS rule, CAST(l_orderkey AS VARCHAR) AS key, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS detail FROM lineitem WHERE l_quantity > 49
+  UNION ALL SELECT 'self', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR) FROM lineitem WHERE l_orderkey = l_partkey
+  UNION ALL SELECT 'foreign', CAST(l_orderkey AS VARCHAR), CAST(l_orderkey AS VARCHAR) FROM lineitem WHERE l_orderkey NOT IN (SELECT p_partkey FROM part)
+  UNION ALL SELECT 'unused', CAST(s_suppkey AS VARCHAR), CAST(s_suppkey AS VARCHAR) FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem)
+  UNION ALL SELECT 'cross', CAST(l_orderkey AS VARCHAR), l_linestatus FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus <> 'F'""")
+def violations_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules of ``violations``, the foreign key and the cross rule over all quantities."""
+    l, p, s = table(spark, sf, "lineitem"), table(spark, sf, "part"), table(spark, sf, "supplier")
+    key = "l_orderkey"
+    return validate.together(
+        validate.rule(l, "domain", F.col("l_quantity") > 49, key, F.col("l_quantity").cast("long")),
+        validate.rule(l, "self", F.col(key) == F.col("l_partkey"), key, F.col("l_partkey")),
+        validate.missing_key(l, "foreign", key, p, "p_partkey", key),
+        validate.missing_key(s, "unused", "s_suppkey", l, "l_suppkey", "s_suppkey"),
+        validate.rule(l, "cross", (F.col("l_returnflag") == "R") & (F.col("l_linestatus") != "F"), key, F.col("l_linestatus")),
+    )
+
+
 @query("""SELECT p_partkey AS id, (SELECT coalesce(max(p_size), -1) FROM part) + row_number() OVER (ORDER BY p_partkey) AS rank FROM part WHERE p_size = 1""")
 def next_rank(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
@@ -288,6 +315,20 @@ def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     return state.insert_ignore(c.where("id % 2 = 0").withColumn("origin", F.lit("old")), c.where("id % 3 = 0").withColumn("origin", F.lit("new")), ["id"])
 
 
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'old' ELSE 'new' END AS origin FROM orders""")
+def upsert_merge_whole(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    new = o.where("id % 3 = 0 or id % 2 <> 0").withColumn("origin", F.lit("new"))
+    return state.upsert(o.where("id % 2 = 0").withColumn("origin", F.lit("old")), new, ["id"])
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM customer""")
+def insert_ignore_whole(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
+    new = c.where("id % 3 = 0 or id % 2 <> 0").withColumn("origin", F.lit("new"))
+    return state.insert_ignore(c.where("id % 2 = 0").withColumn("origin", F.lit("old")), new, ["id"])
+
+
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 48)")
 def delete_not_in(spark: SparkSession, sf: str) -> DataFrame:
     keep = table(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("s_suppkey"))
@@ -381,10 +422,19 @@ def table_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {VER} SELECT id, string_agg(CAST(version AS VARCHAR) || ':' || event_type, ',' ORDER BY version) AS versions FROM v WHERE version <= 12 GROUP BY 1")
 def heads_map(spark: SparkSession, sf: str) -> DataFrame:
-    m = vers(spark, sf).where("version <= 12").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("version", "event_type"))).alias("xs"))
+    return version_lists(vers(spark, sf).where("version <= 12"))
+
+
+def version_lists(v: DataFrame) -> DataFrame:
+    m = v.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("version", "event_type"))).alias("xs"))
     return m.select("id", F.array_join(F.transform("xs", lambda x: F.concat_ws(":", x["version"].cast("string"), x["event_type"])), ",").alias("versions"))
 
 
+@query(f"WITH {VER} SELECT id, string_agg(CAST(version AS VARCHAR) || ':' || event_type, ',' ORDER BY version) AS versions FROM v GROUP BY 1")
+def heads_map_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return version_lists(vers(spark, sf))
+
+
 @query("""WITH p AS (SELECT turn AS page, coalesce(text, '') AS id, conv_id FROM conversations), f AS (SELECT id, min((conv_id, page)) AS first FROM p GROUP BY 1)
   SELECT page, count(*) AS shown, count(*) FILTER ((conv_id, page) = first) AS fresh, count(*) - count(DISTINCT p.id) AS repeats FROM p JOIN f ON f.id = p.id GROUP BY 1""")
 def delta_totals(spark: SparkSession, sf: str) -> DataFrame:
