@@ -1,13 +1,14 @@
 """A corpus pipeline of five stages over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next one's ``docs``; all but the last return the columns of ``documents``.
+again as the next one's ``docs``; all but the last return the columns of ``documents``. The order of the
+mixing stage is that of its files and their rows; the last stage reads it back as ``place``.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, language_id, mixing, near_dups, quality_classifier
@@ -47,8 +48,15 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "n_tokens", "ids")
+    """Token ids of each document, and its place (from 0) in the order of the files that the mixing stage wrote."""
+    number = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("long")
+    named = docs.select("doc_id", "text", number.alias("part"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    # one row a file; their number is that of the shuffle partitions
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    starts = named.groupBy("part", "file").count().select("file", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    placed = named.join(F.broadcast(starts), "file").select("doc_id", "text", (F.col("start") + F.col("row")).alias("place"))
+    encoded = bpe.encode_decode(placed, public_tokenizers.path("word_bpe_49k.json"), place_col="place")
+    return encoded.select("doc_id", "n_tokens", "ids", "place")
 
 
 STAGES = [

@@ -285,9 +285,9 @@ def encoder(path: str) -> Encoder:
 
 
 def encode_decode(
-    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", style: str = "library"
+    docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", style: str = "library", place_col: str | None = None
 ) -> DataFrame:
-    """Rows (doc_id, n_tokens, ids, decoded), one for each row of ``docs``; no shuffle."""
+    """Rows (doc_id, n_tokens, ids, decoded), and place if ``place_col`` is given, one for each row of ``docs``; no shuffle."""
     ensure_workers(docs.sparkSession, 64)  # texts, ids and decoded texts of a batch are in memory together
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,8 +307,11 @@ def encode_decode(
                     pa.array(np.diff(ends).astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())),
                     pa.array(texts, pa.string()),
+                    *b.columns[2:],
                 ],
-                ["doc_id", "n_tokens", "ids", "decoded"],
+                ["doc_id", "n_tokens", "ids", "decoded", *["place"] * (b.num_columns - 2)],
             )
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA)
+    place = [F.col(place_col).cast("long").alias("place")] if place_col else []
+    rows = docs.select(F.col(id_col).cast("long"), F.col(text_col), *place)
+    return rows.mapInArrow(run, SCHEMA + ", place long" * len(place))

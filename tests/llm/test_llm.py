@@ -24,7 +24,7 @@ from folioscope.llm import (
     queries,
     token_counts,
 )
-from folioscope.session import fresh_path, table
+from folioscope.session import fresh_path, materialize, table
 
 from ..conftest import SF
 
@@ -485,6 +485,27 @@ def test_pipeline(spark):
     assert P.run(spark, SF).count() == sizes[-1]
 
 
+def test_pipeline_keeps_the_mixed_order(spark):
+    import corpus_pipeline as P
+
+    sizes = {"a": 2400, "b": 800, "c": 200, "d": 150}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    rows = [(i, f"{s} word " * (1 + i * 7 % 90), "en", s, 1) for i, s in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = materialize(P.mix_sources(spark, docs, SF), "test-mixed")
+    assert len(mixed.inputFiles()) > 1
+    got = sorted((r["place"], r["doc_id"]) for r in P.encode(spark, mixed, SF).collect())
+    assert [p for p, _ in got] == [*range(len(rows))]
+    share = {s: n**0.5 / sum(m**0.5 for m in sizes.values()) for s, n in sizes.items()}
+    seen = collections.Counter()
+    for at, (_, i) in enumerate(got, 1):
+        seen[names[i]] += 1
+        if any(seen[s] == n for s, n in sizes.items()):
+            break  # a source that has ended leaves its slots empty
+        assert all(abs(seen[s] - at * share[s]) < 2 * 32 for s in sizes)
+    assert at > 500
+
+
 def test_queries_return_their_contract(spark):
     want = {
         "op1_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
