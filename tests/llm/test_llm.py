@@ -426,6 +426,35 @@ def test_mixing(spark, odd, none, docs):
     assert order.columns == docs.columns and order.exceptAll(docs).count() == 0 and order.count() == docs.count()
 
 
+def test_mixing_keeps_to_the_exact_weights(spark):
+    sizes = {"hot": 2_000_000, **{f"s{i}": 100_000 for i in range(40)}}
+    targets = {s: n**0.5 for s, n in sizes.items()}
+    blocks = {s: -(-n // 32) for s, n in sizes.items()}
+    total, done = sum(targets.values()), collections.Counter()
+    live = {*sizes}
+    for s, k, slot, release, due in mixing.schedule_all(targets, blocks):
+        assert done[s] == k and release <= slot < due
+        done[s] += 1
+        if done[s] == blocks[s]:
+            live.discard(s)
+        if slot % 97 == 0:
+            assert all(abs(done[x] - (slot + 1) * targets[x] / total) < 1 + 1e-6 for x in live)
+    assert done == blocks and not live
+    # many periods through Spark, a weight far below one slot of a period, one of 0 and more sources than a period has slots
+    df = spark.range(6000).selectExpr("id as doc_id", "case when id < 5000 then 'a' when id < 5900 then 'b' else 'c' || id end as source")
+    weights = {"a": 0.731, "b": 0.2687, **{f"c{i}": 1e-6 for i in range(5900, 5990)}}
+    rows = mixing.mix(df, weights=weights, block_rows=2, period=40, rows_per_bucket=64).collect()
+    assert len(rows) == 6000
+    slots = {r["__mix_slot"]: r["source"] for r in rows}
+    share, seen = {s: w / sum(weights.values()) for s, w in weights.items()}, collections.Counter()
+    for at, slot in enumerate(sorted(slots)):
+        seen[slots[slot]] += 1
+        if seen["b"] < 450 and seen["a"] < 2500:
+            assert slot == at and all(abs(seen[s] - (at + 1) * share[s]) < 1 + 1e-6 for s in weights)
+    last = max(r["__mix_slot"] for r in rows if r["source"] in weights)
+    assert all(r["__mix_slot"] > last for r in rows if r["source"] not in weights)
+
+
 # 10
 
 
