@@ -4,10 +4,12 @@ A text is the multiset of its paragraphs: lines, long ones parted after sentence
 paragraph hashes to a wide vector; a fingerprint is the sum of those vectors modulo powers of two, so
 order doesn't matter and a paragraph is added or taken away by one vector addition.
 
-The vector has a dense part (eight 64-bit lanes; it tells multisets apart) and a sparse part (128
-16-bit lanes in three levels; a paragraph touches one lane of level 0, and with chance 1/8 and 1/64
-one of levels 1 and 2). The share of touched lanes on which two sums agree, read at the first level
-that isn't crowded, is their likeness.
+The vector has a dense part (eight 64-bit lanes; it tells multisets apart) and a sparse part (16-bit
+lanes in ten levels; a paragraph touches one lane of level 0, and with chance 1/8, 1/64, ... one of
+the next levels). The share of touched lanes on which two sums agree, read at the first level
+that isn't crowded, is their likeness. The last level takes 1 of 2^27 paragraphs, so two texts of 2^31 bytes
+each, the longest there are, touch about 16 of its 32 lanes. As hex the first 128 lanes are
+always written, later ones as far as the last that isn't zero.
 
 Defined results: null is the empty text, whose fingerprint is zero; equal texts have equal
 fingerprints and likeness 1; rows with equal ids are ordered by text.
@@ -16,6 +18,7 @@ fingerprints and likeness 1; rows with equal ids are ordered by text.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,8 +29,9 @@ from pyspark.sql import functions as F
 
 from folioscope.session import ensure_workers, materialize
 
-LEVELS = (64, 32, 32)
-STARTS = (0, 64, 96, 128)
+LEVELS = (64, *[32] * 9)
+STARTS = (0, *itertools.accumulate(LEVELS))
+ALWAYS = 128  # lanes
 PART = re.compile(r"(?<=[.!?]) +|\n+")
 
 
@@ -64,7 +68,10 @@ class Fingerprint:
         for level, width in enumerate(LEVELS):
             mask = np.uint64((1 << (3 * level)) - 1)
             here = (v[:, 2] & mask) == 0
-            place = STARTS[level] + (v[here, 3 + level] % np.uint64(width)).astype(np.int64)
+            if not here.any():
+                break  # nor is any in a further level
+            # levels 5 to 9 take the upper halves of the lanes of 0 to 4
+            place = STARTS[level] + ((v[here, 3 + level % 5] >> np.uint64(32 * (level // 5))) % np.uint64(width)).astype(np.int64)
             np.add.at(lanes, place, worth[here])
         if sign > 0:
             self.dense = self.dense + dense
@@ -80,7 +87,9 @@ class Fingerprint:
         self._apply(parts, -1)
 
     def hex(self) -> str:
-        return self.dense.astype("<u8").tobytes().hex() + self.sparse.astype("<u2").tobytes().hex()
+        touched = np.flatnonzero(self.sparse[ALWAYS:])
+        lanes = self.sparse[: ALWAYS + (int(touched[-1]) + 1 if len(touched) else 0)]
+        return self.dense.astype("<u8").tobytes().hex() + lanes.astype("<u2").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         if (self.dense == other.dense).all() and (self.sparse == other.sparse).all():

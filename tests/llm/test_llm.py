@@ -354,6 +354,18 @@ def test_fingerprint_is_homomorphic(parts, more, rng):
     assert two.hex() == three.hex() and two.likeness(three) == 1.0
 
 
+@pytest.mark.parametrize("n", [1600, 6000, 24000, 100_000])
+def test_likeness_of_long_texts(n):
+    near, want = [], []
+    for k in range(20 if n < 50_000 else 6):
+        text, other = (" ".join(f"{c}{k} {i:06d} {i % 7}." for i in range(n)) for c in "ab")
+        edited = fingerprints.edit(text, other)
+        a, b = (collections.Counter(fingerprints.paragraphs(t)) for t in (text, edited))
+        want.append((a & b).total() / (a | b).total())
+        near.append(fingerprints.Fingerprint.of(text).likeness(fingerprints.Fingerprint.of(edited)))
+    assert abs(np.mean(near) - np.mean(want)) < 0.15 and abs(np.mean(want) - 1 / 3) < 0.01
+
+
 # 8
 
 
