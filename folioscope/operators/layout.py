@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import numbers
+from folioscope.session import materialize
 
 #: Fixed layout constants.
 DENSITY, BLEND, MAX_SHIFT, PAPER_GAP, LABEL_GAP = 0.58, 0.06, math.pi / 18, 8.0, 9.0
+GOLDEN = math.pi * (3 - math.sqrt(5))
 MARGIN, CANVAS_STEP, OUTER_GAP, TOLERANCE, MOBILITY = 14.0, 8.0, 16.0, 1e-3, 0.25
 
 
@@ -122,21 +126,35 @@ def enclosing_circle(x: np.ndarray, y: np.ndarray, r: np.ndarray | None = None,
 
 
 def enclosing_circles(points: DataFrame) -> DataFrame:
-    """(group, n, x, y, radius). Only a point farthest in some direction can support the circle, so each group is cut to its
-    convex-position candidates, its extremes in 256 directions, before one task sees it: 256 rows a group at most. The
-    radius is exact to within (1 - cos(pi / 256)), 8e-5 of it."""
+    """(group, n, x, y, radius), exact. A circle is made from few points of a group, at first its extremes in 256
+    directions; then each group's farthest point outside its circle joins them, until no group has one (a point counts as
+    outside beyond 1e-9 of the radius, and the radius ends at the farthest point). The points that a circle is made from are all that one task sees of a group."""
+    points = materialize(points.select("group", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "circle-points")
     turns = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: i * F.lit(2 * math.pi / 256))
     spread = points.select("group", "x", "y", F.explode(turns).alias("turn"))
     along = F.col("x") * F.cos("turn") + F.col("y") * F.sin("turn")
-    sizes = points.groupBy("group").agg(F.count("*").alias("n"))
-    far = spread.groupBy("group", "turn").agg(F.max(F.struct(along.alias("along"), "x", "y")).alias("p")).select("group", "p.x", "p.y").distinct()
-    points = far.join(sizes, "group")
+    far = spread.groupBy("group", "turn").agg(F.max(F.struct(along.alias("along"), "x", "y")).alias("p")).select("group", "p.x", "p.y")
+    held = materialize(far.distinct(), "circle-support")
+    kind = "group int, x double, y double, radius double"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         c = enclosing_circle(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
-        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "n": [pdf["n"].iloc[0]], "x": [c[0]], "y": [c[1]], "radius": [c[2]]})
-
-    return points.select("group", "n", "x", "y").groupBy("group").applyInPandas(one, "group int, n long, x double, y double, radius double")
+        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "x": [c[0]], "y": [c[1]], "radius": [c[2]]})
+
+    while True:
+        circles = materialize(held.groupBy("group").applyInPandas(one, kind), "circles")
+        about = circles.select("group", F.col("x").alias("cx"), F.col("y").alias("cy"), "radius")
+        gone = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
+        last = points.join(about, "group").groupBy("group", "radius").agg(F.max(F.struct(gone.alias("gone"), "x", "y")).alias("p"))
+        last = materialize(last.select("group", "radius", "p.*"), "circle-farthest")
+        out = last.where(F.col("gone") > F.col("radius") * (1 + 1e-9) + 1e-12).select("group", "x", "y")
+        more = materialize(out.join(held, ["group", "x", "y"], "left_anti"), "circle-more")
+        if more.isEmpty():
+            break
+        held = materialize(held.union(more), "circle-support")
+    sizes = points.groupBy("group").agg(F.count("*").alias("n"))
+    ends = last.select("group", F.greatest("radius", "gone").alias("radius"))  # the last bits too: no point is outside
+    return circles.drop("radius").join(ends, "group").join(sizes, "group").select("group", "n", "x", "y", "radius")
 
 
 def relax(x: np.ndarray, y: np.ndarray, r: np.ndarray, gap: float, mobility: np.ndarray | None = None, steps: int = 5000) -> tuple[np.ndarray, np.ndarray, float]:
@@ -164,17 +182,70 @@ def relax(x: np.ndarray, y: np.ndarray, r: np.ndarray, gap: float, mobility: np.
     return x, y, max(0.0, worst)
 
 
+def close_pairs(x: np.ndarray, y: np.ndarray, reach: float, block: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs i < j nearer than ``reach`` (and some others), about ``block`` at a time: each point meets the
+    cells of size ``reach`` about its own. Memory follows the block, not the number of pairs."""
+    cx, cy = np.floor(x / reach).astype(np.int64), np.floor(y / reach).astype(np.int64)
+    cx, cy = cx - cx.min(), cy - cy.min()
+    high = int(cy.max()) + 3
+    cell = cx * high + cy
+    order = np.argsort(cell, kind="stable")
+    ranked = cell[order]
+    for step in (0, 1, high - 1, high, high + 1):  # itself and half of its neighbours; the others find it
+        start, end = np.searchsorted(ranked, ranked + step), np.searchsorted(ranked, ranked + step, "right")
+        if not step:
+            start = np.arange(1, len(order) + 1)
+        n = np.maximum(end - start, 0)
+        upto = np.concatenate([[0], np.cumsum(n)])
+        for low in range(0, int(upto[-1]), block):
+            at = np.arange(low, min(low + block, int(upto[-1])))
+            a = np.searchsorted(upto, at, "right") - 1
+            i, j = order[a], order[start[a] + at - upto[a]]
+            yield np.minimum(i, j), np.maximum(i, j)
+
+
+def relax_near(x: np.ndarray, y: np.ndarray, r: np.ndarray, gap: float, steps: int = 5000) -> tuple[np.ndarray, np.ndarray, float]:
+    """``relax`` for large groups: the same moves, over near pairs only, which are all that can overlap. Overlaps left
+    after ``steps`` are undone by widening the whole layout about its mean, so none stays above the tolerance."""
+    x, y = x.astype(float).copy(), y.astype(float).copy()
+    reach, worst = float(2 * r.max() + gap), 0.0
+    if reach <= 0:
+        return x, y, 0.0
+    for step in itertools.count(1):
+        mx, my, worst, ratio = np.zeros(len(x)), np.zeros(len(x)), 0.0, 1.0
+        for i, j in close_pairs(x, y, reach):
+            dx, dy = x[j] - x[i], y[j] - y[i]
+            d = np.hypot(dx, dy)
+            over = r[i] + r[j] + gap - d
+            same = np.where(d < 1e-9)[0]
+            angle = i[same] * GOLDEN + j[same]
+            dx[same], dy[same], d[same] = np.cos(angle), np.sin(angle), 1.0
+            worst = max(worst, float(over.max(initial=0.0)))
+            ratio = max(ratio, float(((d + over) / d).max(initial=1.0)) if not len(same) else math.inf)
+            hit = over > 0
+            a, b, share = i[hit], j[hit], over[hit] / 2 / d[hit]
+            for move, part in ((mx, share * dx[hit]), (my, share * dy[hit])):
+                move += np.bincount(b, part, len(x)) - np.bincount(a, part, len(x))
+        if worst <= TOLERANCE / 2:
+            break
+        if step >= steps and ratio < 2:
+            x, y = x.mean() + (x - x.mean()) * ratio, y.mean() + (y - y.mean()) * ratio
+        else:
+            x, y = x + mx, y + my
+    return x, y, worst
+
+
 def pack(points: DataFrame, gap: float = PAPER_GAP, most: int = 3000) -> DataFrame:
     """(group, id, x, y, overlap): members of each group moved apart, groups independent of one another.
 
-    A group is an island of one map and is packed by one task, so ``most`` bounds it: a larger one is an error.
+    A group is an island of one map and is packed by one task; above ``most`` members by near pairs, in memory that
+    follows the number of members.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > most:
-            raise ValueError(f"a group of {len(pdf)} members; at most {most} are packed together")
         pdf = pdf.sort_values(["rank", "id"]).reset_index(drop=True)
-        x, y, worst = relax(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["radius"].to_numpy(float), gap)
+        move = relax if len(pdf) <= most else relax_near
+        x, y, worst = move(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["radius"].to_numpy(float), gap)
         return pd.DataFrame({"group": pdf["group"], "id": pdf["id"], "x": x, "y": y, "overlap": worst})
 
     return points.groupBy("group").applyInPandas(one, "group int, id long, x double, y double, overlap double")

@@ -118,6 +118,35 @@ def test_pack():
     assert layout.spiral_place("x", (50, 50), []) == layout.spiral_place("x", (50, 50), [])
 
 
+def test_pack_large_group(spark):
+    """Above ``most`` members a group is packed by near pairs, to the same tolerance."""
+    rng = np.random.default_rng(3)
+    xs = rng.uniform(0, 900, (3200, 2))
+    xs[1] = xs[0]
+    rows = [(1, i, i, float(x), float(y), 3.0) for i, (x, y) in enumerate(xs)]
+    df = spark.createDataFrame(rows, "group int, id long, rank long, x double, y double, radius double")
+    got = layout.pack(df, 1.0).toPandas()
+    assert sorted(got["id"]) == [*range(3200)] and got["overlap"].max() <= 1e-3
+    x, y = got["x"].to_numpy(), got["y"].to_numpy()
+    i, j = np.triu_indices(3200, 1)
+    assert (np.hypot(x[i] - x[j], y[i] - y[j]) >= 7 - 1e-3).all()
+    near = {p for a, b in layout.close_pairs(xs[:, 0], xs[:, 1], 7.0, 1000) for p in zip(a.tolist(), b.tolist())}
+    d = np.hypot(xs[i, 0] - xs[j, 0], xs[i, 1] - xs[j, 1])
+    assert {*zip(i[d < 7].tolist(), j[d < 7].tolist())} <= near
+
+
+def test_enclosing_circles_exact(spark):
+    """Support points between two of the 256 directions are not lost."""
+    turn = 2 * math.pi / 256
+    pts = [(math.cos(a), math.sin(a)) for a in (turn / 2, 2.1 + turn / 2, 4.2 + turn / 2)]
+    pts += [((1 - 2e-5) * math.cos(k * turn), (1 - 2e-5) * math.sin(k * turn)) for k in range(256)]
+    df = spark.createDataFrame([(7, *p) for p in pts] + [(8, 0.0, 0.0)], "group int, x double, y double")
+    got = {r["group"]: r for r in layout.enclosing_circles(df).collect()}
+    c = got[7]
+    assert c["n"] == len(pts) and max(math.hypot(x - c["x"], y - c["y"]) for x, y in pts) <= c["radius"] * (1 + 2e-9)
+    assert abs(c["radius"] - 1) < 1e-8 and (got[8]["n"], got[8]["radius"]) == (1, 0.0)
+
+
 def test_streams(spark, tmp_path):
     from folioscope.streaming import replay
 
