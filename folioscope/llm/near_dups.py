@@ -75,8 +75,9 @@ def shingles(text: str | None, width: int = SHINGLE) -> tuple[bytes, np.ndarray]
 
 
 def bag_min_hash(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Earliest times by component, as raw 64-bit words."""
-    least = np.full(size, np.inf)
+    """Earliest times by component, as 64-bit words. Times are integers (2^-44 units), so their sums are the same
+    however many points are taken at a time."""
+    least = np.full(size, np.iinfo(np.int64).max)
     if not len(hashes):
         return least.view(np.uint64)
     keys, weights = np.unique(hashes, return_counts=True)
@@ -88,15 +89,16 @@ def bag_min_hash(hashes: np.ndarray, size: int) -> np.ndarray:
         parts.append((mix64(keys[more] + np.uint64(low * int(GOLD) & MASK)), np.full(n, float(low)), np.full(n, float(low)), weights[more]))
         low *= 2
     seed, width, start, weight = (np.concatenate(x) for x in zip(*parts))
-    time, step = np.zeros(len(seed)), 0
+    halvings = np.log2(width).astype(np.int64)
+    time, step = np.zeros(len(seed), np.int64), 0
     while len(seed):
         # several points of each process at a time, about as many as fill the components
         ahead = int(min(64, max(1, 3 * size // len(seed))))
         turns = np.arange(step + 1, step + 1 + ahead, dtype=np.uint64) * GOLD
         step += ahead
         a = mix64(seed[:, None] + turns)
-        gap = np.log((a >> np.uint64(32)).astype(np.float64) * 2.0**-32 + 2.0**-33)
-        times = time[:, None] - np.cumsum(gap / width[:, None], axis=1)
+        gap = (np.log((a >> np.uint64(32)).astype(np.float64) * 2.0**-32 + 2.0**-33) * -(2.0**44)).astype(np.int64)
+        times = time[:, None] + np.cumsum(gap >> halvings[:, None], axis=1)
         component = (a & np.uint64(0xFFFFFFFF)) % np.uint64(size)
         wide = width > 1
         if wide.any():  # a point of a wide interval counts if its place is below the weight
@@ -108,6 +110,7 @@ def bag_min_hash(hashes: np.ndarray, size: int) -> np.ndarray:
             np.minimum.at(least, component.astype(np.int64).ravel(), times.ravel())
         stay = times[:, -1] < least.max()
         seed, width, start, weight, time = seed[stay], width[stay], start[stay], weight[stay], times[stay, -1]
+        halvings = halvings[stay]
     return least.view(np.uint64)
 
 

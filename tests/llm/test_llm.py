@@ -259,6 +259,16 @@ def test_bag_min_hash():
 # 5
 
 
+def test_bag_min_hash_is_a_minimum_over_its_shingles():
+    """The signature of a union is the componentwise minimum, so times don't depend on the other shingles."""
+    rng = np.random.default_rng(5)
+    for n in (2, 30, 90, 270):
+        one, two = (np.repeat(rng.integers(1, 2**63, n).astype(np.uint64), 1 + k % 3) for k in (1, 2))
+        both = near_dups.bag_min_hash(np.concatenate([one, two]), 180)
+        apart = np.minimum(near_dups.bag_min_hash(one, 180), near_dups.bag_min_hash(two, 180))
+        assert (both == apart).all()
+
+
 def test_quality_classifier(spark, odd, none, docs):
     labels = table(spark, SF, "labels")
     got = quality_classifier.classify(docs, labels)
