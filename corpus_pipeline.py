@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's ``docs``; all but the last return the columns of ``documents``. The order of the
-mixing stage is that of its files and their rows; the last stage reads it back as ``place``.
+mixing stage is that of its files and their rows; the last stage reads it back as ``place``. A document with a
+null doc_id can't be named by a verdict and is rejected with those of quality 0.
 """
 
 from __future__ import annotations

@@ -14,6 +14,8 @@ different classes still. Pairs within one class need no test, so no class loses
 
 Defined results: null is the empty text; texts with the same words are one class (so are those
 without words); a class id is its smallest doc_id; repeated rows each get a row; an empty table gives none.
+A null doc_id never stands for its words: such a row gets the result of the smallest real id with the same
+words and, if there is none, null for copy_of and class_id and no links.
 """
 
 from __future__ import annotations
@@ -224,7 +226,7 @@ def near_duplicates(
     of it while its classes would make more than ``pairs_per_member`` pairs a text; all pairs left are tested.
     """
     sigs = materialize(signatures(docs.select(F.col("doc_id").cast("long"), "text"), bands, rows), "signatures")
-    distinct = sigs.groupBy("digest").agg(F.min(F.struct("doc_id", "size", "keys")).alias("r"))
+    distinct = sigs.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "size", "keys")).alias("r"))
     reps = materialize(distinct.select("digest", "r.*"), "distinct")
     arrays = reps.select(F.col("doc_id").alias("id"), "size", "keys")
     label = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"))
@@ -291,4 +293,5 @@ def near_duplicates(
         "id", F.col("comp").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
     )
     known = reps.select("digest", F.col("doc_id").alias("copy_of")).join(classes, F.col("copy_of") == F.col("id"))
-    return sigs.select("doc_id", "digest").join(known.drop("id"), "digest").select("doc_id", "copy_of", "class_id", "n_links")
+    every = sigs.select("doc_id", "digest").join(known.drop("id"), "digest", "left")
+    return every.select("doc_id", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

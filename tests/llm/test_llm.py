@@ -245,6 +245,15 @@ def test_near_dups_group(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == classes_by_force(rows)
 
 
+def test_near_dups_null_id(spark):
+    """A row without an id takes no row with one away."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, long), (5, long), (3, long), (4, long + " end"), (None, "only here"), (9, "some other words")]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(None, 3, 3, 1), (5, 3, 3, 1), (3, 3, 3, 1), (4, 4, 3, 1), (None, None, None, 0), (9, 9, 9, 0)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_bag_min_hash():
     """The share of equal components estimates weighted Jaccard without bias."""
     rng = np.random.default_rng(9)
