@@ -16,14 +16,18 @@ from folioscope.llm import bpe, language_id, mixing, near_dups, quality_classifi
 from folioscope.session import materialize, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SHORT = 24
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter, and those like no learned language (cosine below 0.02)."""
+    """Rejects documents without a letter, and those like no learned language: a cosine within four standard deviations
+    of chance (0.125 for 1024 dimensions). So few trigrams as those of texts below ``SHORT`` characters can't tell, there
+    only a cosine below 0.02 counts."""
     named = docs.select(*COLUMNS)
     prototypes = language_id.fit(named.where(language_id.fold(4) != 2))
     scored = language_id.predict(named, prototypes)
-    return scored.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= 0.02)).select(*COLUMNS)
+    least = F.when(F.length("text") < SHORT, 0.02).otherwise(4 / language_id.DIMS**0.5)
+    return scored.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= least)).select(*COLUMNS)
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -545,6 +545,20 @@ def test_pipeline(spark):
     assert P.run(spark, SF).count() == sizes[-1]
 
 
+def test_pipeline_rejects_unlearned_scripts(spark):
+    import corpus_pipeline as P
+
+    rng = random.Random(3)
+    docs = table(spark, SF, "documents")
+    word = lambda low, high: "".join(chr(rng.randint(low, high)) for _ in range(rng.randint(3, 9)))
+    rows = [(-1 - k, " ".join(word(*((0x3B1, 0x3C9), (0x10D0, 0x10F0))[k % 2]) for _ in range(10 + k)), None, "x", 1) for k in range(100)]
+    both = docs.select(*P.COLUMNS).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    kept = P.identify_language(spark, both, SF)
+    assert kept.where("doc_id < 0").count() == 0
+    clean = docs.where(F.col("text").rlike(r"\p{L}{3}"))
+    assert kept.where("doc_id >= 0").count() >= 0.99 * clean.count()
+
+
 def test_pipeline_keeps_the_mixed_order(spark):
     import corpus_pipeline as P
 
