@@ -1,19 +1,30 @@
 """Near-duplicate classes by BagMinHash signatures over word shingles.
 
 A text is the multiset of its five-word shingles (one shorter shingle where it has fewer words).
-BagMinHash: every shingle runs Poisson processes over its weight axis, cut into dyadic intervals;
-a process of an interval has the interval's width as its rate, its points carry a time, a
-signature component and a place on the axis, and those below the shingle's multiplicity count. A component
-keeps the earliest time, so two components agree with probability equal to the weighted Jaccard
-similarity, at a cost logarithmic in the weights. Bands of components give candidates, and each
-candidate pair is verified on the exact multisets.
-
-Links come in rounds, all within buckets of equal band keys: first each text with the smallest
-bucket leader it has, then with a few others, then every pair of a bucket whose texts are in
-different classes still. Pairs within one class need no test, so no class loses a link.
+BagMinHash: the weight axis of a shingle is cut into [0, 1), [1, 2), [2, 4), [4, 8) and so on. Each interval has
+a Poisson process whose rate is its width; a point has a time and a signature component. An interval
+inside the shingle's weight counts its first point; then it is split into halves, a coin gives
+the point to one of them, the other draws its own first point after that time, and halves that lie
+above the weight are dropped. Intervals of width 1 draw all their further points. A component keeps
+its earliest time, so two components agree with probability equal to the weighted Jaccard similarity.
+Whole subtrees whose first point comes after every component's time are never opened, so the
+cost is logarithmic in the weights.
+
+Bands of components give buckets. Links come in two rounds, each verified on the exact multisets:
+
+1. each text with the most central text of its buckets (the one that shares buckets with most others);
+2. texts of buckets that still hold several classes: two texts of different classes that share a
+   bucket are tested if they share a token of their prefixes. A token is a shingle with the number of its
+   copy; tokens are ordered by rarity (those of one class first, then by count), and a pair at the wanted similarity
+   has at least t / (1 + t) (m + n) tokens in common, so the first m - that + 1 of one text and n - that + 1 of the other
+   can't be disjoint. Nothing that reaches the similarity is lost, and texts that differ by edits of their
+   own share no such token.
+
+Pairs inside one class need no test, so no class loses a link.
 
 Defined results: null is the empty text; texts with the same words are one class (so are those
-without words); a class id is its smallest doc_id; repeated rows each get a row; an empty table gives none.
+without words); a class id is its smallest doc_id; repeated rows each get a row; rows that share a doc_id but not
+their words each get the result of their own words; an empty table gives none.
 A null doc_id never stands for its words: such a row gets the result of the smallest real id with the same
 words and, if there is none, null for copy_of and class_id and no links.
 """
@@ -21,7 +32,6 @@ words and, if there is none, null for copy_of and class_id and no links.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,44 +39,64 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.filters import in_filter, key_filter
 from folioscope.session import ensure_workers, materialize
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 6
-BLANK = " \t\n\x0b\x0c\r"
-MASK = (1 << 64) - 1
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+SEEDS = np.arange(64, dtype=np.uint64) * GOLD
+
+# word hashes: sums of a letter's number times a power of STEP by its place in the word
+STEP, CHUNK, LONG = 0xD6E8FEB86659FD93, 1 << 16, 1024
+#: Sizes n >= m of a pair are classed by n / m; the narrower a class, the shorter its prefixes.
+RATIOS = (1.0, 1.01, 1.03, 1.08)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: xor-shifts and odd multipliers."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > 150_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
-
-
-@lru_cache(maxsize=1)
-def word_hashes() -> WordHashes:
-    return WordHashes()
-
-
-TO_SPACE = str.maketrans({c: " " for c in BLANK[1:]})
-
-
-def shingles(text: str | None, width: int = SHINGLE) -> tuple[bytes, np.ndarray]:
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * GOLD)
+POWER = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK, STEP, np.uint64)]))
+BACK = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK, pow(STEP, -1, 1 << 64), np.uint64)]))
+
+
+def word_hashes(joined: bytes) -> np.ndarray:
+    """Hashes of words parted by one newline each, chunk by chunk; a word of more than LONG bytes by xxh3."""
+    out, at = [], 0
+    while at < len(joined):
+        end = len(joined) if len(joined) - at <= CHUNK else joined.rfind(b"\n", at, at + CHUNK)
+        if end < 0:  # one word fills the chunk
+            end = joined.find(b"\n", at)
+            end = len(joined) if end < 0 else end
+            out.append(np.array([xxhash.xxh3_64_intdigest(joined[at:end])], np.uint64))
+        else:
+            part = np.frombuffer(joined, np.uint8, end - at, at)
+            stops = np.append(np.flatnonzero(part == 10), len(part))
+            starts = np.concatenate([[0], stops[:-1] + 1])
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(LETTER[part] * POWER[: len(part)], out=sums[1:])
+            lengths = stops - starts
+            hashes = mix64((sums[stops] - sums[starts]) * BACK[starts] + lengths.astype(np.uint64))
+            for k in np.flatnonzero(lengths > LONG):
+                hashes[k] = xxhash.xxh3_64_intdigest(part[starts[k] : stops[k]].tobytes())
+            out.append(hashes)
+        at = end + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles(text: str | bytes | None, width: int = SHINGLE) -> tuple[bytes, np.ndarray]:
     """A digest of the word sequence, and the hashes of all shingles in order."""
-    words = [w for w in (text or "").translate(TO_SPACE).split(" ") if w]
-    ids = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
-    digest = xxhash.xxh3_128_digest("\n".join(words).encode("utf-8", "surrogatepass"))
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    joined = b"\n".join(raw.split())
+    ids = word_hashes(joined)
+    digest = xxhash.xxh3_128_digest(joined)
     if not len(ids):
         return digest, ids
     n = max(1, len(ids) - width + 1)
@@ -76,46 +106,89 @@ def shingles(text: str | None, width: int = SHINGLE) -> tuple[bytes, np.ndarray]
     return digest, out
 
 
+def points(random: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Exponential gaps of rate 1 in units of 2^-44, as integers so that sums don't depend on their order, and components."""
+    gap = np.log((random >> np.uint64(32)).astype(np.float64) * 2.0**-32 + 2.0**-33) * -(2.0**44)
+    return gap.astype(np.int64), ((random & np.uint64(0xFFFFFFFF)) % np.uint64(size)).astype(np.int64)
+
+
+def split(seed, start, weight, halvings, least) -> tuple[np.ndarray, np.ndarray]:
+    """Opens the processes of wide intervals level by level into ``least``: the seeds and times at which those
+    of width 1 go on."""
+    size = len(least)
+    gap, part = points(mix64(seed + GOLD), size)
+    time = gap >> halvings
+    seeds, times = [], []
+    while len(seed):
+        width = np.int64(1) << halvings
+        inside = start + width <= weight
+        np.minimum.at(least, part[inside], time[inside])
+        stay = time < least.max()
+        seed, start, weight, halvings, time, part, width = (x[stay] for x in (seed, start, weight, halvings, time, part, width))
+        done = halvings == 0
+        seeds.append(mix64(seed[done] + SEEDS[2]))
+        times.append(time[done])
+        seed, start, weight, halvings, time, part, width = (x[~done] for x in (seed, start, weight, halvings, time, part, width))
+        upper = (mix64(seed + SEEDS[3]) >> np.uint64(63)).astype(bool)
+        halves = []
+        for side in (0, 1):
+            child, low = mix64(seed + SEEDS[4 + side]), start + side * (width >> 1)
+            gap, own = points(mix64(child + GOLD), size)
+            mine = upper == bool(side)
+            at = np.where(mine, time, time + (gap >> (halvings - 1)))
+            keep = low < weight
+            halves.append([x[keep] for x in (child, low, weight, halvings - 1, at, np.where(mine, part, own))])
+        seed, start, weight, halvings, time, part = (np.concatenate(x) for x in zip(*halves))
+    return np.concatenate(seeds), np.concatenate(times)
+
+
 def bag_min_hash(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Earliest times by component, as 64-bit words. Times are integers (2^-44 units), so their sums are the same
-    however many points are taken at a time."""
+    """Earliest times by component, as 64-bit words."""
     least = np.full(size, np.iinfo(np.int64).max)
     if not len(hashes):
         return least.view(np.uint64)
     keys, weights = np.unique(hashes, return_counts=True)
-    # each interval's process has a seed of its own, mixed before steps are added to it
-    parts = [(mix64(keys), np.ones(len(keys)), np.zeros(len(keys)), weights)]
-    low = 1  # dyadic intervals [0,1), [1,2), [2,4), ... as far as a weight reaches
-    while (more := weights > low).any():
-        n = int(more.sum())
-        parts.append((mix64(keys[more] + np.uint64(low * int(GOLD) & MASK)), np.full(n, float(low)), np.full(n, float(low)), weights[more]))
-        low *= 2
-    seed, width, start, weight = (np.concatenate(x) for x in zip(*parts))
-    halvings = np.log2(width).astype(np.int64)
-    time, step = np.zeros(len(seed), np.int64), 0
+    seeds, times = [mix64(keys)], [np.zeros(len(keys), np.int64)]
+    more, wide, low, level = weights > 1, [], 1, 0
+    while more.any():  # an interval [low, 2 low) has a seed of its own
+        keys, weights = keys[more], weights[more]
+        seed = mix64(keys + SEEDS[level + 8])
+        if low == 1:
+            seeds.append(seed)
+            times.append(np.zeros(len(seed), np.int64))
+        else:
+            wide.append((seed, np.full(len(seed), low), weights, np.full(len(seed), level)))
+        low, level = low * 2, level + 1
+        more = weights > low
+    if wide:
+        seed, time = split(*(np.concatenate(x) for x in zip(*wide)), least)
+        seeds.append(seed)
+        times.append(time)
+    seed, time, step = np.concatenate(seeds), np.concatenate(times), 0
     while len(seed):
         # several points of each process at a time, about as many as fill the components
         ahead = int(min(64, max(1, 3 * size // len(seed))))
         turns = np.arange(step + 1, step + 1 + ahead, dtype=np.uint64) * GOLD
         step += ahead
-        a = mix64(seed[:, None] + turns)
-        gap = (np.log((a >> np.uint64(32)).astype(np.float64) * 2.0**-32 + 2.0**-33) * -(2.0**44)).astype(np.int64)
-        times = time[:, None] + np.cumsum(gap >> halvings[:, None], axis=1)
-        component = (a & np.uint64(0xFFFFFFFF)) % np.uint64(size)
-        wide = width > 1
-        if wide.any():  # a point of a wide interval counts if its place is below the weight
-            place = (mix64(a[wide] + GOLD) >> np.uint64(32)).astype(np.float64) * 2.0**-32
-            counts = np.ones(times.shape, bool)
-            counts[wide] = start[wide, None] + np.floor(place * width[wide, None]) < weight[wide, None]
-            np.minimum.at(least, component[counts].astype(np.int64), times[counts])
-        else:
-            np.minimum.at(least, component.astype(np.int64).ravel(), times.ravel())
-        stay = times[:, -1] < least.max()
-        seed, width, start, weight, time = seed[stay], width[stay], start[stay], weight[stay], times[stay, -1]
-        halvings = halvings[stay]
+        gap, part = points(mix64(seed[:, None] + turns), size)
+        if ahead > 1:
+            gap = np.cumsum(gap, axis=1)
+        gap += time[:, None]
+        np.minimum.at(least, part.ravel(), gap.ravel())
+        time = gap[:, -1]
+        stay = time < least.max()
+        seed, time = seed[stay], time[stay]
     return least.view(np.uint64)
 
 
+def tokens(hashes: np.ndarray) -> np.ndarray:
+    """The multiset as a set: a shingle's first copy is its hash, each further one that hash mixed with its number."""
+    keys, weights = np.unique(hashes, return_counts=True)
+    again = np.repeat(keys, weights - 1)
+    number = np.arange(len(again)) - np.repeat(np.cumsum(weights - 1) - (weights - 1), weights - 1) + 1
+    return np.concatenate([keys, mix64(again + number.astype(np.uint64) * GOLD)])
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = signature.reshape(bands, rows)
     key = np.arange(bands, dtype=np.uint64)
@@ -128,10 +201,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
     """Weighted Jaccard similarity of two multisets of hashes."""
     if not len(a) and not len(b):
         return 1.0
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    both = int(np.minimum(n[i], m[j]).sum())
+    both = len(np.intersect1d(tokens(a), tokens(b), assume_unique=True))
     return both / (len(a) + len(b) - both)
 
 
@@ -142,38 +212,45 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             digests, sizes, keys = [], [], []
-            for text in b.column(1):
+            for text in b.column(1).cast(pa.binary()):
                 digest, hashes = shingles(text.as_py())
                 digests.append(digest)
                 sizes.append(len(hashes))
                 keys.append(band_keys(bag_min_hash(hashes, bands * rows), bands, rows) if len(hashes) else np.zeros(0, np.int64))
-            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
-            flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0).cast(pa.int64()),
-                    pa.array(digests, pa.binary()),
-                    pa.array(sizes, pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(ends), flat),
-                ],
-                ["doc_id", "digest", "size", "keys"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>")
-
-
-def verify(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) with their exact similarity, those that reach ``similarity``."""
-    side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+            arrays = [b.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), lists(keys)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "digest", "size", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, digest binary, size long, keys array<long>")
+
+
+def bags(docs: DataFrame) -> DataFrame:
+    """(digest, tokens) for each row."""
+    ensure_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [overlap(shingles(x.as_py())[1], shingles(y.as_py())[1]) for x, y in zip(b.column(2), b.column(3))]
-            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.float64())], ["a", "b", "similarity"])
-            yield out.filter(pa.array([x >= similarity for x in got], pa.bool_()))
+            both = [shingles(text.as_py()) for text in b.column(0).cast(pa.binary())]
+            arrays = [pa.array([d for d, _ in both], pa.binary()), lists([tokens(h).view(np.int64) for _, h in both])]
+            yield pa.RecordBatch.from_arrays(arrays, ["digest", "tokens"])
+
+    return docs.select("text").mapInArrow(run, "digest binary, tokens array<long>")
+
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64)))
+
+
+def verified(left: DataFrame, right: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the pairs in ``left`` (a, b, size, keys, tokens of b) whose texts share a bucket and reach ``similarity``;
+    ``right`` has a's node, size, keys and tokens. One shuffle of each side."""
+    one, two = left.alias("one"), right.alias("two")
+    joined = one.join(two, F.col("one.a") == F.col("two.node"))
+    both = F.size(F.array_intersect("one.tokens", "two.tokens"))
+    near = joined.where(F.arrays_overlap("one.keys", "two.keys")).select(
+        "a", "b", (both / (F.col("one.size") + F.col("two.size") - both)).alias("similarity")
+    )
+    return near.where(F.col("similarity") >= similarity).select("a", "b")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -208,90 +285,100 @@ def merge_classes(label: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(label.join(joined, "comp", "left").select("id", F.coalesce("root", "comp").alias("comp")), "classes")
 
 
-def near_duplicates(
-    docs: DataFrame,
-    similarity: float = SIMILARITY,
-    bands: int = BANDS,
-    rows: int = ROWS,
-    slices: tuple[int, ...] = (8, BANDS),
-    pairs_per_member: int = 16,
-    leaders: int = 6,
-    turns: int = 1,
-) -> DataFrame:
-    """(doc_id, copy_of, class_id, n_links), one for each row of ``docs``: ``copy_of`` is the smallest doc_id
-    with the same words, ``class_id`` the smallest of the class, ``n_links`` the verified links that text has.
-
-    Bands are taken in ``slices``; only buckets whose texts are in different classes by then give rows. Such a
-    bucket's texts are held first against its smallest text, then for at most ``turns`` turns against ``leaders`` texts
-    of it while its classes would make more than ``pairs_per_member`` pairs a text; all pairs left are tested.
+def fits(x: str, y: str, similarity: float) -> F.Column:
+    """Whether texts of these sizes can reach ``similarity``."""
+    return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
+
+
+def prefix_pairs(apart: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``apart`` (node, comp, size, tokens), of different classes, that share a token of their prefixes.
+
+    Tokens that occur in one class only are first in every order and can't be shared between classes, so just
+    their number counts; the others are ordered by their number of texts and themselves.
     """
-    sigs = materialize(signatures(docs.select(F.col("doc_id").cast("long"), "text"), bands, rows), "signatures")
-    distinct = sigs.where("doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "size", "keys")).alias("r"))
-    reps = materialize(distinct.select("digest", "r.*"), "distinct")
-    arrays = reps.select(F.col("doc_id").alias("id"), "size", "keys")
-    label = reps.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("comp"))
-    links: list[DataFrame] = []
-    tested: list[DataFrame] = []
-    texts: DataFrame | None = None
-    fits = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)  # noqa: E731  sizes that can reach it
-
-    def mixed(rows: DataFrame) -> DataFrame:
-        """The rows (key, id, size, comp) of buckets with more than one class, by a grouped aggregate and a join."""
-        keys = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-        return materialize(rows.join(keys.select("key"), "key", "left_semi"), "mixed")
-
-    def take(pairs: DataFrame) -> None:
-        nonlocal label
-        pairs = pairs.distinct()
-        if tested:
-            pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
-        tested.append(materialize(pairs, "pairs"))
-        links.append(materialize(verify(tested[-1], texts, similarity), "links"))
-        label = merge_classes(label, links[-1])
-
-    def ordered(x: str, y: str) -> list[F.Column]:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    start = 0
-    for end in (*[x for x in slices if x < bands], bands):
-        cut = arrays.select("id", "size", F.slice("keys", start + 1, end - start).alias("keys")).join(label, "id")
-        open_ = mixed(cut.select("id", "size", "comp", F.explode("keys").alias("key")))
-        start = end
-        if open_.isEmpty():
-            continue
-        ids = open_.select(F.col("id").alias("doc_id")).distinct()
-        found = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id", "left_semi")
-        texts = materialize(found.groupBy("doc_id").agg(F.first("text").alias("text")), "candidates")
-        first = open_.groupBy("key").agg(F.min("id").alias("leader"))
-        nearest = open_.join(first, "key").where("leader < id").groupBy("id").agg(F.min("leader").alias("leader"))
-        take(nearest.select(F.col("leader").alias("a"), F.col("id").alias("b")))
-        for turn in range(turns + 1):
-            open_ = mixed(open_.drop("comp").join(label, "id"))
-            per = open_.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(
-                ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"), F.sum("n").alias("n")
-            )
-            total = per.agg(F.sum("pairs").alias("p"), F.sum("n").alias("n")).first()
-            if not total["n"]:
-                break
-            if total["p"] <= pairs_per_member * total["n"] or turn == turns:
-                one, two = open_.alias("one"), open_.alias("two")
-                rest = one.join(two, F.col("one.key") == F.col("two.key")).where(
-                    (F.col("one.id") < F.col("two.id")) & (F.col("one.comp") != F.col("two.comp")) & fits(F.col("one.size"), F.col("two.size"))
-                )
-                take(rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")))
-                break
-            by = lambda salt: F.min(F.struct(F.xxhash64("comp", F.lit(turn), F.lit(salt)) if salt else F.lit(0), "id", "comp", "size"))  # noqa: B023, E731
-            picked = open_.groupBy("key").agg(*[by(k).alias(f"c{k}") for k in range(leaders)])
-            few = F.array(*[F.struct(*[F.col(f"c{k}.{x}") for x in ("id", "comp", "size")]) for k in range(leaders)])
-            chosen = picked.select("key", F.explode(F.array_distinct(few)).alias("c"))
-            star = open_.join(chosen, "key").where((F.col("c.comp") != F.col("comp")) & fits(F.col("c.size"), F.col("size")))
-            take(star.select(*ordered("c.id", "id")))
-
-    ends = [x.select(F.explode(F.array("a", "b")).alias("id")) for x in links]
-    degree = (reduce(DataFrame.union, ends) if ends else label.select("id").where("1 = 0")).groupBy("id").agg(F.count("*").alias("n_links"))
-    classes = label.join(degree, "id", "left").select(
-        "id", F.col("comp").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    every = apart.select("node", "comp", F.explode("tokens").alias("token"))
+    shared = every.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    kept = every.select("node", "token").join(shared.select("token", "n"), "token")
+    order = kept.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    ranked = materialize(
+        order.select("node", F.col("shared.token").alias("shared")).join(apart.select("node", "comp", "size"), "node"), "prefixes"
+    )
+    own = F.col("size") - F.size("shared")
+    part = similarity / (1 + similarity)
+
+    def rows(name: str, least_common) -> DataFrame:
+        """(kind, token) for each class of sizes with the tokens of the prefix for it."""
+        classes = []
+        for k, (low, high) in enumerate(zip(RATIOS, (*RATIOS[1:], 1 / similarity))):
+            common = F.ceil(least_common(low, high) - F.lit(1e-6))
+            prefix = F.greatest(F.size("shared") * 0, (F.col("size") - common + 1 - own).cast("int"))
+            classes.append(F.transform(F.slice("shared", F.lit(1), prefix), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("token"))))  # noqa: B023
+        return ranked.select("node", "comp", "size", F.explode(F.flatten(F.array(*classes))).alias("at")).select(
+            "node", "comp", "size", "at.kind", "at.token"
+        ).alias(name)
+
+    # the smaller text of a pair is held by its own prefix, the larger one asks for it
+    held = rows("held", lambda low, high: part * (1 + low) * F.col("size"))
+    asks = rows("asks", lambda low, high: part * (1 + 1 / high) * F.col("size"))
+    m, n = F.col("held.size"), F.col("asks.size")
+    ratio = n / m
+    kind = sum((ratio >= F.lit(r)).cast("int") for r in RATIOS[1:])
+    met = held.join(asks, (F.col("held.kind") == F.col("asks.kind")) & (F.col("held.token") == F.col("asks.token"))).where(
+        (F.col("held.comp") != F.col("asks.comp"))
+        & ((m < n) | ((m == n) & (F.col("held.node") < F.col("asks.node"))))
+        & (m >= F.lit(similarity) * n)
+        & (kind == F.col("held.kind"))
+    )
+    return met.select(F.least("held.node", "asks.node").alias("a"), F.greatest("held.node", "asks.node").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(doc_id, copy_of, class_id, n_tested_links), one for each row of ``docs``: ``copy_of`` is the smallest doc_id
+    with the same words, ``class_id`` the smallest of the class, ``n_tested_links`` the verified links that text
+    has; pairs that were in one class by other links aren't tested, so it is a lower bound of its links."""
+    sigs = materialize(signatures(docs, bands, rows), "signatures")
+    first = F.min(F.struct("doc_id", "size", "keys")).alias("r")
+    distinct = sigs.where("doc_id is not null").groupBy("digest").agg(first)
+    reps = materialize(distinct.select(F.monotonically_increasing_id().alias("node"), "digest", "r.*"), "distinct")
+
+    keyed = reps.select("node", "size", F.explode("keys").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    open_ = materialize(keyed.join(several, "key"), "buckets")
+    score = open_.groupBy("node").agg(F.sum("n").alias("score"))
+    scored = materialize(open_.join(score, "node").select("key", "node", "size", "score"), "scored")
+    top = F.max(F.struct("score", (-F.col("node")).alias("minus"), F.col("size").alias("leader_size")))
+    leaders = scored.groupBy("key").agg(top.alias("top")).select("key", (-F.col("top.minus")).alias("leader"), "top.leader_size", F.col("top.score").alias("height"))
+    chosen = F.max(F.struct("height", (-F.col("leader")).alias("minus")))
+    nearest = scored.join(leaders, "key").where(F.col("leader") != F.col("node")).where(fits("size", "leader_size", similarity)).groupBy("node").agg(
+        chosen.alias("c")
+    )
+    stars = materialize(nearest.select("node", (-F.col("c.minus")).alias("leader")), "stars")
+    led = stars.select(F.col("leader").alias("node")).distinct().withColumn("leads", F.lit(True))
+    members = materialize(reps.join(score.select("node"), "node").join(stars, "node", "left").join(led, "node", "left"), "members")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    wanted = texts.join(F.broadcast(key_filter(members, "doc_id")), in_filter("doc_id"), "left_semi")
+    held = bags(wanted).groupBy("digest").agg(F.first("tokens").alias("tokens"))
+    kept = materialize(held.join(members, "digest").select("node", "size", "keys", "leader", "leads", "tokens"), "bags")
+
+    star = kept.where("leader is not null").select(F.col("leader").alias("a"), F.col("node").alias("b"), "size", "keys", "tokens")
+    links = materialize(verified(star, kept.where("leads").select("node", "size", "keys", "tokens"), similarity), "links")
+    label = merge_classes(members.select(F.col("node").alias("id"), F.col("node").alias("comp")), links)
+
+    now = open_.select("key", F.col("node").alias("id")).join(label, "id")
+    mixed = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    still = materialize(now.join(mixed.select("key"), "key", "left_semi").groupBy("id").agg(F.first("comp").alias("comp")), "apart")
+    apart = kept.select("node", "size", "tokens").join(still.withColumnRenamed("id", "node"), "node")
+    pairs = materialize(prefix_pairs(apart, similarity), "pairs")
+    with_b = pairs.join(kept.select(F.col("node").alias("b"), "size", "keys", "tokens"), "b")
+    late = materialize(verified(with_b, kept.select("node", "size", "keys", "tokens"), similarity), "links")
+    label = merge_classes(label, late)
+
+    ends = links.union(late).distinct().select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_tested_links"))
+    named = label.withColumnRenamed("id", "node").join(members.select("node", "doc_id"), "node")
+    names = named.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
+    classes = named.select("node", "comp").join(names, "comp").join(ends, "node", "left").select("node", "class_id", "n_tested_links")
+    known = reps.select("digest", "node", F.col("doc_id").alias("copy_of")).join(classes, "node", "left")
+    every = sigs.select("doc_id", "digest").join(known, "digest", "left")
+    return every.select(
+        "doc_id", "copy_of", F.coalesce("class_id", "copy_of").alias("class_id"), F.coalesce("n_tested_links", F.lit(0)).cast("long").alias("n_tested_links")
     )
-    known = reps.select("digest", F.col("doc_id").alias("copy_of")).join(classes, F.col("copy_of") == F.col("id"))
-    every = sigs.select("doc_id", "digest").join(known.drop("id"), "digest", "left")
-    return every.select("doc_id", "copy_of", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

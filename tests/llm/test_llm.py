@@ -241,7 +241,7 @@ def test_near_dups_group(spark):
             words[rng.randrange(len(words))] = f"x{i}"
         rows.append((i, " ".join(words)))
     rows += [(200 + i, " ".join(f"y{rng.randrange(900)}" for _ in range(150))) for i in range(20)]
-    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), pairs_per_member=1).collect()
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["class_id"] for r in got} == classes_by_force(rows)
 
 
@@ -254,6 +254,84 @@ def test_near_dups_null_id(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def test_near_dups_shared_id(spark):
+    """Rows of one doc_id keep their number; each gets the class of its own words."""
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "vw")
+    rows = [(7, one), (7, two), (7, two), (3, two + " end"), (8, one + " end"), (9, "x"), (7, None)]
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(7, 7, 7, 1), (7, 7, 3, 1), (7, 7, 3, 1), (3, 3, 3, 1), (8, 8, 7, 1), (9, 9, 9, 0), (7, 7, 7, 0)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_near_dups_hot_group(spark):
+    """Copies with edits of their own: similarities on both sides of the limit, some linked only to each other; the
+    text they stem from isn't there."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(160):
+        words = base[:]
+        for k in range(rng.choice([1, 2, 2, 3, 3, 5])):
+            at = rng.randrange(len(words))
+            words[at : at + 1] = [f"x{i}.{k}"] if rng.random() < 0.6 else [f"y{i}.{k}", f"z{i}"]
+        rows.append((1000 - i, " ".join(words)))
+        if i % 4 == 0:
+            rows.append((3000 - i, " ".join([*words, "more"])))
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = classes_by_force(rows)
+    assert {r["doc_id"]: r["class_id"] for r in got} == want and 20 < len({*want.values()}) < 150
+
+
+def test_near_dups_recall(spark):
+    """Every pair of texts of sf0.01, by brute force."""
+    rows = table(spark, SF.replace("0.001", "0.01"), "documents").collect()
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicates(table(spark, SF.replace("0.001", "0.01"), "documents")).collect()}
+    parts = {r["doc_id"]: near_dups.tokens(near_dups.shingles(r["text"])[1]) for r in rows}
+    holders = collections.defaultdict(list)
+    for i, t in parts.items():
+        for x in t.tolist():
+            holders[x].append(i)
+    pairs = found = 0
+    for i in parts:
+        seen = collections.Counter(j for x in parts[i].tolist() for j in holders[x] if j != i)
+        for j, both in seen.items():
+            if i < j and both / (len(parts[i]) + len(parts[j]) - both) >= 0.8:
+                pairs, found = pairs + 1, found + (got[i] == got[j])
+    assert pairs > 40 and found == pairs
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
+def test_prefix_pairs_lose_none(spark, least):
+    """All pairs of different classes that reach the similarity, of texts of many sizes."""
+    rng = random.Random(int(least * 100))
+    base = rng.sample(range(10**6), 90)
+    rows = []
+    for i in range(140):
+        t = rng.sample(base, rng.randint(35, 90)) if i % 2 else base[: rng.randint(60, 90)] + rng.sample(range(10**7), rng.randint(0, 25))
+        rows.append((i, i // 3, len({*t}), sorted({*t})))
+    got = near_dups.prefix_pairs(spark.createDataFrame(rows, "node long, comp long, size long, tokens array<long>"), least).collect()
+    jaccard = lambda a, b: len({*a} & {*b}) / len({*a} | {*b})
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1] and jaccard(a[3], b[3]) >= least}
+    assert want and want <= {tuple(r) for r in got} and len(got) == len({*got})
+
+
+def test_tokens_count_copies():
+    rng = np.random.default_rng(3)
+    a, b = (rng.integers(0, 12, n).astype(np.uint64) for n in (40, 55))
+    x, y = collections.Counter(a.tolist()), collections.Counter(b.tolist())
+    assert len({*near_dups.tokens(a).tolist()}) == 40
+    assert near_dups.overlap(a, b) == (x & y).total() / (x | y).total()
+
+
+def test_word_hashes_do_not_depend_on_their_place():
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdé", k=rng.choice([1, 3, 9, 40]))) for _ in range(30_000)] + ["x" * 1024, "x" * 1025, "y" * 200_000, "z" * 70_000]
+    rng.shuffle(words)
+    got = near_dups.word_hashes("\n".join(words).encode())
+    by = {w: near_dups.word_hashes(w.encode())[0] for w in {*words}}
+    assert [by[w] for w in words] == got.tolist() and len({*by.values()}) == len(by)
+
+
 def test_bag_min_hash():
     """The share of equal components estimates weighted Jaccard without bias."""
     rng = np.random.default_rng(9)
@@ -263,6 +341,11 @@ def test_bag_min_hash():
         b = np.repeat(keys, rng.integers(0, 9, 60))
         same = np.mean(near_dups.bag_min_hash(a, 4000) == near_dups.bag_min_hash(b, 4000))
         assert same == pytest.approx(near_dups.overlap(a, b), abs=0.04)
+    for heavy in (40, 3000):  # intervals that are split many times
+        a, b = (np.repeat(keys[:20], rng.integers(0, heavy, 20)) for _ in range(2))
+        x, y = near_dups.bag_min_hash(a, 4000), near_dups.bag_min_hash(b, 4000)
+        assert np.mean(x == y) == pytest.approx(near_dups.overlap(a, b), abs=0.04)
+        assert (near_dups.bag_min_hash(np.concatenate([a, b]), 4000) <= np.minimum(x, y)).all()
 
 
 # 5
