@@ -1,11 +1,15 @@
 """BPE encoding and decoding as streaming transducers.
 
-``MergeTable`` computes from the merge list how many symbols to the right of a boundary can still
-decide whether that boundary is merged away: the sufficient lookahead. ``Transducer`` holds the
-symbols after the last settled boundary, merges inside that window, and emits every token that
-ends at least the lookahead before the window's end. Memory is the window, whatever the length of
-a word. ``Decoder`` is the inverse machine: it takes ids one block at a time and emits text, holding
-at most an unfinished UTF-8 sequence.
+``MergeTable`` computes from the merge list how many symbols right of a token can still decide whether it
+merges with what follows: the sufficient lookahead, by token and over all. ``Transducer`` holds the
+symbols after the last settled boundary, merges inside that window, and emits every token whose
+lookahead is known. Memory is the window, whatever the length of a word. ``Encoder.stream`` takes a
+text in pieces and holds back at most an unfinished word, of which a long one streams through the transducer
+too. ``Decoder`` is the inverse machine: it takes ids one block at a time, turns them into bytes and bytes into text,
+holding back at most an unfinished UTF-8 sequence.
+
+Letters, numbers and lower case are those of the tokenizer library's own tables: each non-ASCII character is
+put to its pre-tokenizer once, and words with characters that this Python doesn't know to its normaliser.
 
 Defined results: null and empty texts give no tokens and the empty text; repeated rows each get a
 row; an empty table gives an empty result.
@@ -27,10 +31,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from folioscope.session import ensure_workers
 
-UNKNOWN = "\ue000"
+BLOCK = 1 << 16
+#: Longer than any special token or contraction, of which a part may stand at a cut.
+MARGIN = 32
 SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 
 
@@ -63,40 +70,42 @@ class MergeTable:
             self.whole.append(to)
         self.none = len(self.whole)
         self.longest = 1
-        self.lookahead = self._lookahead()
+        self.need = self._needs()
+        self.lookahead = max([1, *self.need.values()])
 
-    def _lookahead(self) -> int:
-        """Largest number of symbols right of a boundary that can decide its fate.
+    def _needs(self) -> dict[int, int]:
+        """By token: how many symbols right of it decide whether it merges with what follows.
 
         Rule q = (a, b) merges a boundary if b stands right of it at q's turn. With everything
         left of the boundary known, that is settled by b's own symbols and by whether an earlier
         rule takes a right end of b away: a rule (s, x) where s is b or one of the right parts b
         is made of, with a rank below the one at which s is itself used. So
-        need(q) = len(b) + max need(those rules), in order of rank.
+        need(q) = len(b) + max need(those rules), in order of rank. A token needs the most of all rules that can
+        take its own right ends in this way.
         """
         size: dict[int, int] = {}
-        made: dict[int, tuple[int, int]] = {}  # token: its right part, the rank that makes it
+        made: dict[int, list[tuple[int, int]]] = {}  # token: its right parts, with the ranks that make it
         ranks: dict[int, list[int]] = {}  # by left token: ranks of its rules so far
         best: dict[int, list[int]] = {}  # and the largest need up to each of them
-        deepest = 1
-        for (a, b), (rank, whole) in sorted(self.rule.items(), key=lambda x: x[1][0]):
-            need, s, before = 0, b, rank
-            while True:
-                if (r := ranks.get(s)) and (at := bisect_left(r, before)):
+
+        def most(token: int, before: int) -> int:
+            need, todo = 0, [(token, before)]
+            while todo:
+                s, rank = todo.pop()
+                if (r := ranks.get(s)) and (at := bisect_left(r, rank)):
                     need = max(need, best[s][at - 1])
-                if s not in made:
-                    break
-                s, before = made[s]
-            need += size.get(b, 1)
+                todo += made.get(s, ())
+            return need
+
+        for (a, b), (rank, whole) in sorted(self.rule.items(), key=lambda x: x[1][0]):
+            need = most(b, rank) + size.get(b, 1)
             ranks.setdefault(a, []).append(rank)
             seen = best.setdefault(a, [])
             seen.append(max(need, seen[-1] if seen else 0))
-            if whole not in made:
-                made[whole] = (b, rank)
-                size[whole] = size.get(a, 1) + size.get(b, 1)
-                self.longest = max(self.longest, size[whole])
-            deepest = max(deepest, need)
-        return deepest
+            made.setdefault(whole, []).append((b, rank))
+            size[whole] = size.get(a, 1) + size.get(b, 1)
+            self.longest = max(self.longest, size[whole])
+        return {t: most(t, self.none) for t in {*self.vocab.values()}}
 
     def merge(self, ids: list[int]) -> list[int]:
         """All merges inside ``ids``, lowest rank first, leftmost first among equals."""
@@ -134,31 +143,42 @@ class MergeTable:
 
 
 class Transducer:
-    """Symbols in, settled tokens out."""
+    """Symbols in, settled tokens out. The window is merged whenever it has grown to twice what the last time
+    left unsettled, and to ``block`` symbols at least."""
 
-    def __init__(self, table: MergeTable, sizes: dict[int, int], block: int = 256):
-        self.table, self.sizes = table, sizes
-        self.full = table.lookahead + table.longest + block
+    def __init__(self, table: MergeTable, sizes: dict[int, int], block: int = 16):
+        self.table, self.sizes, self.block = table, sizes, block
+        self.full = max(block, 2 * (table.lookahead + table.longest))
         self.window: list[int] = []
-
-    def push(self, symbols: Iterable[int]) -> Iterator[int]:
-        for s in symbols:
-            self.window.append(s)
-            if len(self.window) >= self.full:
-                yield from self._settle(len(self.window) - self.table.lookahead)
+        self.limit = block
+
+    def push(self, symbols: list[int]) -> list[int]:
+        if len(self.window) + len(symbols) < self.limit:
+            self.window += symbols
+            return []
+        out, at = [], 0
+        while at < len(symbols):
+            room = self.limit - len(self.window)
+            self.window += symbols[at : at + room]
+            at += room
+            if len(self.window) >= self.limit:
+                out += self._settle()
+                self.limit = max(self.block, 2 * len(self.window))
+        return out
 
     def flush(self) -> list[int]:
-        rest, self.window = self.table.merge(self.window), []
+        """The end of the word settles what is left."""
+        rest, self.window, self.limit = self.table.merge(self.window), [], self.block
         return rest
 
-    def _settle(self, upto: int) -> Iterator[int]:
-        done = 0
-        for token in self.table.merge(self.window[:]):
-            if done + self.sizes[token] > upto:
-                break
-            done += self.sizes[token]
-            yield token
-        del self.window[:done]
+    def _settle(self) -> list[int]:
+        merged, need, known = self.table.merge(self.window[:]), self.table.need, 0
+        for k in range(len(merged) - 1, -1, -1):
+            if known and known >= need[merged[k]]:
+                del self.window[: len(self.window) - known]
+                return merged[: k + 1]
+            known += self.sizes[merged[k]]
+        return []
 
 
 class Memo(dict):
@@ -181,6 +201,43 @@ class Memo(dict):
         return value
 
 
+class Classes(dict):
+    """For ``str.translate``: a stand-in of the class (letter, number, white space, other) that the library's pre-tokenizer
+    gives a non-ASCII character."""
+
+    def __init__(self, pattern: str):
+        super().__init__({i: i for i in range(128)})
+        self.split = pre_tokenizers.Split(Regex(pattern), "removed", invert=True)
+
+    def __missing__(self, point: int) -> int:
+        c = chr(point)
+        found = {x for x, _ in self.split.pre_tokenize_str(f"a{c}a !{c}!")}
+        kind = "a" if f"a{c}a" in found else "\ue000" if f"!{c}!" in found else "1" if c in found else " "
+        self[point] = ord(kind)
+        return self[point]
+
+
+class Unknown(dict):
+    """For ``str.translate``: deletes the characters that this Python's tables know."""
+
+    def __missing__(self, point: int) -> int | None:
+        self[point] = point if unicodedata.category(chr(point)) == "Cn" else None
+        return self[point]
+
+
+@lru_cache(maxsize=1)
+def composed_seconds() -> frozenset[str]:
+    """Characters that normalisation may join to the one before them, besides those with a combining class."""
+    parts = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    seconds = {chr(int(p[1], 16)) for p in parts if len(p) == 2 and not p[0].startswith("<")}
+    return frozenset(seconds | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})
+
+
+def stands_alone(c: str) -> bool:
+    """Whether a text can be cut before ``c`` without a change of its normal form."""
+    return c.isascii() or not (unicodedata.combining(c) or c in composed_seconds() or unicodedata.category(c) == "Cn")
+
+
 class Encoder:
     """From raw text to ids, by white-space-separated words; short words are remembered."""
 
@@ -196,9 +253,13 @@ class Encoder:
         self.inner = [model["vocab"][s] for s in self.symbols]
         self.last = [model["vocab"][s + self.suffix] for s in self.symbols]
         self.sizes = {i: len(s.removesuffix(self.suffix)) for s, i in model["vocab"].items()}
-        self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        rule = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.pattern = regex.compile(rule)
+        self.runs = {True: regex.compile(r"\p{L}+"), False: regex.compile(r"[^\s\p{L}\p{N}]+")}
+        self.classes, self.unknown = Classes(rule), Unknown()
+        self.normaliser = Tokenizer.from_file(path).normalizer
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.blank = regex.compile(r"\p{White_Space}+")
+        self.blank, self.last_blank = regex.compile(r"\p{White_Space}+"), regex.compile(r"(?r)\p{White_Space}")
         self.transducer = Transducer(self.table, self.sizes)
         self.words = Memo(self._word, 40, max_entries)
         self.pieces = Memo(self._piece, 40, max_entries)
@@ -209,10 +270,16 @@ class Encoder:
         inner, machine = self.inner, self.transducer
         symbols = [inner[x] for x in raw]
         symbols[-1] = self.last[raw[-1]]
-        if len(symbols) < machine.full:  # nothing can settle before the end of so short a word
-            machine.window = symbols
-            return array("i", machine.flush()).tobytes()
-        return array("i", [*machine.push(symbols), *machine.flush()]).tobytes()
+        return array("i", machine.push(symbols) + machine.flush()).tobytes()
+
+    def _plain(self, part: str) -> str:
+        """The normal form in lower case."""
+        if part.isascii():
+            return part.lower()
+        if part.translate(self.unknown):
+            return self.normaliser.normalize_str(part)
+        # one code point at a time: the final-sigma rule of str.lower does not apply
+        return unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
 
     def _word(self, word: str) -> bytes:
         if word.isascii() and "<|" not in word:
@@ -227,56 +294,142 @@ class Encoder:
             if k % 2:
                 out.append(array("i", [self.special[part]]).tobytes())
                 continue
-            # one code point at a time: the final-sigma rule of str.lower does not apply
-            plain = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            # code points this Python's tables don't know are no letters or numbers to the
-            # tokenizer either; newer tables of the pattern library may say otherwise
-            shown = "".join(UNKNOWN if unicodedata.category(c) == "Cn" else c for c in plain)
-            out.extend(self.pieces[plain[m.start() : m.end()]] for m in self.pattern.finditer(shown))
+            plain = self._plain(part)
+            out.extend(self.pieces[plain[m.start() : m.end()]] for m in self.pattern.finditer(plain.translate(self.classes)))
         return b"".join(out)
 
-    def encode(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
+    def _words(self, text: str) -> bytes:
         # str.split also parts at U+001C..U+001F, which are no white space to the tokenizer
         odd = any(c in text for c in "\x1c\x1d\x1e\x1f")
         words = [w for w in self.blank.split(text) if w] if odd else text.split()
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
+        return b"".join(map(self.words.__getitem__, words))
+
+    def stream(self, pieces: Iterable[str]) -> Iterator[bytes]:
+        """Ids of a text that comes in pieces, as they settle."""
+        rest, more = "", iter(pieces)
+        for piece in more:
+            rest += piece
+            end = self.last_blank.search(rest)
+            if end:
+                yield self._words(rest[: end.start()])
+                rest = rest[end.start() :]
+            if len(rest) > BLOCK:
+                rest = yield from self._long(rest, more)
+        yield self._words(rest)
+
+    def _long(self, raw: str, more: Iterator[str]) -> Iterator[bytes]:
+        """Ids of the word that ``raw`` begins with, as far as ``more`` goes on with it; returns the text after it."""
+        run, ended = LongWord(self), False
+        raw = raw.lstrip() if self.blank.match(raw) else raw
+        while True:
+            blank = self.blank.search(raw)
+            word, after = (raw[: blank.start()], raw[blank.start() :]) if blank else (raw, "")
+            if special := self.cut.search(word):
+                yield run.feed(self._plain(word[: special.start()]), True)
+                yield array("i", [self.special[special[0]]]).tobytes()
+                raw = raw[special.end() :]
+                continue
+            if blank or ended:
+                yield run.feed(self._plain(word), True)
+                return after
+            at = len(raw) - MARGIN
+            while at > 0 and not stands_alone(raw[at]):
+                at -= 1
+            if at > 0:
+                yield run.feed(self._plain(raw[:at]), False)
+                raw = raw[at:]
+            piece = next(more, None)
+            raw, ended = raw + (piece or ""), piece is None
+
+    def encode(self, text: str | None) -> np.ndarray:
+        return np.frombuffer(b"".join(self.stream(pieces_of(text))), np.int32)
+
+
+def pieces_of(text: str | None) -> Iterator[str]:
+    text = text or ""
+    return (text[i : i + BLOCK] for i in range(0, len(text), BLOCK))
+
+
+class LongWord:
+    """Pre-tokens of a word that comes in pieces; one that reaches a piece's end goes to a transducer bit by bit."""
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.machine = encoder, Transducer(encoder.table, encoder.sizes)
+        self.rest, self.run, self.held = "", None, 0
+
+    def feed(self, plain: str, ends: bool) -> bytes:
+        e, plain = self.encoder, self.rest + plain
+        shown, at, out = plain.translate(e.classes), 0, []
+        while at < len(shown):
+            if self.run:
+                found = self.run.match(shown, at)
+                if found:
+                    out.append(self._symbols(plain[at : found.end()]))
+                    at = found.end()
+                if at == len(shown) and not ends:
+                    break
+                out.append(self._close())
+                continue
+            found = e.pattern.match(shown, at)
+            if not ends and len(shown) - found.end() < MARGIN:  # it may go on, or be cut
+                if found.end() - at <= MARGIN:
+                    break
+                self.run = e.runs[shown[at].isalpha()]
+                self.held = None
+                continue
+            out.append(e.pieces[plain[at : found.end()]])
+            at = found.end()
+        self.rest = plain[at:]
+        if ends and self.run:
+            out.append(self._close())
+        return b"".join(out)
+
+    def _symbols(self, text: str) -> bytes:
+        """All symbols but the last, which may be the end of the pre-token."""
+        raw = text.encode("utf-8")
+        raw = raw if self.held is None else bytes([self.held]) + raw
+        self.held = raw[-1]
+        return array("i", self.machine.push([self.encoder.inner[x] for x in raw[:-1]])).tobytes()
+
+    def _close(self) -> bytes:
+        self.run = None
+        return array("i", self.machine.push([self.encoder.last[self.held]]) + self.machine.flush()).tobytes()
 
 
 class Decoder:
-    """Ids in, text out, a block at a time.
+    """Ids in, text out, a block at a time, by way of bytes and an incremental UTF-8 machine that holds back unfinished
+    sequences.
 
     ``library``: the tokenizer has no decoder part, so its text is the token strings parted by one
-    space; the state is whether a token was written. ``text``: stand-ins become bytes, the end-of-word
-    mark becomes a space, and an incremental UTF-8 machine holds back unfinished sequences.
+    space; whether a token was written is part of the state. ``text``: stand-ins become bytes, the end-of-word
+    mark becomes a space.
     """
 
     def __init__(self, names: dict[int, str], suffix: str, style: str = "library"):
-        self.names, self.style, self.begun = [names.get(i, "") for i in range(max(names) + 1)], style, False
-        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.style, self.begun = style, False
         self.byte = {s: b for b, s in enumerate(byte_symbols())}
         self.suffix = suffix
+        turn = str.encode if style == "library" else self._bytes
+        self.names = [turn(names.get(i, "")) for i in range(max(names) + 1)]
+        self.between = b" " if style == "library" else b""
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def _bytes(self, i: int) -> bytes:
-        name = self.names[i]
-        if any(c not in self.byte for c in name):
-            return name.encode()
+    def _bytes(self, name: str) -> bytes:
         body = name.removesuffix(self.suffix)
+        if any(c not in self.byte for c in body):
+            return name.encode()
         return bytes(self.byte[c] for c in body) + b" " * (body != name)
 
     def feed(self, ids: Iterable[int]) -> str:
-        if self.style == "library":
-            text = " ".join(map(self.names.__getitem__, ids))
-            if self.begun and text:
-                text = " " + text
-            self.begun |= bool(text)
-            return text
-        return self.utf8.decode(b"".join(map(self._bytes, ids)))
+        raw = self.between.join(map(self.names.__getitem__, ids))
+        if raw and self.begun:
+            raw = self.between + raw
+        self.begun |= bool(raw)
+        return self.utf8.decode(raw)
 
     def finish(self) -> str:
         self.begun = False
-        return self.utf8.decode(b"", True) if self.style == "text" else ""
+        return self.utf8.decode(b"", True)
 
 
 @lru_cache(maxsize=1)
@@ -294,11 +447,14 @@ def encode_decode(
         machine = encoder(path)
         back = Decoder(machine.names, machine.suffix, style)
         for b in batches:
-            ids = [machine.encode(t.as_py()) for t in b.column(1)]
-            texts = []
-            for x in ids:
-                parts = [back.feed(x[i : i + 65536].tolist()) for i in range(0, len(x), 65536)]
-                texts.append("".join([*parts, back.finish()]))
+            ids, texts = [], []
+            for t in b.column(1):
+                parts, said = [], []
+                for settled in machine.stream(pieces_of(t.as_py())):
+                    parts.append(settled)
+                    said.append(back.feed(memoryview(settled).cast("i")))
+                ids.append(np.frombuffer(b"".join(parts), np.int32))
+                texts.append("".join([*said, back.finish()]))
             ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
             yield pa.RecordBatch.from_arrays(

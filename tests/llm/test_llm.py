@@ -140,6 +140,86 @@ def test_transducer_streams():
         assert widest <= machine.full
 
 
+def test_lookahead_of_random_merge_lists():
+    """Tokens that come out early are those of the whole word, for every continuation tried; the window is a symbol at a time."""
+    rng = random.Random(12)
+    early = 0
+    for _ in range(150):
+        vocab = {c: i for i, c in enumerate("abc")}
+        merges = []
+        for _ in range(rng.randint(1, 9)):
+            a, b = rng.choice([*vocab]), rng.choice([*vocab])
+            if (a, b) not in merges and len(a + b) < 9:
+                merges.append((a, b))
+                vocab.setdefault(a + b, len(vocab))
+        t = bpe.MergeTable(vocab, merges, "")
+        sizes = {i: len(s) for s, i in vocab.items()}
+        for _ in range(20):
+            word = [vocab[rng.choice("abc")] for _ in range(rng.randint(1, 30))]
+            machine, out = bpe.Transducer(t, sizes, block=1), []
+            for x in word:
+                out += machine.push([x])
+            early += len(out)
+            assert out + machine.flush() == t.merge(word[:])
+    assert early > 1000
+
+
+@pytest.mark.parametrize("block", [48, 4096])
+def test_bpe_long_words(monkeypatch, block):
+    """Words longer than a block, with special tokens, contractions, composing characters and class changes at its ends."""
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    e, rng = bpe.encoder(WORDS), random.Random(block)
+    pools = [
+        ["a", "b", "ing", "the", "e"], ["!", "'", "s", "--"], ["é", "e", "\u0301", "\u0327", "q", "ᄀ", "ᅡ", "ᆨ", "가", "İ", "Σ"],
+        ["<|endoftext|>", "<|endof", "text|>", "<|startoftext|>", "x", "<", "|"], ["7", "½", "x", "日", "🙂", "'re", "'ll", " "],
+    ]
+    for k in range(60):
+        text = "".join(rng.choices(pools[k % 5], k=rng.randint(block, 5 * block)))
+        assert e.encode(text).tolist() == library_once().encode(text, add_special_tokens=False).ids
+    text = "".join(rng.choices(["word ", "é", "\n"], k=9 * block)) + "z" * 3 * block
+    assert e.encode(text).tolist() == library_once().encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_character_classes():
+    """Code points of every block, those that only one side's tables know among them."""
+    e = bpe.encoder(WORDS)
+    for at in [*range(0x80, 0x3400, 7), *range(0xA000, 0xD800, 41), *range(0xE000, 0x20000, 13), *range(0x105C0, 0x10600), *range(0x20000, 0x110000, 4001)]:
+        text = f"x{chr(at)}y1{chr(at)}e\u0301"
+        assert e.encode(text).tolist() == library_once().encode(text, add_special_tokens=False).ids, hex(at)
+
+
+def test_bpe_memory_is_bounded():
+    """Words, then one long word, through encoder and decoder, block by block: four times the text takes no more memory."""
+    import tracemalloc
+
+    e = bpe.Encoder(WORDS, max_entries=2000)
+    back = bpe.Decoder(e.names, e.suffix)
+    rng = random.Random(6)
+    words = "".join(rng.choices(["plain words ", "naïve ", "x's ", "日本 ", "\n", "abcdefghij" * 20], k=4000))
+    for piece, times in ((words, 4), ("thequickbrownfox" * 64, 100)):
+        peaks = []
+        for n in (times, 4 * times):
+            tracemalloc.start()
+            for settled in e.stream(piece for _ in range(n)):
+                back.feed(memoryview(settled).cast("i"))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert peaks[1] < 1.2 * peaks[0] < 12_000_000
+
+
+def test_decoder_round_trip(docs):
+    """The byte machine gives back the pre-tokens of whole documents, whatever the size of its blocks."""
+    e = bpe.encoder(WORDS)
+    for r in docs.where("text is not null").limit(80).collect():
+        ids = e.encode(r["text"]).tolist()
+        d = bpe.Decoder(e.names, e.suffix, style="text")
+        told = "".join(d.feed(ids[i : i + 3]) for i in range(0, len(ids), 3)) + d.finish()
+        plain = e._plain(r["text"])
+        want = [m for part in e.blank.split(plain) for m in e.pattern.findall(part)]
+        if "<|" not in r["text"]:
+            assert told == "".join(w + " " for w in want)
+
+
 def test_decoder_machine():
     e = bpe.encoder(WORDS)
     text = "naïve café 日本 🙂 the end"
