@@ -1,4 +1,4 @@
-"""A filter of fixed size that spares a shuffle most of the rows a semi-join would drop.
+"""A filter of fixed size that spares a shuffle most of the rows a semi-join would drop, and samples by a hash.
 
 ``key_filter`` is a Bloom filter of one hash as a table of at most WORDS rows (4 MB), whatever the number of keys, so it
 can always be broadcast. It lets every wanted row pass, and others more often the more keys it holds; an exact join has to
@@ -31,3 +31,10 @@ def in_filter(column: str) -> Column:
     """The join condition with ``key_filter``."""
     bit = F.call_function("shiftrightunsigned", F.col("filter_bits"), _bit(column)).bitwiseAND(F.lit(1).cast("long"))
     return (_word(column) == F.col("filter_word")) & (bit == 1)
+
+
+def about(rows: int, of: int, seed: int, *columns: str) -> Column:
+    """Whether a row is in a sample of about ``rows`` of ``of`` rows, by a 64-bit hash of its columns."""
+    if rows >= of:
+        return F.lit(True)
+    return F.xxhash64(*columns, F.lit(seed)) < F.lit(-(1 << 63) + (rows << 64) // of)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.filters import about
 from folioscope.session import ensure_workers
 
 DIMS = 1024
@@ -111,9 +112,7 @@ def fit(labelled: DataFrame, most_rows: int | None = 24_000, dims: int = DIMS) -
     ensure_workers(labelled.sparkSession, 250)
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if most_rows is not None:
-        n = labelled.select("doc_id").count()
-        if n > most_rows:
-            rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
+        rows = rows.where(about(most_rows, labelled.select("doc_id").count(), 7, "doc_id"))
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -137,8 +136,9 @@ def fit(labelled: DataFrame, most_rows: int | None = 24_000, dims: int = DIMS) -
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS) -> DataFrame:
-    """``docs`` with lang_pred and score after its own columns (which must not have those names)."""
+    """``docs`` with lang_pred and score after its own columns; own columns of those names are replaced."""
     ensure_workers(docs.sparkSession, 250)
+    docs = docs.drop("lang_pred", "score")
     names = [*prototypes]
     matrix = np.stack([*prototypes.values()]).T if names else np.zeros((dims, 0), np.float32)
     columns = docs.columns

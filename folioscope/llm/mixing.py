@@ -91,27 +91,33 @@ def plan(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int],
     return materialize(spark.range(0, 1, 1, 1).mapInArrow(run, kind), "mixing-plan")
 
 
+def target_weights(docs: DataFrame, power: float = 0.5) -> dict[str, float]:
+    """Each source's number of rows to ``power``: 1 keeps the sources' shares, 0 makes them equal."""
+    counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("s")).count().collect()
+    return {r["s"]: r["count"] ** power for r in counts}
+
+
 def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     block_rows: int = 32,
     period: int = 1000,
-    power: float = 0.5,
     rows_per_bucket: int = 4096,
 ) -> DataFrame:
     """``docs`` with __mix_block, __mix_slot, __mix_release, __mix_deadline and __mix_place (row within its block).
 
-    Without ``weights`` a source weighs its number of rows to ``power``. ``period`` is the number of blocks that
-    are planned at a time. A source's order is that of a hash; ranks come from bucket counts plus a row number within a bucket, so a source with a third
+    ``weights`` are the sources' target weights, those of ``target_weights`` by default; a source that isn't among them has
+    weight 0. ``period`` is the number of blocks that are planned at a time. Columns named __mix_* are replaced. A source's order is that of a hash; ranks come from bucket counts plus a row number within a bucket, so a source with a third
     of all rows is spread over all tasks.
     """
     spark = docs.sparkSession
+    docs = docs.drop(*[c for c in docs.columns if c.lower().startswith(PREFIX)])
     source = F.coalesce(F.col("source"), F.lit(""))
     h = F.xxhash64(F.col("doc_id"), F.lit(20011))
     sizes = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).count().collect()}
     rows = sum(sizes.values())
     buckets = max(1, math.ceil(rows / rows_per_bucket))
-    targets = {s: float((weights or {}).get(s, 0.0) if weights else n**power) for s, n in sizes.items()}
+    targets = {s: float(weights.get(s, 0.0) if weights else n**0.5) for s, n in sizes.items()}
     made = plan(spark, targets, {s: -(-n // block_rows) for s, n in sizes.items()}, period)
     keyed = docs.withColumns({f"{PREFIX}source": source, f"{PREFIX}h": h}).withColumn(
         f"{PREFIX}bucket", F.pmod(F.shiftrightunsigned(f"{PREFIX}h", 20), F.lit(buckets))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.filters import about, in_filter, key_filter
 from folioscope.session import ensure_workers, materialize
 
 FEATURES, BINS, RIDGE, SEED = 256, 512, 1e-3, 11
@@ -118,10 +119,7 @@ def fit(rows: DataFrame, most_rows: int = 60_000) -> Model:
 
     ``most_rows`` bounds the sample; above it, rows are picked by a hash of their id.
     """
-    n = rows.count()
-    if n > most_rows:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * most_rows / n))
-    rows = materialize(rows, "training").coalesce(8)
+    rows = materialize(rows.where(about(most_rows, rows.count(), 5, "doc_id")), "training").coalesce(8)
     at = [F.col("stats")[i] for i in range(N_STATS)]
     moments = rows.agg(F.count("*"), F.avg("label"), *[F.avg(c) for c in at], *[F.stddev_pop(c) for c in at], F.min("label"), F.max("label")).first()
     count, prior, low, high = moments[0], moments[1], moments[-2], moments[-1]
@@ -174,14 +172,38 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "stats").mapInPandas(run, "doc_id long, score double")
 
 
+def train(stats: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> Model:
+    """From (doc_id, stats) rows; labels with crc32(doc_id) mod ``folds`` equal to ``held_out`` are never read."""
+    marks = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("label"))
+    return fit(stats.join(marks.where(fold_of(folds) != held_out), "doc_id").withColumn("fold", fold_of(folds)))
+
+
+def fold_of(folds: int) -> F.Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``; labels with crc32(doc_id) mod ``folds``
-    equal to ``held_out`` are never read."""
-    fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+    """(doc_id, held_out, score, predicted) for each row of ``docs``."""
     stats = materialize(with_statistics(docs), "statistics")
-    marks = labels.where(F.col("quality").isNotNull()).select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("label"))
-    train = stats.join(marks.where(fold != held_out), "doc_id").withColumn("fold", fold)
-    scored = score(stats, fit(train))
+    scored = score(stats, train(stats, labels, held_out, folds))
     return scored.select(
-        "doc_id", (fold == held_out).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        "doc_id", (fold_of(folds) == held_out).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
+
+
+def with_scores(docs: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> DataFrame:
+    """``docs`` with the column score (an own one of that name is replaced). The model's rows are found by a filter of their ids, so
+    no text is shuffled, and each row is scored where it is read: rows without an id or with a shared one too."""
+    ids = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select("doc_id", "text")
+    near = ids.join(F.broadcast(key_filter(labels.select(F.col("doc_id").cast("long")), "doc_id")), in_filter("doc_id"), "left_semi")
+    model = train(materialize(with_statistics(near), "statistics"), labels, held_out, folds)
+    docs = docs.drop("score")
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = model.score(np.array([statistics(t.as_py()) for t in b.column(at)]).reshape(-1, N_STATS))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*b.schema.names, "score"])
+
+    fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
+    return docs.mapInArrow(run, f"{fields}, score double")

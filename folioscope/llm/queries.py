@@ -70,9 +70,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
-def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_source_mixing(spark: SparkSession, sf_dir: str, weights: dict[str, float] | None = None) -> DataFrame:
+    """``weights``: target weights by source; the square roots of the sources' sizes where none are given."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    mixed = mixing.mix(docs)
+    mixed = mixing.mix(docs, weights=weights or mixing.target_weights(docs))
     return mixed.select("doc_id", "source", *[F.col(f"__mix_{c}").alias(c) for c in ("block", "slot", "release", "deadline", "place")])
 
 

@@ -462,6 +462,65 @@ def test_labels_of_held_out_rows_are_not_read(spark, docs):
     assert a.exceptAll(b).count() == 0
 
 
+def test_samples_of_huge_tables(spark):
+    """The share of a sample stays right however many rows there are."""
+    from folioscope.llm.filters import about
+
+    df = spark.range(200_000)
+    for of in (400_000, 4_000_000, 10**15):
+        got = df.where(about(of // 400, of, 7, "id")).count()
+        assert 350 < got < 650
+    assert df.where(about(24_000, 10**11, 7, "id")).count() < 10 and df.where(about(5, 5, 7, "id")).count() == 200_000
+    assert about(24_000, 10**13, 7, "id")._jc.toString().split("<")[-1].strip(" )") != str(-(1 << 63))
+
+
+def test_random_features_approximate_the_kernel():
+    rng = np.random.default_rng(2)
+    z = rng.normal(0, 1, (60, quality_classifier.N_STATS))
+    got = quality_classifier.lift(z, features=20_000)[:, :-1]
+    want = np.exp(-((z[:, None] - z[None]) ** 2).sum(-1) / (2 * quality_classifier.N_STATS))
+    assert np.abs(got @ got.T - want).max() < 0.04
+    small = quality_classifier.lift(z)[:, :-1]
+    assert np.abs(small @ small.T - want).mean() < 1 / np.sqrt(quality_classifier.FEATURES)
+
+
+def test_classifier_by_force(spark):
+    """Standardising, ridge, calibration and scores against one numpy computation over all rows."""
+    rng = np.random.default_rng(4)
+    n, k = 900, quality_classifier.N_STATS
+    x = rng.normal(3, 2, (n, k))
+    x[:, 5] = 1.5  # a constant statistic
+    y = (x[:, 0] * x[:, 1] + rng.normal(0, 2, n) > 9).astype(float)
+    fold = rng.integers(0, 3, n)
+    rows = [(i, x[i].tolist(), float(y[i]), int(fold[i])) for i in range(n)]
+    model = quality_classifier.fit(spark.createDataFrame(rows, "doc_id long, stats array<double>, label double, fold int").repartition(5))
+    scale = x.std(0)
+    scale[5] = 1.0
+    z = quality_classifier.lift((x - x.mean(0)) / scale)
+    a, m = z[fold == 0], (fold == 0).sum()
+    want = np.linalg.lstsq(
+        np.vstack([a, np.sqrt(quality_classifier.RIDGE * m / quality_classifier.FEATURES) * np.eye(a.shape[1])]),
+        np.concatenate([y[fold == 0], np.zeros(a.shape[1])]), rcond=None,
+    )[0]
+    assert model.weights == pytest.approx(want, abs=1e-6)
+    raw = z @ want
+    bins = np.clip(np.rint(raw[fold != 0] * quality_classifier.BINS), -quality_classifier.BINS, 2 * quality_classifier.BINS)
+    at = np.unique(bins)
+    mean = np.array([y[fold != 0][bins == b].mean() for b in at])
+    size = np.array([(bins == b).sum() for b in at])
+    upto, total = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(size * mean)])
+    means = lambda i, js: (total[js] - total[i]) / (upto[js] - upto[i])  # noqa: E731  of bins i to js - 1
+    level = [max(means(i, np.arange(q + 1, len(at) + 1)).min() for i in range(q + 1)) for q in range(len(at))]
+    assert model.levels == pytest.approx(np.array(level), abs=1e-9)
+    assert model.score(x) == pytest.approx(np.interp(raw, at / quality_classifier.BINS, level), abs=1e-6)
+
+
+def test_classifier_with_a_shared_id(spark, docs):
+    rows = [(7, "one text here"), (7, "Another, longer text is here."), (7, "one text here")]
+    got = quality_classifier.classify(spark.createDataFrame(rows, "doc_id long, text string"), table(spark, SF, "labels")).collect()
+    assert [r["doc_id"] for r in got] == [7, 7, 7]
+
+
 def test_isotonic():
     got = quality_classifier.isotonic(np.arange(6.0), np.array([0, 1, 0.5, 0.5, 1, 0.9]), np.ones(6))
     assert got == pytest.approx([0, 2 / 3, 2 / 3, 2 / 3, 0.95, 0.95])
@@ -476,8 +535,8 @@ def test_language_id(spark, odd, none, docs):
     named = docs.where(fold == 2).select("doc_id", "text", F.col("lang").alias("want"))
     held = language_id.predict(named, protos).collect()
     assert np.mean([r["want"] == r["lang_pred"] for r in held]) > 0.95
-    rows = language_id.predict(odd.select("doc_id", "text"), protos).collect()
-    assert len(rows) == odd.count()
+    rows = language_id.predict(odd.withColumn("lang_pred", F.lit(3)), protos).collect()
+    assert len(rows) == odd.count() and {*rows[0].asDict()} == {*odd.columns, "lang_pred"}
     for r in rows:
         letters = any(c.isalpha() for c in r["text"] or "")
         assert (r["lang_pred"] == "und") == (not letters) and 0 <= r["score"] <= 1
@@ -616,6 +675,8 @@ def test_mixing(spark, odd, none, docs):
             slots[r["__mix_slot"]].add(r["source"] or "")
         assert all(len(s) == 1 for s in slots.values())
     assert mixing.mix(none).count() == 0
+    clash = docs.select("doc_id", "source", F.lit(1).alias("__mix_slot"), F.lit("x").alias("__mix_h"))
+    assert mixing.mix(clash).select("__mix_slot").distinct().count() > 1
     order = mixing.mixed_order(docs)
     assert order.columns == docs.columns and order.exceptAll(docs).count() == 0 and order.count() == docs.count()
 
@@ -690,22 +751,102 @@ def test_chat_query(spark, duck):
 # pipeline
 
 
-def test_pipeline(spark):
+@pytest.fixture(scope="module")
+def stages(spark, odd):
+    """(stage, its input, its output) for documents and the odd rows, shared and null ids among them, written between stages."""
     import corpus_pipeline as P
 
-    docs = table(spark, SF, "documents")
-    cols = docs.columns
-    sizes = []
+    more = [(None, "a text without an id, long enough to be told", None, "s", 1), (3, "the same id, other words, as can be seen here", None, None, 1)]
+    rows = spark.createDataFrame([*more, more[0]], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = materialize(table(spark, SF, "documents").unionByName(odd.select(*P.COLUMNS).withColumn("doc_id", F.col("doc_id") + 10**6)).unionByName(rows), "odd")
+    out = {}
+    for name, stage in P.STAGES:
+        made = materialize(stage(spark, docs, SF), f"test-{name}")
+        assert name == P.STAGES[-1][0] or made.columns == [*P.COLUMNS]
+        out[name] = (docs.collect(), made.collect())
+        docs = made
+    return out
+
+
+def bag(rows):
+    return collections.Counter((r["doc_id"], r["text"]) for r in rows)
+
+
+def test_pipeline_language_stage(stages):
+    import corpus_pipeline as P
+    from zlib import crc32
+
+    before, after = stages["language_id"]
+    p = language_id.Profiles()
+    units = p.encode([r["text"] for r in before])
+    sums = collections.defaultdict(lambda: np.zeros(language_id.DIMS))
+    for r, u in zip(before, units):
+        if r["lang"] is not None and r["text"] is not None and r["doc_id"] is not None and crc32(str(r["doc_id"]).encode()) % 4 != 2:
+            sums[r["lang"]] += u
+    best = np.max(units @ np.stack([v / np.linalg.norm(v) for v in sums.values()]).T, axis=1)
+    least = np.array([0.02 if len(r["text"] or "") < P.SHORT else 0.125 for r in before])
+    sure = np.abs(best - least) > 1e-3
+    want = bag(r for r, s in zip(before, best >= least) if s)
+    assert all(bag(after)[k] == want[k] for k in bag(r for r, s in zip(before, sure) if s))
+
+
+def test_pipeline_quality_stage(spark, stages):
+    """The same verdicts as the operator's other way, which joins them by id."""
+    before, after = stages["quality_classifier"]
+    numbered = [(i, r["text"]) for i, r in enumerate(before)]
+    ids = spark.createDataFrame([(r["doc_id"], i) for i, r in enumerate(before) if r["doc_id"] is not None], "doc_id long, n long")
+    labels = table(spark, SF, "labels").where(quality_classifier.fold_of(3) != 1)
+    stats = quality_classifier.with_statistics(spark.createDataFrame(numbered, "doc_id long, text string"))
+    marked = stats.withColumnRenamed("doc_id", "n").join(ids, "n").select("doc_id", "stats")
+    model = quality_classifier.train(marked, labels)
+    keep = {r["doc_id"] for r in quality_classifier.score(stats, model).where("score >= 0.5").collect()}
+    assert bag(after) == bag(before[i] for i in keep) and 0 < len(after) < len(before)
+
+
+def test_pipeline_near_duplicate_stage(stages):
+    before, after = stages["near_duplicates"]
+    names = sorted({(r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in before})
+    classes = classes_by_force([(i, t) for i, (_, _, t) in enumerate(names)])
+    of = {n: classes[i] for i, n in enumerate(names)}
+    kept = [of[r["doc_id"] is None, r["doc_id"] or 0, r["text"] or ""] for r in after]
+    assert sorted(kept) == sorted({*classes.values()}) and len(after) < len(before)
+
+
+def test_pipeline_mixing_stage(stages):
+    before, after = stages["mixing"]
+    assert bag(before) == bag(after)
+
+
+def test_pipeline_last_stage(stages):
+    before, after = stages["bpe"]
+    assert sorted(r["place"] for r in after) == [*range(len(before))]
+    want = collections.Counter((r["doc_id"], tuple(library_once().encode(r["text"] or "", add_special_tokens=False).ids)) for r in before)
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in after) == want
+
+
+def test_pipeline_without_rows(spark):
+    import corpus_pipeline as P
+
+    docs = materialize(table(spark, SF, "documents").where("1 = 0"), "none")
     for name, stage in P.STAGES:
-        out = stage(spark, docs, SF)
-        path = fresh_path(spark, f"test-{name}")
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
-        sizes.append(docs.count())
-        if name != P.STAGES[-1][0]:
-            assert docs.columns == cols
-    assert sizes == sorted(sizes, reverse=True) and sizes[2] < sizes[0] and sizes[2] == sizes[4]
-    assert P.run(spark, SF).count() == sizes[-1]
+        docs = materialize(stage(spark, docs, SF), f"test-{name}")
+        assert docs.count() == 0
+
+
+def test_pipeline_keeps_texts_of_a_shared_id(spark):
+    import corpus_pipeline as P
+
+    one, two = (" ".join(f"{c}{i}" for i in range(40)) for c in "vw")
+    rows = [(7, one, "en", "a", 1), (7, two, "en", "a", 2), (7, two, "en", "a", 2), (None, two + " end", None, None, None), (8, "alone", "en", "b", 1)]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "shared")
+    kept = P.drop_near_duplicates(spark, docs, SF).collect()
+    assert len(kept) == 3 and {r["text"] for r in kept} >= {one, "alone"}
+
+
+def test_pipeline_runs(spark):
+    import corpus_pipeline as P
+
+    assert P.run(spark, SF).count() > 0
 
 
 def test_pipeline_rejects_unlearned_scripts(spark):
