@@ -1,9 +1,10 @@
-"""License scans with a generalised suffix automaton of licence wording.
+"""License scans with a generalised suffix automaton of licence tokens.
 
-The automaton holds every token string that occurs in a template. A document's words stream through
+The automaton holds every token string that occurs in a template: whole licences, notices, deeds and naming sentences. A document's words stream through
 it and give matching statistics: the longest template substring that ends at each word. Matches that
-cannot grow are chained, template by template, in document and template order into covered spans.
-Plain phrases are found beside that, as places where their words stand one after another.
+cannot grow are chained, template by template, in document and template order into covered spans. A span has its
+template's label if the chain covers enough of the template; where spans of several templates lie on one
+another, the one that covers most words stands, as deeds and notices share sentences. Plain phrases are found beside that, as places where their words stand one after another.
 
 Defined results: null is the empty text; no words means no span and score 0; repeated rows each get a
 row; an empty table gives an empty result.
@@ -12,6 +13,7 @@ row; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.llm.license_texts import TEXTS
 from folioscope.session import ensure_workers
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -27,31 +30,19 @@ LOWER = {c: c + 32 for c in range(65, 91)}
 #: Fixed phrases and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: Fixed wording of public licences and of the notices that name them, by label.
-TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "the software is provided as is without warranty of any kind express or implied"),
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-)
-
 LEAST_MATCH, LEAST_COVER, GAP = 4, 0.6, 8
 
 
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").translate(LOWER))
+
+
 class Automaton:
     """States of the generalised suffix automaton; ``ends`` has (template, end) of each state's strings."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
+    def __init__(self, templates: tuple[tuple[str, str], ...] = TEXTS):
         self.labels = [label for label, _ in templates]
-        self.words = [text.split() for _, text in templates]
+        self.words = [words_of(text) for _, text in templates]
         self.next: list[dict[str, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.ends: list[set[tuple[int, int]]] = [set()]
@@ -126,13 +117,12 @@ class Automaton:
     def spans(self, words: list[str]) -> list[tuple[str, int, int, float]]:
         """(label, first word, last word, share of the template covered) of chained matches."""
         open_: dict[int, tuple[int, int, int, int]] = {}  # template: first, last, template end, covered
-        done = []
+        done = []  # covered words, template, first, last
 
         def close(t: int) -> None:
             first, last, _, covered = open_.pop(t)
-            share = covered / len(self.words[t])
-            if share >= LEAST_COVER:
-                done.append((self.labels[t], first, last, min(1.0, share)))
+            if covered >= LEAST_COVER * len(self.words[t]):
+                done.append((covered, t, first, last))
 
         for end, length, state in self.matches(words):
             for t, at in sorted(self.ends[state]):
@@ -149,22 +139,29 @@ class Automaton:
                 open_[t] = (begin, end, at, length)
         for t in [*open_]:
             close(t)
-        return sorted(done)
-
-
-def places(words: list[str]) -> list[tuple[str, int]]:
+        kept: list[tuple[str, int, int, float]] = []
+        spots: list[tuple[int, int]] = []  # what kept spans cover, as disjoint intervals in order
+        for covered, t, first, last in sorted(done, key=lambda x: (-x[0], len(self.words[x[1]]), x[1:])):
+            lo = bisect_left(spots, (first, first))
+            lo -= lo > 0 and spots[lo - 1][1] >= first
+            hi = bisect_left(spots, (last + 1, last + 1))
+            if 2 * sum(min(last, y) - max(first, x) + 1 for x, y in spots[lo:hi]) <= last - first + 1:
+                ends = [(first, last), *spots[lo:hi]]
+                spots[lo:hi] = [(min(x for x, _ in ends), max(y for _, y in ends))]
+                kept.append((self.labels[t], first, last, min(1.0, covered / len(self.words[t]))))
+        return sorted(kept)
+
+
+def places(words: list[str], phrases: tuple[tuple[str, str], ...] = PHRASES) -> list[tuple[str, int]]:
     """(label, start) wherever a phrase's words stand one after another."""
     out = []
-    if "license" not in words:
-        return out
-    phrases = [(p.split(), label) for p, label in PHRASES]
-    i = -1
-    while True:
-        try:
-            i = words.index("license", i + 1)
-        except ValueError:
-            return sorted(out, key=lambda x: x[1])
-        out += [(label, i - len(p) + 1) for p, label in phrases if i - len(p) + 1 >= 0 and words[i - len(p) + 1 : i + 1] == p]
+    for phrase, label in phrases:
+        parts, i = phrase.split(), -1
+        for _ in range(words.count(parts[-1])):
+            i = words.index(parts[-1], i + 1)
+            if words[max(0, i - len(parts) + 1) : i + 1] == parts:
+                out.append((label, i - len(parts) + 1))
+    return sorted(out, key=lambda x: x[1])
 
 
 @lru_cache(maxsize=1)
@@ -189,7 +186,7 @@ def scan(docs: DataFrame) -> DataFrame:
         for b in batches:
             sizes, found, chained = [], [], []
             for text in b.column(1):
-                words = WORD.findall((text.as_py() or "").translate(LOWER))
+                words = words_of(text.as_py())
                 sizes.append(len(words))
                 found.append([{"label": x, "start": i} for x, i in places(words)])
                 chained.append([dict(zip(("label", "first", "last", "coverage"), s)) for s in machine.spans(words)])
