@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.session import ensure_workers
+from folioscope.session import ensure_workers, materialize
 
 CACHE_SCHEMA = T.StructType(
     [
@@ -52,12 +52,18 @@ class PieceCounter:
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.half = max_entries // 2
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
-        self.separable = not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.separable = not any(SPACE in p.lstrip(SPACE) for p in pieces) and self._keeps_texts()
         self.young: dict[str, int] = {}
         self.old: dict[str, int] = {}
         a, spaced = self._whole(["a", "a "])
         self.lone_space = spaced - a
 
+    def _keeps_texts(self) -> bool:
+        """Whether the model's normaliser changes nothing but spaces into marks: full-width, composed and decomposed letters,
+        ligatures, case, controls, runs of spaces and other blanks."""
+        said = ["a  b", " a ", "Ａ", "ﬁ", "é", "e\u0301", "İ", "½", "\u200b", "\u00a0x", "a\tb\n", "\x07", "한글", "ｶﾞ", "①", "\ufeff"]
+        return all(self.model.normalize(t).replace(SPACE, " ") in (t, " " + t) for t in said)
+
     def _whole(self, texts: list[str]) -> list[int]:
         return [*map(len, self.model.encode(texts, num_threads=1))]
 
@@ -145,7 +151,8 @@ def count_tokens(
             )
 
     distinct.mapInPandas(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    counts = read_cache(spark, cache_path, version)
+    # a table of its own, so that the join below can split a digest that many rows share
+    counts = materialize(read_cache(spark, cache_path, version), "token-counts")
     ids = docs.select(
         F.col(id_col).alias("doc_id"),
         F.octet_length(text).cast("long").alias("n_bytes"),
