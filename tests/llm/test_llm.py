@@ -74,6 +74,17 @@ def test_token_counts(spark, odd, none, docs):
     assert token_counts.count_tokens(none, PIECES, fresh_path(spark, "cache")).count() == 0
 
 
+def test_models_that_change_texts_are_encoded_whole(monkeypatch):
+    counter = token_counts.PieceCounter(PIECES)
+    assert counter.separable
+
+    class Folding:
+        normalize = staticmethod(lambda t: t.replace("ﬁ", "fi"))
+
+    counter.model = Folding()
+    assert not counter._keeps_texts()
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab é▁\n\t  日x<s>"), max_size=30), max_size=4))
 def test_piece_counter(texts):
@@ -629,7 +640,7 @@ def test_matching_statistics():
     machine = license_scan.automaton()
     rng = random.Random(2)
     pool = [w for words in machine.words for w in words] + ["zzz"]
-    subs = {tuple(w[i:j]) for w in machine.words for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
+    subs = {tuple(w[i:j]) for w in machine.words for i in range(len(w)) for j in range(i + 1, min(i + 24, len(w)) + 1)}
     for _ in range(40):
         words = [rng.choice(pool) for _ in range(20)]
         t = rng.choice(machine.words)
@@ -639,10 +650,89 @@ def test_matching_statistics():
             want = max((n for n in range(i + 2) if n == 0 or tuple(words[i - n + 1 : i + 1]) in subs), default=0)
             assert length == want
             assert all(machine.words[a][b - length + 1 : b + 1] == words[i - length + 1 : i + 1] for a, b in machine.ends[state])
+    whole = max(machine.words, key=len)
+    assert [length for _, length, _ in machine.statistics(whole, 0)] == [*range(1, len(whole) + 1)]
     body = "lorem ipsum released under the mit license dolor".split()
     assert machine.spans(body) == [("mit", 2, 6, 1.0)]
 
 
+def spans_by_force(machine, words):
+    """Longest template strings by plain search, chained template by template, without the automaton."""
+    n = len(words)
+    holds = lambda t, part: [i for i in range(len(t) - len(part) + 1) if t[i : i + len(part)] == part]
+    longest = []
+    for i in range(n):
+        k = longest[-1] + 1 if longest else 1
+        while k and not any(holds(t, words[i - k + 1 : i + 1]) for t in machine.words):
+            k -= 1
+        longest.append(k)
+    chains = []
+    for t, template in enumerate(machine.words):
+        chain = None
+        for i, k in enumerate(longest):
+            if k < license_scan.LEAST_MATCH or (i + 1 < n and longest[i + 1] > k):
+                continue
+            for at in holds(template, words[i - k + 1 : i + 1]):
+                first, stop = i - k + 1, at + k - 1
+                if chain and first - chain[1] <= license_scan.GAP:
+                    fresh = min(k, i - chain[1], stop - chain[2])
+                    if fresh > 0:
+                        chain = (chain[0], i, stop, chain[3] + fresh)
+                        continue
+                    if i <= chain[1]:
+                        continue
+                if chain:
+                    chains.append((chain[3], t, chain[0], chain[1]))
+                chain = (first, i, stop, k)
+        if chain:
+            chains.append((chain[3], t, chain[0], chain[1]))
+    enough = [c for c in chains if c[0] >= license_scan.LEAST_COVER * len(machine.words[c[1]])]
+    taken, out = set(), []
+    for covered, t, first, last in sorted(enough, key=lambda c: (-c[0], len(machine.words[c[1]]), c[1:])):
+        own = {*range(first, last + 1)}
+        if 2 * len(own & taken) <= len(own):
+            taken |= own
+            out.append((machine.labels[t], first, last, min(1.0, covered / len(machine.words[t]))))
+    return sorted(out)
+
+
+def test_spans_by_force():
+    """Licences with words left out, put in or changed, beside and inside one another."""
+    machine, rng = license_scan.automaton(), random.Random(11)
+    seen = set()
+    for k in range(40):
+        words = []
+        for _ in range(3):
+            words += rng.choices(["lorem", "the", "software", "of", "ipsum", "license"], k=rng.randint(0, 12))
+            t = rng.choice([w for w in machine.words if len(w) < 130])[:]
+            for _ in range(rng.choice([0, 1, 4, 12])):
+                at = rng.randrange(len(t))
+                t[at : at + rng.randint(0, 3)] = rng.choices(["dolor", "and", "x"], k=rng.randint(0, 2))
+                t = t or ["x"]
+            words += t
+        got = machine.spans(words)
+        assert got == spans_by_force(machine, words)
+        seen |= {s[0] for s in got}
+    assert len(seen) > 8
+
+
+@pytest.mark.parametrize("label, text", license_scan.TEXTS)
+def test_whole_licenses_are_found(label, text):
+    """Each text alone has its label and no other; so it has with another holder, a changed word and lines of code around it."""
+    machine = license_scan.automaton()
+    words = license_scan.words_of(text)
+    assert {s[0] for s in machine.spans(words)} == {label}
+    if len(words) > 40:
+        changed = [*"int main void return 0".split(), *words[:20], "acme", "corporation", *words[21:], *"include stdio h".split()]
+        (span,) = [s for s in machine.spans(changed) if s[0] == label][:1]
+        assert {s[0] for s in machine.spans(changed)} == {label} and span[3] > 0.85 and span[1] >= 3
+
+
+def test_phrases_of_any_last_word():
+    words = "a b a b c b a b".split()
+    assert license_scan.places(words, (("a b", "x"), ("b c", "y"), ("c", "z"), ("q a", "w"))) == [("x", 0), ("x", 2), ("y", 3), ("z", 4), ("x", 6)]
+
+
 # 9
 
 
