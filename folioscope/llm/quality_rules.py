@@ -9,6 +9,9 @@ below ``least_words`` words or without any reference.
 Per-document counts are made in one pass over the texts and written as a small table, from
 which references, distances and verdicts follow.
 
+A document in a language without a list of common words is held against the languages that have one and is as a rule
+rejected as unlike all of them; add its list to COMMON.
+
 Defined results: null has no words and fails; without a labelled language only the base rules decide;
 repeated rows each get a row; an empty table gives an empty result.
 """
@@ -172,6 +175,8 @@ def judge(
     n, ok = F.col("n_words"), F.lit(True)
     failed = (n < base_words) | (100 * F.col("n_repeat_words") > 50 * n)
     refs = references(table)
+    # a small table in few files: the distances are worked out in as many tasks as a shuffle has
+    table = table.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     near, class_d, word_d = F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(None).cast("double")
     if refs:
         options = F.array(*[
