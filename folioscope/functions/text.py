@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -9,24 +10,49 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Fixed patterns of paper identifiers.
+#: Fixed patterns: paper identifiers, where they stand in links and texts, the hosts whose paths hold them, names
+#: that a line end has split, and reference labels.
 ID_BODY = r"(?:\d{4}\.\d{4,5}|[a-z][a-z0-9.\-]+/\d{7})"
 VERSION = r"(?:v\d+)?"
+HOSTS = ("arxiv.org", "www.arxiv.org", "export.arxiv.org")
+PATH_ID = rf"(?i)/(?:abs|pdf|html)/({ID_BODY}{VERSION})(?:\.pdf)?/?$"
+DOI_ID = rf"(?i)/arxiv\.({ID_BODY}{VERSION})(?:[/?#]|$)"
+LABELLED_ID = rf"(?i)\barxiv\s*[:.]\s*({ID_BODY}{VERSION})(?![a-z0-9/])"
+BARE_ID = rf"(?i)(?<![a-z0-9.\-])({ID_BODY}{VERSION})(?![a-z0-9/])"
+SPLIT_NAME = r"(?i)\b([a-z][a-z0-9.]*-)\s+([a-z][a-z0-9.\-]*/\d{7}(?:v\d+)?)\b"
+REFERENCE_LABEL = r"^\s*\[[^\]]+\]\s*"
+LEADING_JOINER = r"(?i)^(?:&|and\b|or\b)"
+
+
+class Marks(dict):
+    """For ``str.translate``: deletes combining marks."""
+
+    def __missing__(self, point: int) -> int | None:
+        self[point] = None if unicodedata.category(chr(point))[0] == "M" else point
+        return self[point]
+
+
+MARKS, OTHERS = Marks(), re.compile(r"[\W_]+")
 
 
 @F.pandas_udf(T.StringType())
-def normalize_search_text(s: pd.Series) -> pd.Series:
-    """NFKD, marks dropped, lower case, everything but letters and numbers to single spaces."""
+def _fold(s: pd.Series) -> pd.Series:
+    """NFKD, marks dropped, lower case, everything but letters and numbers to single spaces; null stays null."""
 
     def one(x):
-        if x is None:
-            return ""
-        kept = (c for c in unicodedata.normalize("NFKD", x) if unicodedata.category(c)[0] != "M")
-        return " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in "".join(kept).lower()).split())
+        return None if x is None else OTHERS.sub(" ", unicodedata.normalize("NFKD", x).translate(MARKS).lower()).strip()
 
     return s.map(one, na_action=None)
 
 
+def normalize_search_text(c: Column) -> Column:
+    """NFKD, marks dropped, lower case, everything but letters and numbers to single spaces; null gives ''. ASCII text, to
+    which the first two do nothing, never leaves the JVM."""
+    plain = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.coalesce(F.when(other, _fold(F.when(other, c))).otherwise(plain), F.lit(""))
+
+
 @F.pandas_udf(T.StringType())
 def author_key(s: pd.Series) -> pd.Series:
     """NFKC, case-folded, white space collapsed; null stays null."""
@@ -52,7 +78,7 @@ def split_list(c: Column, separators: str = ",;") -> Column:
 
 
 def strip_reference_label(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s*\[[^\]]+\]\s*", "")
+    return F.regexp_replace(c, REFERENCE_LABEL, "")
 
 
 def normalize_id(c: Column) -> Column:
@@ -72,27 +98,67 @@ def normalize_id(c: Column) -> Column:
     )
 
 
+def _versionless(c: Column) -> Column:
+    return F.lower(F.regexp_replace(c, r"(?i)v\d+$", ""))
+
+
+def ids_from_href(c: Column) -> Column:
+    """array<string>: identifiers (versionless, lower case) in a link: its path if the host is one of HOSTS or there is
+    none, its DOI, and labelled ones anywhere. Percent signs are decoded first."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(F.trim(c), F.lit("+"), F.lit("%2B"))), F.trim(c))
+    host = F.lower(F.regexp_extract(decoded, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_replace(F.regexp_replace(decoded, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*", ""), r"[?#].*$", "")
+    own = F.when((host == "") | host.isin(*HOSTS), F.regexp_extract(path, PATH_ID, 1)).otherwise("")
+    found = F.concat(F.array(own, F.regexp_extract(path, DOI_ID, 1)), F.regexp_extract_all(decoded, F.lit(LABELLED_ID), 1))
+    return F.array_sort(F.array_distinct(F.transform(F.filter(found, lambda x: x != ""), _versionless)))
+
+
 def id_from_href(c: Column) -> Column:
-    """Identifier (versionless, lower case) in a link's path, else null."""
-    path = F.try_parse_url(F.try_url_decode(c), F.lit("PATH"))
-    found = F.regexp_extract(path, rf"(?i)/(?:abs|pdf|html)/({ID_BODY}){VERSION}(?:\.pdf)?/?$", 1)
-    doi = F.regexp_extract(path, rf"(?i)/arxiv\.({ID_BODY}){VERSION}(?:[/?#]|$)", 1)
-    return F.lower(F.nullif(F.when(found != "", found).otherwise(doi), F.lit("")))
+    """The first of ``ids_from_href``, or null."""
+    return F.get(ids_from_href(c), F.lit(0))
 
 
 def bare_ids(c: Column) -> Column:
     """Identifiers that stand alone in text, labelled or bare, sorted and distinct. Split archive names
     are joined first."""
-    joined = F.regexp_replace(c, r"(?i)\b([a-z][a-z0-9.]*-)\s+([a-z][a-z0-9.\-]*/\d{7}(?:v\d+)?)\b", "$1$2")
-    bare = F.regexp_extract_all(joined, F.lit(rf"(?i)(?<![a-z0-9.\-])({ID_BODY}){VERSION}(?![a-z0-9/])"), 1)
-    labelled = F.regexp_extract_all(joined, F.lit(rf"(?i)\barxiv\s*[:.]\s*({ID_BODY}){VERSION}(?![a-z0-9/])"), 1)
-    return F.array_sort(F.array_distinct(F.transform(F.concat(bare, labelled), F.lower)))
+    joined = F.regexp_replace(c, SPLIT_NAME, "$1$2")
+    found = F.concat(*[F.regexp_extract_all(joined, F.lit(p), 1) for p in (BARE_ID, LABELLED_ID)])
+    return F.array_sort(F.array_distinct(F.transform(found, _versionless)))
 
 
-def is_substantive(c: Column) -> Column:
-    """A reference item with text besides its label that is no reverse-citation line."""
+def is_substantive(c: Column, hrefs: Column | None = None) -> Column:
+    """A reference item with text besides its label that is no reverse-citation line, or without text but with a link
+    that leaves the page."""
     text = F.trim(strip_reference_label(c))
-    return (text != "") & ~text.rlike(r"(?i)^cited by:")
+    leaves = F.exists(hrefs, lambda h: ~F.startswith(F.trim(h), F.lit("#"))) if hrefs is not None else F.lit(False)
+    return F.when(text.rlike(r"(?i)^cited by:"), False).when(text != "", True).otherwise(leaves)
+
+
+def alias_ids(c: Column, aliases: dict[str, str]) -> Column:
+    """array<string>: ids of ``aliases`` (title: id) whose title stands in the text, case and white space aside."""
+    low = F.lower(collapse_spaces(c))
+    hits = [F.when(F.contains(low, F.lit(" ".join(t.lower().split()))), F.lit(i)) for t, i in sorted(aliases.items())]
+    return F.array_distinct(F.array_compact(F.array(*hits))) if hits else F.array().cast("array<string>")
+
+
+def search_url(base: str, query: Column, start: Column, size: int = 50) -> Column:
+    """A result page, newest first."""
+    parts = (("query", F.url_encode(query)), ("order", F.lit("-announced_date_first")), ("size", F.lit(str(size))), ("start", start.cast("string")))
+    return F.concat(F.lit(f"{base}?"), F.concat_ws("&", *[F.concat(F.lit(f"{n}="), c) for n, c in parts]))
+
+
+def is_newest_first(url: Column) -> Column:
+    """Whether a result page asks for the order that a frontier needs."""
+    return F.coalesce(F.try_parse_url(url, F.lit("QUERY"), F.lit("order")) == "-announced_date_first", F.lit(False))
+
+
+def catch_up_url(base: str, archive: Column, day: Column) -> Column:
+    return F.concat(F.lit(f"{base}/"), F.url_encode(archive), F.lit("/"), F.date_format(day, "yyyy-MM-dd"))
+
+
+def page_url(site: str, *path: Column) -> Column:
+    """An absolute address below the site's root, its segments encoded, with a closing slash."""
+    return F.concat(F.lit(site.rstrip("/") + "/"), *[F.concat(F.replace(F.url_encode(p), F.lit("+"), F.lit("%20")), F.lit("/")) for p in path])
 
 
 def author_label(names: Column, most: int = 4, most_chars: int = 80) -> Column:
@@ -116,7 +182,7 @@ def wrap_label(c: Column, per_char: float = 7.4, padding: float = 8, single: flo
     def option(i: Column) -> Column:
         a = F.array_join(F.slice(words, 1, i), " ")
         b = F.array_join(F.slice(words, i + 1, F.size(words)), " ")
-        joiner = F.when(b.rlike(r"(?i)^(?:&|and\b|or\b)"), 1).otherwise(0)
+        joiner = F.when(b.rlike(LEADING_JOINER), 1).otherwise(0)
         return F.struct(
             F.greatest(width(a), width(b)).alias("w"), joiner.alias("j"), F.abs(F.length(a) - F.length(b)).alias("d"),
             i.alias("i"), a.alias("a"), b.alias("b"),
@@ -128,16 +194,32 @@ def wrap_label(c: Column, per_char: float = 7.4, padding: float = 8, single: flo
     return F.when(one, F.array(c)).otherwise(F.array(best["a"], best["b"]))
 
 
-#: Fixed entity names.
-ENTITIES = (("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+#: Fixed entity names, in the order in which they are decoded: the ampersand first.
+ENTITIES = (("&amp;", "&"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "))
 
 
 def decode_entities(c: Column) -> Column:
+    """Named entities, then numeric ones; what is no code point stays as it is."""
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
+    for start, digits, base in (("&#x", "[0-9a-fA-F]{1,6}", 16), ("&#X", "[0-9a-fA-F]{1,6}", 16), ("&#", "[0-9]{1,7}", 10)):
+        c = F.when(F.contains(c, F.lit(start)), _numeric(c, start, digits, base)).otherwise(c)
     return c
 
 
+def _numeric(c: Column, start: str, digits: str, base: int) -> Column:
+    def char(p: Column) -> Column:
+        found = F.regexp_extract(p, f"^({digits});", 1)
+        point = F.conv(found, base, 10).cast("long")
+        known = (point > 0) & (point <= 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        raw = F.unhex(F.lpad(F.hex(F.when(known, point)), 8, "0"))
+        return F.coalesce(F.concat(F.decode(raw, "UTF-32"), F.substr(p, F.length(found) + 2)), F.concat(F.lit(start), p))
+
+    parts = F.split(c, start)
+    tail = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), char)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(tail, ""))
+
+
 def visible_text(html: Column) -> Column:
     """Text of a page: scripts, styles, comments and tags out, entities decoded, spaces collapsed."""
     c = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(?:script|style)>", " ")

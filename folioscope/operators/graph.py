@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 def mapped_edges(cites: DataFrame, papers: DataFrame, distinct: bool = True) -> DataFrame:
     """Edges between papers of the catalogue; ``distinct`` also drops repeats and self-citations."""
-    edges = cites.select("src", "dst")
-    if distinct:
-        edges = edges.where("src <> dst").distinct()
+    edges = cites.select("src", "dst").where("src <> dst") if distinct else cites.select("src", "dst")
     ids = papers.select("id")
     edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi")
-    return edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    edges = edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
+    return edges.distinct() if distinct else edges  # of what the semi-joins leave
 
 
 def incoming_counts(edges: DataFrame, papers: DataFrame) -> DataFrame:

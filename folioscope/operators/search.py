@@ -37,6 +37,29 @@ def filter_catalog(
     return papers.where(keep)
 
 
+def containing(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of ``texts(doc_id, t)`` that contain the text of ``aliases(item_id, a)``, by equi-joins.
+
+    An alias of three words or more holds its inner words whole, and so does any text that contains it: the longest
+    one is the key. A shorter alias is met by its first characters, three at most, and only if there is one are texts taken
+    apart into characters. Pairs move as ids; a text is fetched once they are known, and tested whole.
+    """
+    parts = F.split(F.trim("a"), r"[ \n]+")
+    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
+    key = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = aliases.where("a is not null").select("item_id", "a", key.alias("w"), F.least(F.length("a"), F.lit(3)).alias("n"))
+    words = texts.select("doc_id", F.explode(F.array_distinct(F.split("t", r"[ \n]+"))).alias("w"))
+    pairs = words.join(keyed.where("w is not null").select("w", "item_id", "a"), "w").select("doc_id", "item_id", "a")
+    for n in sorted(r["n"] for r in keyed.where("w is null").select("n").distinct().collect()):  # four values at most
+        last = F.length("t") - n + 1
+        pieces = F.transform(F.sequence(F.lit(1), last), lambda i: F.substr("t", i, F.lit(n)))  # noqa: B023
+        pieces = F.when(F.lit(n == 0), F.array(F.lit(""))).when(last > 0, F.array_distinct(pieces))
+        heads = keyed.where((F.col("w").isNull()) & (F.col("n") == n)).select(F.substring("a", 1, n).alias("w"), "item_id", "a")
+        grams = texts.select("doc_id", F.explode(pieces).alias("w"))
+        pairs = pairs.union(grams.join(heads, "w").select("doc_id", "item_id", "a"))
+    return texts.join(pairs.distinct(), "doc_id").where(F.contains("t", "a")).select("doc_id", "item_id").distinct()
+
+
 def facet_counts(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """(value, n) over ``rows``, 0 for a value of the enumeration that has none."""
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

@@ -17,7 +17,7 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def insert_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """Old rows stay; of new keys the first row by all columns is added."""
-    fresh = new.join(old.select(*key), key, "left_anti").dropDuplicates(key)
+    fresh = new.join(old.select(*key), key, "left_anti").groupBy(*key).agg(F.min(F.struct(*new.columns)).alias("__row")).select("__row.*")
     return old.unionByName(fresh)
 
 

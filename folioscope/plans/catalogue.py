@@ -154,18 +154,8 @@ def threshold_routing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))""")
 def alias_match(spark: SparkSession, sf: str) -> DataFrame:
-    # an alias of three words or more holds its inner words whole, and so does any text that contains it: the longest
-    # one is an equi-join key, so no pair is made that lacks it. Shorter aliases are compared one by one.
     d = docs(spark, sf).select("doc_id", F.lower("text").alias("t"))
-    b = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("a"))
-    parts = F.split(F.trim("a"), r"[ \n]+")
-    inner = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
-    rarest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    b = b.withColumn("w", rarest)
-    held = F.contains(F.col("t"), F.col("a"))
-    long = d.withColumn("w", F.explode(F.array_distinct(F.split("t", r"[ \n]+")))).join(b.where("w is not null"), "w").where(held)
-    short = d.join(b.where("w is null"), held)
-    return long.select("doc_id", "item_id").union(short.select("doc_id", "item_id")).distinct()
+    return search.containing(d, table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("a")))
 
 
 @query("""SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || n_chars || ',"source":' || coalesce('"' || source || '"', 'null') || '}') AS digest FROM documents""")

@@ -21,7 +21,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 DECODED = "{0}"
-for _name, _char in (("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
+for _name, _char in (("&amp;", "&"), ("&quot;", '"'), ("&#x27;", "''"), ("&#39;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")):
     DECODED = f"replace({DECODED}, '{_name}', '{_char}')"
 VISIBLE = "trim(regexp_replace(" + DECODED.format(
     "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script\\b[^>]*>.*?</script|style\\b[^>]*>.*?</style)>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
@@ -61,16 +61,19 @@ def newest_first_url(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(f"""WITH r AS (SELECT page_id, 'arXiv:24' || lpad(CAST(page_id % 100 AS VARCHAR), 2, '0') || '.' || lpad(CAST(page_id AS VARCHAR), 5, '0') || CASE WHEN page_id % 3 = 0 THEN 'v' || (page_id % 7 + 1) ELSE '' END || CASE WHEN page_id % 2 = 0 THEN '?x=1' ELSE '' END AS raw FROM pages)
-  SELECT page_id, lower(regexp_extract(raw, '(\\d{{4}}\\.\\d{{5}})', 1)) AS id, TRY_CAST(nullif(regexp_extract(raw, 'v(\\d+)', 1), '') AS INTEGER) AS version, 'a|b c|d' AS parts, 'Title here' AS bare FROM r""")
+  SELECT page_id, lower(regexp_extract(raw, '(\\d{{4}}\\.\\d{{5}})', 1)) AS id, TRY_CAST(nullif(regexp_extract(raw, 'v(\\d+)', 1), '') AS INTEGER) AS version,
+    array_to_string(list_filter(list_transform(string_split(replace(url, '?', '/'), '/'), lambda x: trim(x)), lambda x: x <> ''), '|') AS parts, url AS bare FROM r JOIN pages USING (page_id)""")
 def id_normalise(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("page_id")
     raw = F.concat(
         F.lit("arXiv:24"), F.lpad((k % 100).cast("string"), 2, "0"), F.lit("."), F.lpad(k.cast("string"), 5, "0"),
         F.when(k % 3 == 0, F.concat(F.lit("v"), (k % 7 + 1).cast("string"))).otherwise(""), F.when(k % 2 == 0, "?x=1").otherwise(""),
     )
-    parts = F.array_join(text.split_list(F.lit("a; b c ,, d ")), "|")
-    bare = text.strip_reference_label(text.strip_descriptor(F.lit("Title:  [7] Title here"), "Title"))
-    return pages(spark, sf).select("page_id", text.normalize_id(raw).alias("n")).select("page_id", "n.id", "n.version", parts.alias("parts"), bare.alias("bare"))
+    parts = F.array_join(text.split_list(F.regexp_replace("url", "/", " ; "), ";?"), "|")
+    labelled = F.concat(F.lit("Title:  ["), k.cast("string"), F.lit("] "), "url")
+    bare = text.strip_reference_label(text.strip_descriptor(labelled, "Title"))
+    rows = pages(spark, sf).select("page_id", text.normalize_id(raw).alias("n"), parts.alias("parts"), bare.alias("bare"))
+    return rows.select("page_id", "n.id", "n.version", "parts", "bare")
 
 
 @query("""SELECT u AS url, '  <url>' || chr(10) || '    <loc>' || replace(u, '&', '&amp;') || '</loc>' || chr(10) || '    <lastmod>' || strftime(DATE '2024-01-01' + CAST(page_id % 90 AS INTEGER), '%Y-%m-%d') || '</lastmod>' || chr(10) || '  </url>' AS entry FROM (SELECT page_id, url AS u FROM pages)""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 from pathlib import Path
 
@@ -45,9 +46,11 @@ def ensure_workers(spark: SparkSession, rows_per_batch: int = 500) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or, on a local master only, a local one where it is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "/tmp/checkpoints/folioscope"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

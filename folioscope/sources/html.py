@@ -9,13 +9,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import UTC, datetime
+from email.utils import parsedate_to_datetime
 from html.parser import HTMLParser
+from urllib.parse import unquote, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-ID = r"(?:\d{4}\.\d{4,5}|[a-z][a-z0-9.\-]+/\d{7})"
+from folioscope.functions.text import BARE_ID, DOI_ID, HOSTS, LABELLED_ID, PATH_ID, REFERENCE_LABEL, SPLIT_NAME
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -88,9 +91,42 @@ def meta(root: Node, name: str) -> list[str]:
     return [n.attrs.get("content", "") for n in root.all("meta") if name in (n.attrs.get("name"), n.attrs.get("property"))]
 
 
+def parts_of(name: str) -> tuple[str, int | None]:
+    """An identifier in lower case without its version, and the version."""
+    m = re.fullmatch(r"(.*?)(?:v(\d+))?", name.lower())
+    return m[1], int(m[2]) if m[2] else None
+
+
+def names_in(href: str) -> list[str]:
+    """Identifiers (as written) in a link: its path on a known host or without one, its DOI, labelled ones anywhere."""
+    decoded = unquote(href.strip())
+    try:
+        link = urlsplit(decoded)
+        host = (link.hostname or "").lower()
+    except ValueError:
+        return []
+    out = [m[1] for m in re.finditer(DOI_ID, link.path)] + [m[1] for m in re.finditer(LABELLED_ID, decoded)]
+    if not host or host in HOSTS:
+        out += [m[1] for m in re.finditer(PATH_ID, link.path)]
+    return out
+
+
 def id_of(href: str) -> str | None:
-    m = re.search(rf"/(?:abs|pdf|html)/({ID})(?:v\d+)?(?:\.pdf)?/?$", href.split("?")[0].split("#")[0], re.I)
-    return m[1].lower() if m else None
+    return next((parts_of(n)[0] for n in names_in(href)), None)
+
+
+def ids_in(said: str) -> set[str]:
+    joined = re.sub(SPLIT_NAME, r"\1\2", said)
+    return {parts_of(m[1])[0] for p in (BARE_ID, LABELLED_ID) for m in re.finditer(p, joined)}
+
+
+def utc_second(stamp: str) -> str | None:
+    """An RFC 2822 time as a UTC second; one without a zone is no time."""
+    try:
+        at = parsedate_to_datetime(stamp)
+    except (TypeError, ValueError):
+        return None
+    return None if at.tzinfo is None else at.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def day_of(text: str) -> str | None:
@@ -154,7 +190,7 @@ def listing(html: str) -> dict:
 def abstract(html: str, expected: str | None = None) -> dict:
     """Metadata and version history of an abstract page."""
     root = tree(html)
-    bad = lambda e: {"id": None, "version": None, "title": None, "authors": [], "abstract": None, "submitted": None, "updated": None, "subjects": [], "error": e}
+    bad = lambda e: {"id": None, "version": None, "title": None, "authors": [], "abstract": None, "submitted": None, "updated": None, "submitted_at": None, "updated_at": None, "subjects": [], "error": e}
     links = [n.attrs.get("href", "") for n in root.all("link") if n.attrs.get("rel") == "canonical"]
     paper = (meta(root, "citation_arxiv_id") or [id_of(x) for x in links] or [None])[0]
     paper = paper.lower() if paper else None
@@ -169,10 +205,13 @@ def abstract(html: str, expected: str | None = None) -> dict:
     history = [(int(v), d) for v, d in re.findall(r"\[v(\d+)\]\s*(?:[A-Za-z]{3},\s*)?(\d{1,2} [A-Za-z]{3} \d{4})", root.text())]
     if [v for v, _ in history] != [*range(1, len(history) + 1)] or not history:
         return bad("version history has gaps")
+    stamps = [utc_second(x) for x in re.findall(r"\[v\d+\]\s*((?:[A-Za-z]{3},\s*)?\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} \S+)", root.text())]
+    first, last = (stamps[0], stamps[-1]) if len(stamps) == len(history) else (None, None)
     subjects = sorted({s.strip() for n in root.walk() if "subjects" in n.classes() for s in re.sub(r"^Subjects:\s*", "", n.text()).split(";") if s.strip()})
     return {
         "id": paper, "version": history[-1][0], "title": " ".join(title.split()), "authors": authors, "abstract": " ".join(summary.split()),
-        "submitted": day_of(history[0][1]), "updated": day_of(history[-1][1]), "subjects": subjects, "error": None,
+        "submitted": day_of(history[0][1]), "updated": day_of(history[-1][1]),
+        "submitted_at": first, "updated_at": last, "subjects": subjects, "error": None,
     }
 
 
@@ -193,30 +232,83 @@ def search(html: str) -> dict:
 
 REVERSE, LABELS = "ltx_bib_cited", {"ltx_bib_key", "ltx_role_refnum", "ltx_tag_bibitem"}
 BOXES = {"ltx_bibliography", "bibliography", "reference-list", "references"}
+WATERMARK = "watermark"
+
+
+def identity(root: Node) -> tuple[set[str], set[int]]:
+    """Identifiers and versions that the page states about itself: canonical links, metadata, base address, watermark."""
+    said = [n.attrs.get("href", "") for n in root.all("link") if "canonical" in n.attrs.get("rel", "").lower().split()]
+    said += [n.attrs.get("href", "") for n in root.all("base")]
+    names = [x for h in said for x in names_in(h)] + meta(root, "citation_arxiv_id")
+    for n in root.walk():
+        if WATERMARK in (n.attrs.get("id", "") + " ".join(n.classes())).lower():
+            names += [m[1] for m in re.finditer(LABELLED_ID, n.text())]
+    found = [parts_of(n) for n in names if re.fullmatch(BARE_ID, n)]
+    return {i for i, _ in found}, {v for _, v in found if v is not None}
+
+
+def conflict(root: Node, expected: str | None, version: int | None) -> str | None:
+    """Why the page isn't the expected paper's, or None; without expectations it need not state who it is."""
+    ids, versions = identity(root)
+    if len(ids) > 1 or len(versions) > 1:
+        return "the page states more than one identity"
+    if expected is not None:
+        name, own = parts_of(expected)
+        version = own if version is None else version
+        if ids != {name}:
+            return f"found {', '.join(ids) or 'no identity'}, not {name}"
+    if version is not None and versions != {version}:
+        return f"found {', '.join(f'v{v}' for v in versions) or 'no version'}, not v{version}"
+    return None
+
 
+def bibliography(
+    html: str, expected: str | None = None, version: int | None = None, aliases: dict[str, str] | None = None
+) -> dict:
+    """Sorted distinct referenced ids of the page's References sections, of all of them together.
 
-def bibliography(html: str) -> dict:
-    """Sorted distinct referenced ids of the page's References section."""
+    An item counts by its text besides its label or by a link that leaves the page; a section without such
+    an item, or not closed, is an error, and one that only lists citing papers is passed over. ``aliases``
+    (title: id) name works cited before they had an id. The page's own identity comes from its metadata, never from its links.
+    """
     root = tree(html)
+    bad = lambda e: {"references": [], "error": e}
     boxes = [n for n in root.walk() if n.tag in ("section", "div") and (BOXES & n.classes() or n.attrs.get("id") in BOXES | {"bib"})]
     boxes = [n for n in boxes if any(h.text().lower() == "references" for h in n.all("h1", "h2", "h3", "h4", "h5", "h6"))]
+    inner = {id(x) for n in boxes for x in n.walk() if x is not n}
+    boxes = [n for n in boxes if id(n) not in inner]
     if not boxes:
-        return {"references": [], "error": "no References section"}
+        return bad("no References section")
+    if why := conflict(root, expected, version):
+        return bad(why)
+    titles = {" ".join(t.lower().split()): i for t, i in (aliases or {}).items()}
     found: set[str] = set()
+    complete = 0
     for box in boxes:
         items = [n for n in box.walk() if "ltx_bibitem" in n.classes()] or [n for n in box.all("li")]
         if not box.closed or any(not i.closed and i.tag != "li" for i in items):
-            return {"references": [], "error": "section isn't closed"}
+            return bad("section isn't closed")
+        whole, reverse = 0, 0
         for item in items:
             skipped = lambda n: REVERSE in n.classes()
             dropped = {id(x) for n in item.walk() if skipped(n) for x in n.walk()}
             hrefs = [a.attrs.get("href", "") for a in item.all("a") if id(a) not in dropped]
-            found |= {i for h in hrefs if (i := id_of(h))}
-            found |= {m.lower() for h in hrefs for m in re.findall(rf"/arxiv\.({ID})(?:v\d+)?(?:[/?#]|$)", h, re.I)}
             said = item.text(lambda n: skipped(n) or bool(LABELS & n.classes()))
-            said = re.sub(r"\b([a-z][a-z0-9.]*-)\s+([a-z][a-z0-9.\-]*/\d{7})", r"\1\2", said, flags=re.I)
-            found |= {m.lower() for m in re.findall(rf"(?<![a-z0-9.\-])({ID})(?:v\d+)?(?![a-z0-9/])", said, re.I)}
-            found |= {m.lower() for m in re.findall(rf"\barxiv\s*[:.]\s*({ID})(?:v\d+)?(?![a-z0-9/])", said, re.I)}
+            bare = re.sub(REFERENCE_LABEL, "", said)
+            if bare.casefold().startswith("cited by:") or (dropped and not bare):
+                reverse += 1
+                continue
+            if not bare and all(h.strip().startswith("#") for h in hrefs):
+                continue
+            whole += 1
+            found |= {parts_of(n)[0] for h in hrefs for n in names_in(h)} | ids_in(said)
+            low = " ".join(said.lower().split())
+            found |= {i for t, i in titles.items() if t in low}
+        if not whole and not (reverse and reverse == len(items)):
+            return bad("section without a reference")
+        complete += bool(whole)
+    if not complete:
+        return bad("only citing papers are listed")
     return {"references": sorted(found), "error": None}
 
 
