@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections.abc import Iterator
@@ -76,53 +77,80 @@ def canvas(circles: DataFrame, width: float, height: float) -> DataFrame:
     return ends.select(w.alias("width"), h.alias("height"), shift(F.col("x0"), F.col("x1"), w).alias("dx"), shift(F.col("y0"), F.col("y1"), h).alias("dy"))
 
 
-def enclosing_circle(x: np.ndarray, y: np.ndarray, r: np.ndarray | None = None, seed: int = 12345) -> tuple[float, float, float]:
-    """Smallest circle about points or circles.
-
-    Points: move-to-front over a fixed random order. Circles: the smallest ball of balls by a shrinking-step descent
-    toward the farthest body, which ends within 1e-9 of the radius.
+def _about_two(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """Smallest circle (x, y, radius) about two circles, neither of which holds the other."""
+    d = math.hypot(b[0] - a[0], b[1] - a[1])
+    if d <= abs(a[2] - b[2]):
+        return None
+    radius = (d + a[2] + b[2]) / 2
+    part = (radius - a[2]) / d
+    return np.array([a[0] + (b[0] - a[0]) * part, a[1] + (b[1] - a[1]) * part, radius])
+
+
+def _about_three(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """Circles that touch three circles from outside. With s the radius less a's, the differences of the three equations
+    are linear in the centre; putting that into a's own equation leaves a quadratic in s, solved without cancellation."""
+    d = np.stack([b - a, c - a])
+    det = d[0, 0] * d[1, 1] - d[0, 1] * d[1, 0]
+    if abs(det) < 1e-14 * max(1e-300, float(np.abs(d[:, :2]).max()) ** 2):
+        return []
+    k = (d[:, 0] ** 2 + d[:, 1] ** 2 - d[:, 2] ** 2) / 2
+    inverse = np.array([[d[1, 1], -d[0, 1]], [-d[1, 0], d[0, 0]]]) / det
+    slope, start = inverse @ d[:, 2], inverse @ k
+    qa, qb, qc = slope @ slope - 1, slope @ start, start @ start
+    root = qb * qb - qa * qc
+    if root < 0:
+        return []
+    q = -(qb + math.copysign(math.sqrt(root), qb))
+    found = ([q / qa] if abs(qa) > 1e-300 else []) + ([qc / q] if q else [])
+    return [np.array([*(a[:2] + slope * s + start), a[2] + s]) for s in found if s >= 0]
+
+
+def _smallest(bodies: np.ndarray, must: int) -> tuple[list[int], np.ndarray]:
+    """Of at most four bodies, the smallest circle about all of them and the bodies it rests on, ``must`` among them."""
+    best: tuple[list[int], np.ndarray] | None = None
+    others = [i for i in range(len(bodies)) if i != must]
+    options = [((must,), bodies[must])]
+    options += [((must, i), c) for i in others if (c := _about_two(bodies[must], bodies[i])) is not None]
+    options += [((must, i, j), c) for i, j in itertools.combinations(others, 2) for c in _about_three(bodies[must], bodies[i], bodies[j])]
+    for ids, c in options:
+        over = (np.hypot(bodies[:, 0] - c[0], bodies[:, 1] - c[1]) + bodies[:, 2]).max() - c[2]
+        if over <= 1e-11 * max(1.0, c[2]) and (best is None or c[2] < best[1][2]):
+            best = [*ids], c
+    if best is None:  # rounding only: the widest option, grown to hold all
+        ids, c = max(options, key=lambda o: o[1][2])
+        best = [*ids], np.append(c[:2], (np.hypot(bodies[:, 0] - c[0], bodies[:, 1] - c[1]) + bodies[:, 2]).max())
+    return best
+
+
+def enclosing_circle(x: np.ndarray, y: np.ndarray, r: np.ndarray | None = None) -> tuple[float, float, float]:
+    """Smallest circle (x, y, radius) about points or circles, exact to rounding.
+
+    A circle rests on three bodies at most. Whenever a body sticks out, the farthest one joins them and the smallest circle about these
+    four at most is worked out directly; its radius grows each time, so the search ends. Coordinates are scaled to the bodies' extent.
     """
-    r = np.zeros(len(x)) if r is None else r
     if not len(x):
         return 0.0, 0.0, 0.0
-    if r.any():
-        cx, cy = float(np.average(x)), float(np.average(y))
-        for k in range(1, 20_001):
-            far = int(np.argmax(np.hypot(x - cx, y - cy) + r))
-            cx += (x[far] - cx) / (k + 1)
-            cy += (y[far] - cy) / (k + 1)
-        return cx, cy, float((np.hypot(x - cx, y - cy) + r).max())
-    order = np.random.default_rng(seed).permutation(len(x))
-    x, y = x[order], y[order]
-
-    def holds(c: tuple[float, float, float], i: int) -> bool:
-        return math.hypot(x[i] - c[0], y[i] - c[1]) <= c[2] * (1 + 1e-12) + 1e-12
-
-    def two(i: int, j: int) -> tuple[float, float, float]:
-        return (x[i] + x[j]) / 2, (y[i] + y[j]) / 2, math.hypot(x[i] - x[j], y[i] - y[j]) / 2
-
-    def three(i: int, j: int, k: int) -> tuple[float, float, float]:
-        ax, ay, bx, by = x[j] - x[i], y[j] - y[i], x[k] - x[i], y[k] - y[i]
-        d = 2 * (ax * by - ay * bx)
-        if abs(d) < 1e-14:
-            return max((two(i, j), two(i, k), two(j, k)), key=lambda c: c[2])
-        ux = (by * (ax * ax + ay * ay) - ay * (bx * bx + by * by)) / d
-        uy = (ax * (bx * bx + by * by) - bx * (ax * ax + ay * ay)) / d
-        return x[i] + ux, y[i] + uy, math.hypot(ux, uy)
-
-    c = (float(x[0]), float(y[0]), 0.0)
-    for i in range(1, len(x)):
-        if holds(c, i):
-            continue
-        c = (x[i], y[i], 0.0)
-        for j in range(i):
-            if holds(c, j):
-                continue
-            c = two(i, j)
-            for k in range(j):
-                if not holds(c, k):
-                    c = three(i, j, k)
-    return float(c[0]), float(c[1]), float(c[2])
+    bodies = np.stack([x, y, np.zeros(len(x)) if r is None else r], 1).astype(float)
+    middle = np.append((bodies[:, :2].min(0) + bodies[:, :2].max(0)) / 2, 0.0)
+    scale = float(max(np.abs(bodies[:, :2] - middle[:2]).max(), bodies[:, 2].max()))
+    if scale == 0:
+        return float(middle[0]), float(middle[1]), 0.0
+    bodies = (bodies - middle) / scale
+    held = [int(bodies[:, 2].argmax())]
+    c = bodies[held[0]]
+    while True:
+        reach = np.hypot(bodies[:, 0] - c[0], bodies[:, 1] - c[1]) + bodies[:, 2]
+        far = int(reach.argmax())
+        if reach[far] <= c[2] * (1 + 1e-14) + 1e-14 or far in held:
+            break
+        ids = [*held, far]
+        rest, wider = _smallest(bodies[ids], len(ids) - 1)
+        if wider[2] <= c[2]:
+            break
+        held, c = [ids[k] for k in rest], wider
+    radius = max(float(c[2]), float(reach[far]))
+    return float(c[0] * scale + middle[0]), float(c[1] * scale + middle[1]), radius * scale
 
 
 def enclosing_circles(points: DataFrame) -> DataFrame:
@@ -251,18 +279,27 @@ def pack(points: DataFrame, gap: float = PAPER_GAP, most: int = 3000) -> DataFra
     return points.groupBy("group").applyInPandas(one, "group int, id long, x double, y double, overlap double")
 
 
-def spiral_place(seed: str, anchor: tuple[float, float], taken: list[tuple[float, float]]) -> tuple[float, float]:
-    """First free place on a spiral about the anchor whose start angle comes from a digest of the id."""
-    import hashlib
-
-    base = math.radians(int(hashlib.sha256(seed.encode()).hexdigest()[:12], 16) % 3600 / 10)
-    for step in range(72):
-        radius, angle = 2.5 + 0.55 * step, base + step * 2.399963
-        x = min(max(anchor[0] + radius * math.cos(angle), 4.0), 96.0)
-        y = min(max(anchor[1] + 0.78 * radius * math.sin(angle), 4.0), 96.0)
-        if all(math.hypot(x - a, y - b) >= 4.6 for a, b in taken):
-            return round(x, 2), round(y, 2)
-    raise ValueError(f"no free place for {seed}")
+#: Fixed values of spiral placement: tries, first radius and its step, turn, flattening, share of the first anchor, distance to
+#: other places, and the borders.
+TRIES, FIRST, GROWTH, TURN, FLAT, OWN, APART, BORDERS = 72, 2.5, 0.55, 2.399963, 0.78, 0.78, 4.6, (4.0, 96.0)
+
+
+def spiral_place(seed: str, anchors: list[tuple[float, float]], taken: list[tuple[float, float]]) -> tuple[float, float]:
+    """The first free one of a spiral's places, whose start angle comes from a digest of the id. It winds about the first
+    anchor, drawn toward the mean of the others if there are any."""
+    own, rest = np.array(anchors[0], float), np.array(anchors[1:], float).reshape(-1, 2)
+    centre = OWN * own + (1 - OWN) * rest.mean(0) if len(rest) else own
+    tenths = int(hashlib.sha256(seed.encode()).hexdigest()[:12], 16) % 3600
+    k = np.arange(TRIES)
+    turn, reach = math.radians(tenths / 10) + TURN * k, FIRST + GROWTH * k
+    places = np.clip(np.stack([centre[0] + reach * np.cos(turn), centre[1] + FLAT * reach * np.sin(turn)], 1), *BORDERS)
+    others = np.array(taken, float).reshape(-1, 2)
+    nearest = np.hypot(*(places[:, None] - others[None]).transpose(2, 0, 1)).min(1, initial=math.inf)
+    free = np.flatnonzero(nearest >= APART)
+    if not len(free):
+        raise ValueError(f"no free place for {seed}")
+    x, y = places[free[0]]
+    return round(float(x), 2), round(float(y), 2)
 
 
 def overlap_column(d: Column, r1: Column, r2: Column, gap: float = OUTER_GAP) -> Column:

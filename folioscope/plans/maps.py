@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import numbers
-from folioscope.operators import layout
+from folioscope.operators import islands, layout
 from folioscope.registry import query
 from folioscope.session import table
 
@@ -106,3 +106,17 @@ def mec_by_group(spark: SparkSession, sf: str) -> DataFrame:
 def pack_by_group(spark: SparkSession, sf: str) -> DataFrame:
     p = points(spark, sf).select("group", "id", (F.col("x") * 400).alias("x"), (F.col("y") * 400).alias("y"), F.col("id").alias("rank"), F.lit(6.0).alias("radius"))
     return layout.pack(p)
+
+
+@query()
+def island_layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Both modes of the embeddings' map: circles of one size, and sized by the citations of a part."""
+    p = points(spark, sf).withColumnRenamed("id", "rank")
+    cited = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("rank")).agg(F.count("*").alias("n"))
+    sized = p.join(cited, "rank", "left").select("group", "rank", "x", "y", numbers.collision_radius(numbers.citation_diameter(F.coalesce("n", F.lit(0)))).alias("cited"))
+    modes = [sized.select(F.lit(m).alias("map"), "group", F.col("rank").alias("id"), "rank", "x", "y", r.alias("radius")) for m, r in (("uniform", F.lit(14.56)), ("citations", F.col("cited")))]
+    members = modes[0].unionByName(modes[1])
+    homes = members.groupBy("map", "group").agg((F.avg("x") * 400 + 580).alias("x"), (F.avg("y") * 400 + 390).alias("y"))
+    firm = (F.col("group") == 0).alias("firm")
+    rings = homes.select("map", "group", "x", "y", F.lit(120.0).alias("label_width"), F.lit(34.0).alias("label_height"), firm)
+    return islands.arrange(members, rings)[1].select("map", "group", *[F.round(c, 3).alias(c) for c in ("x", "y", "radius", "content", "width", "height")])

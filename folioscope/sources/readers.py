@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from folioscope.sources import schemas
 
 
-def json_document(spark: SparkSession, path: str, schema: T.StructType, missing_ok: bool = False) -> DataFrame:
+def json_document(spark: SparkSession, path: str, schema: str, missing_ok: bool = False) -> DataFrame:
     """A whole JSON document as one row; with ``missing_ok`` no rows where there is no file."""
     if missing_ok and not exists(spark, path):
         return spark.createDataFrame([], schema)
@@ -34,8 +34,7 @@ def islands(spark: SparkSession, path: str) -> DataFrame:
 
 def candidate_log(spark: SparkSession, path: str) -> DataFrame:
     """Candidate rows and an ``error`` column: id, version, digest and status are checked."""
-    schema = T.StructType([T.StructField("candidates", T.ArrayType(schemas.CANDIDATE))])
-    rows = json_document(spark, path, schema).select(F.inline("candidates"))
+    rows = json_document(spark, path, f"candidates array<struct<{schemas.CANDIDATE}>>").select(F.inline("candidates"))
     error = (
         F.when(~F.coalesce(F.col("arxivId"), F.lit("")).rlike(r"^(?:\d{4}\.\d{4,5}|[a-z][a-z0-9.\-]+/\d{7})$"), "id")
         .when(~(F.coalesce("version", F.lit(0)) > 0), "version")
@@ -46,9 +45,15 @@ def candidate_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifests(spark: SparkSession, folder: str) -> DataFrame:
-    """Run manifests in name order, unlike parts kept as JSON text."""
-    rows = spark.read.schema(schemas.MANIFEST).json(f"{folder}/*.json", multiLine=True)
-    return rows.withColumn("file", F.col("_metadata.file_name")).orderBy("file")
+    """(file, schemaVersion, runAt, at, scanWindow, validation, body): run manifests in name order. ``at`` is the instant of
+    runAt, null unless it states a zone; ``body`` is the whole document, whatever its fields, as ``variant``."""
+    rows = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("body"))
+    get = lambda path, kind: F.try_variant_get("body", f"$.{path}", kind)
+    zoned = F.col("runAt").rlike(r"(?:Z|[+\-]\d{2}:?\d{2})$")
+    return rows.select(
+        "file", get("schemaVersion", "int").alias("schemaVersion"), get("runAt", "string").alias("runAt"),
+        get("scanWindow", "string").alias("scanWindow"), get("validation", "string").alias("validation"), "body",
+    ).withColumn("at", F.when(zoned, F.try_to_timestamp("runAt"))).orderBy("file")
 
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -69,7 +74,7 @@ def atom_feed(spark: SparkSession, path: str) -> DataFrame:
 
 def manual_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Hand-made bibliography snapshots with an ``error`` column; only ``complete`` = true counts."""
-    rows = json_document(spark, path, T.StructType([T.StructField("snapshots", T.ArrayType(schemas.SNAPSHOT))])).select(F.inline("snapshots"))
+    rows = json_document(spark, path, f"snapshots array<struct<{schemas.SNAPSHOT}>>").select(F.inline("snapshots"))
     error = (
         F.when(~F.coalesce("complete", F.lit(False)), "incomplete")
         .when(~(F.coalesce("version", F.lit(0)) > 0), "version")

@@ -115,7 +115,90 @@ def test_pack():
     x, y, worst = layout.relax(rng.normal(size=200), rng.normal(size=200), np.full(200, 3.0), 1.0)
     i, j = np.triu_indices(200, 1)
     assert worst <= 1e-3 and (np.hypot(x[i] - x[j], y[i] - y[j]) >= 7 - 1e-3).all()
-    assert layout.spiral_place("x", (50, 50), []) == layout.spiral_place("x", (50, 50), [])
+
+
+def test_spiral_place():
+    first = layout.spiral_place("x", [(50, 50)], [])
+    assert math.hypot(first[0] - 50, first[1] - 50) <= 2.5 + 0.01
+    taken = []
+    for k in range(60):
+        place = layout.spiral_place(f"p{k % 7}", [(50, 50)], taken)
+        assert all(math.dist(place, t) >= 4.59 for t in taken) and 4 <= min(place) and max(place) <= 96
+        taken.append(place)
+    mixed = layout.spiral_place("x", [(50, 50), (80, 20), (60, 40)], [])
+    assert (mixed[0] - first[0], mixed[1] - first[1]) == pytest.approx((0.22 * 20, -0.22 * 20), abs=0.02)
+    with pytest.raises(ValueError, match="no free place for x"):
+        layout.spiral_place("x", [(50, 50)], [(a, b) for a in range(0, 101, 4) for b in range(0, 101, 4)])
+
+
+def test_enclosing_circle_of_circles():
+    """No smaller circle by a search about the centre, and each case against all circles that rest on one, two or three."""
+    rng = np.random.default_rng(7)
+    for k in range(120):
+        n = int(rng.integers(1, 9))
+        x, y, r = rng.normal(0, 5, n), rng.normal(0, 5, n), rng.uniform(0, 3, n) * (k % 3 > 0)
+        cx, cy, whole = layout.enclosing_circle(x, y, r)
+        reach = lambda a, b: (np.hypot(x - a, y - b) + r).max()  # noqa: B023, E731
+        assert reach(cx, cy) <= whole + 1e-9
+        turns = rng.uniform(0, 2 * math.pi, 60)
+        assert all(reach(cx + s * math.cos(t), cy + s * math.sin(t)) >= whole - 1e-9 for t in turns for s in (1e-7, 1e-4, 0.1, 1))
+    big = np.random.default_rng(8)
+    x, y, r = big.normal(0, 1e4, 5000), big.normal(0, 1e4, 5000), big.uniform(0, 40, 5000)
+    cx, cy, whole = layout.enclosing_circle(x, y, r)
+    assert abs((np.hypot(x - cx, y - cy) + r).max() - whole) <= 1e-8
+    assert layout.enclosing_circle(x[order := big.permutation(5000)], y[order], r[order]) == pytest.approx((cx, cy, whole), abs=1e-8)
+    assert layout.enclosing_circle(np.array([1.0, 1.0]), np.array([2.0, 2.0])) == (1.0, 2.0, 0.0)
+
+
+def test_exit_vectors():
+    from folioscope.operators import islands
+
+    rng = np.random.default_rng(3)
+    dx, dy, clear = rng.uniform(-9, 9, 400), rng.uniform(-6, 6, 400), rng.uniform(0.5, 3, 400)
+    ex, ey = islands.exit_vectors(dx, dy, 4.0, 1.5, clear)
+    away = lambda a, b: np.hypot(a - np.clip(a, -4, 4), b - np.clip(b, -1.5, 1.5))
+    assert (away(dx + ex, dy + ey) >= clear - 1e-9).all()
+    assert (np.hypot(ex, ey)[away(dx, dy) >= clear] == 0).all()
+
+
+def test_relax_island():
+    """600 circles and a label: no overlap above the tolerance; a later circle hardly moves earlier ones."""
+    from folioscope.operators import islands
+
+    k = np.arange(600)
+    t, a = 9.0 * np.sqrt(k), k * layout.GOLDEN
+    r = np.random.default_rng(1).uniform(5, 9, 600)
+    x, y, lx, ly, worst = islands.relax_island(t * np.cos(a), t * np.sin(a), r, t * np.cos(a), t * np.sin(a), 120, 34)
+    i, j = np.triu_indices(600, 1)
+    assert worst <= 1e-3 and (np.hypot(x[i] - x[j], y[i] - y[j]) - r[i] - r[j] >= layout.PAPER_GAP - 1e-3).all()
+    gap = np.hypot(x - lx - np.clip(x - lx, -60, 60), y - ly - np.clip(y - ly, -17, 17))
+    assert (gap >= r + layout.LABEL_GAP - 1e-3).all()
+
+
+def test_arrange(spark):
+    from folioscope.operators import islands
+
+    rng = np.random.default_rng(5)
+    members = [(m, g, 100 * g + i, 100 * g + i, float(rng.normal()), float(rng.normal()), 8.0 if m == "uniform" else 6.0 + i % 9) for m in ("uniform", "sized") for g in range(5) for i in range(20 + 10 * g)]
+    where = [(m, g, float(rng.uniform(0, 1160)), float(rng.uniform(0, 780)), 120.0, 34.0, g == 0) for m in ("uniform", "sized") for g in range(5)]
+    df = spark.createDataFrame(members, "map string, group int, id long, rank long, x double, y double, radius double")
+    rings = spark.createDataFrame(where, "map string, group int, x double, y double, label_width double, label_height double, firm boolean")
+    assert islands.geometry_violations(df, rings).count() == 0
+    points, circles = islands.arrange(df, rings)
+    circles, points = circles.toPandas(), points.toPandas()
+    assert (points["kind"] == "paper").sum() == len(members) and (points["kind"] == "label").sum() == len(circles) == 10
+    for name, c in circles.groupby("map"):
+        x, y, r = (c[k].to_numpy() for k in ("x", "y", "radius"))
+        i, j = np.triu_indices(len(c), 1)
+        assert (np.hypot(x[i] - x[j], y[i] - y[j]) - r[i] - r[j] >= layout.OUTER_GAP - 1e-3).all()
+        assert (x - r >= 14 - 1e-6).all() and (x + r <= c["width"].iloc[0] - 14 + 1e-6).all() and (y + r <= c["height"].iloc[0] - 14 + 1e-6).all()
+        assert c["width"].iloc[0] % 8 == 0
+    both = points.merge(circles, on=["map", "group"], suffixes=("", "_c"))
+    assert (np.hypot(both["x"] - both["x_c"], both["y"] - both["y_c"]) + both["radius"] <= both["content"] + 1e-6).all()
+    assert [tuple(r) for r in islands.in_geometry_order(spark.createDataFrame([(1, 2, 3), (1, 1, 9), (0, 5, 1), (1, 1, 2)], "x int, y int, radius int")).collect()] == [(0, 5, 1), (1, 1, 2), (1, 1, 9), (1, 2, 3)]
+    bad = spark.createDataFrame([("u", 0, 1, 1, float("nan"), 0.0, 1.0), ("u", 0, 1, -1, 0.0, 0.0, 1.0), ("u", 9, 3, 1, 0.0, 0.0, -1.0)], df.schema)
+    found = {r["rule"] for r in islands.geometry_violations(bad, rings).collect()}
+    assert found == {"member geometry", "member id", "member rank", "unknown island"}
 
 
 def test_pack_large_group(spark):
