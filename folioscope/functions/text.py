@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -245,6 +246,28 @@ def escape_json_ld(c: Column) -> Column:
     return c
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_ld_types(s: pd.Series) -> pd.Series:
+    """All @type values of a JSON-LD document, at any depth, sorted and distinct; null for what is no JSON."""
+
+    def one(x):
+        try:
+            todo, found = [json.loads(x)], set()
+        except (TypeError, ValueError):
+            return None
+        while todo:
+            node = todo.pop()
+            if isinstance(node, dict):
+                kind = node.get("@type", [])
+                found |= {k for k in (kind if isinstance(kind, list) else [kind]) if isinstance(k, str)}
+                todo += node.values()
+            elif isinstance(node, list):
+                todo += node
+        return sorted(found)
+
+    return s.map(one)
+
+
 def truncate_words(c: Column, most: int = 158) -> Column:
     """At most ``most`` characters: cut before the last space and closed with an ellipsis."""
     cut = F.regexp_replace(F.substring(c, 1, most - 1), r"\s+\S*$", "")

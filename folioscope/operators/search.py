@@ -70,6 +70,11 @@ def day_histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(dates.day_index(F.to_date(column)).cast("long").alias("day")).agg(F.count("*").alias("n"))
 
 
+def histogram_peak(histogram: DataFrame) -> DataFrame:
+    """(peak): the largest count, 1 at least, so that bars can be scaled by it."""
+    return histogram.agg(F.greatest(F.lit(1), F.coalesce(F.max("n"), F.lit(1))).alias("peak"))
+
+
 def date_bounds(rows: DataFrame, column: str) -> DataFrame:
     """(low, high); no rows is an error."""
     day = F.to_date(column)

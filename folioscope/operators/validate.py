@@ -40,6 +40,55 @@ def enforce(violations: DataFrame, show: int = 20) -> None:
         raise ValueError("; ".join(f"{r['rule']}: {r['key']} {r['detail']}" for r in rows[:show]))
 
 
+def capped(df: DataFrame, limit: int, what: str) -> DataFrame:
+    """``df``, or an error once it is read if it has more than ``limit`` rows: a safety cap never cuts."""
+    total = df.agg(F.count("*").alias("__n"))
+    over = F.raise_error(F.concat(F.lit(f"{what}: "), F.col("__n").cast("string"), F.lit(f" rows, at most {limit} allowed")))
+    checked = total.select(F.when(F.col("__n") > limit, over.cast("long")).otherwise(F.col("__n")).alias("__n"))
+    return df.crossJoin(F.broadcast(checked)).where("__n >= 0").drop("__n")  # one row
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, what: str) -> DataFrame:
+    """``left`` with the columns of ``right``; a row without a match is an error."""
+    there = right.withColumn("__there", F.lit(True))
+    joined = left.join(there, key, "left")
+    lost = F.raise_error(F.concat(F.lit(f"{what}: nothing for "), F.col(key).cast("string")))
+    return joined.withColumn("__there", F.when(F.col("__there"), True).otherwise(lost.cast("boolean"))).where("__there").drop("__there")
+
+
+def count_changes(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
+    """(rule, key, detail) of values whose number of rows differs between two tables."""
+    n = lambda df, name: df.groupBy(column).agg(F.count("*").alias(name))
+    both = n(before, "was").join(n(after, "now"), column, "full_outer").na.fill(0, ["was", "now"])
+    return both.where("was <> now").select(
+        F.lit("count").alias("rule"), F.col(column).cast("string").alias("key"), F.concat_ws(" to ", F.col("was").cast("string"), F.col("now").cast("string")).alias("detail")
+    )
+
+
+def page_problems(pages: DataFrame, expected: DataFrame) -> DataFrame:
+    """(rule, key, detail) of built pages ``(url, title, description, canonical, h1_count, links, types)`` against
+    ``expected(url, title, type)``: pages missing or beyond, titles that differ or repeat, no description or one above 160
+    characters, a canonical link that isn't the page's own, not one heading, a type that is lacking, links to pages that aren't there."""
+    here = pages.select("url")
+    lost = expected.select("url").join(here, "url", "left_anti")
+    extra = here.join(expected.select("url"), "url", "left_anti")
+    both = pages.join(expected.select("url", F.col("title").alias("wanted"), "type"), "url")
+    links = pages.select("url", F.explode("links").alias("to")).where(F.startswith("to", F.lit("/")))
+    broken = links.join(here.select(F.col("url").alias("to")), "to", "left_anti")
+    chars = F.coalesce(F.length("description"), F.lit(0))
+    return together(
+        rule(lost, "missing page", F.lit(True), "url", F.lit("")),
+        rule(extra, "unexpected page", F.lit(True), "url", F.lit("")),
+        rule(both, "title", ~F.col("title").eqNullSafe(F.col("wanted")), "url", F.col("title")),
+        rule(pages, "description", (chars == 0) | (chars > 160), "url", chars),
+        rule(pages, "canonical", ~F.col("canonical").eqNullSafe(F.col("url")), "url", F.col("canonical")),
+        rule(pages, "heading", F.col("h1_count") != 1, "url", F.col("h1_count")),
+        rule(both, "type", ~F.coalesce(F.array_contains("types", F.col("type")), F.lit(False)), "url", F.col("type")),
+        rule(broken, "broken link", F.lit(True), "url", F.col("to")),
+        duplicates(pages, "repeated title", ["title"]),
+    )
+
+
 def first_failure(*gates: tuple[str, Column]) -> Column:
     """Name of the first gate that fails, else null."""
     out = F.lit(None).cast("string")

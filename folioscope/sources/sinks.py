@@ -67,6 +67,72 @@ def bibtex(key: str, **fields: Column) -> Column:
     return F.concat_ws("\n", F.lit(f"@misc{{{key},"), *lines, F.lit("}"))
 
 
+def collection_page(name: Column, description: Column, url: Column, count: Column) -> Column:
+    items = F.struct(F.lit("ItemList").alias("@type"), count.alias("numberOfItems"))
+    return json_ld("CollectionPage", name=name, description=description, url=url, mainEntity=items)
+
+
+def scholarly_article(title: Column, authors: Column, published: Column, modified: Column, url: Column, same_as: Column, summary: Column) -> Column:
+    people = F.transform(authors, lambda a: F.struct(F.lit("Person").alias("@type"), a.alias("name")))
+    return json_ld(
+        "ScholarlyArticle", headline=title, author=people, datePublished=published.cast("string"), dateModified=modified.cast("string"),
+        url=url, sameAs=same_as, abstract=summary,
+    )
+
+
+def breadcrumbs(*steps: tuple[Column, Column]) -> Column:
+    """A BreadcrumbList of (name, address) steps, places from 1."""
+    items = [
+        F.struct(F.lit("ListItem").alias("@type"), F.lit(k).alias("position"), name.alias("name"), url.alias("item"))
+        for k, (name, url) in enumerate(steps, 1)
+    ]
+    return json_ld("BreadcrumbList", itemListElement=F.array(*items))
+
+
+def append_summary(path: str, lines: list[str]) -> None:
+    """Adds a run's lines to a step summary on the driver's disk."""
+    with open(path, "a", encoding="utf-8", newline="\n") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+INDEX = "id string, citedBy array<string>, incomingCitationCount long, searchText string"
+
+
+def index_rows(papers: DataFrame, edges: DataFrame, text_of: Column) -> DataFrame:
+    """The search index of ``papers(id, pos, ...)``: who cites each in catalogue order, how many, and its search text."""
+    order = papers.select(F.col("id").alias("src"), "pos")
+    met = edges.join(order, "src").join(papers.select(F.col("id").alias("dst")), "dst", "left_semi")
+    lists = met.groupBy(F.col("dst").alias("id")).agg(F.array_sort(F.collect_set(F.struct("pos", "src"))).alias("xs"))
+    by = F.coalesce(F.transform("xs", lambda x: x["src"]), F.array().cast("array<string>"))
+    rows = papers.select("id", text_of.alias("searchText")).join(lists, "id", "left")
+    return rows.select("id", by.alias("citedBy"), F.size(by).cast("long").alias("incomingCitationCount"), "searchText")
+
+
+def index_problems(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
+    """(rule, key, detail) where a stored index differs from one built afresh: ids missing or unknown or repeated, citing
+    papers in other order, counts that don't fit, other text. Both sides are hashed by id, none is collected."""
+    one, two = stored.alias("one"), rebuilt.alias("two")
+    both = one.join(two, F.col("one.id") == F.col("two.id"), "full_outer")
+    differs = lambda c: ~F.col(f"one.{c}").eqNullSafe(F.col(f"two.{c}"))
+    why = (
+        F.when(F.col("one.id").isNull(), "missing")
+        .when(F.col("two.id").isNull(), "unknown")
+        .when(differs("citedBy"), "citedBy")
+        .when(differs("incomingCitationCount"), "count")
+        .when(differs("searchText"), "text")
+    )
+    bad = both.select(why.alias("rule"), F.coalesce("one.id", "two.id").alias("key"), F.lit("").alias("detail")).where("rule is not null")
+    again = stored.groupBy(F.col("id").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    return bad.unionByName(again.select(F.lit("repeated").alias("rule"), "key", F.col("n").cast("string").alias("detail")))
+
+
+def index_or_rebuilt(stored: DataFrame | None, rebuilt: DataFrame) -> tuple[DataFrame, bool]:
+    """The stored index if it is whole and fresh, else the one built afresh; and which."""
+    if stored is not None and index_problems(stored, rebuilt).isEmpty():
+        return stored, True
+    return rebuilt, False
+
+
 def catalogue_index(rows: DataFrame, path: str, check: bool = False) -> bool:
     """The search index artefact of a small catalogue: id to citing ids, count and text."""
     papers = {r["id"]: {"citedBy": r["cited_by"], "incomingCitationCount": len(r["cited_by"]), "searchText": r["text"]} for r in rows.orderBy("id").collect()}

@@ -12,7 +12,7 @@ def one(spark, value, f, kind="string"):
 
 @pytest.mark.parametrize(
     "raw, want",
-    [("  Café — 248 ± 20 keV; Áxion\nRECOIL  ", "cafe 248 20 kev axion recoil"), ("  HÍGGSINO—SOLAR  ", "higgsino solar"), (None, ""), ("ﬁx ²", "fix 2")],
+    [("  Élan – 12 ± 3 mm; Öre\nTOP  ", "elan 12 3 mm ore top"), ("plain_TEXT, 1.5!", "plain text 1 5"), (None, ""), ("ﬁx ²", "fix 2"), ("日本 Ⅷ·x", "日本 viii x")],
 )
 def test_search_text(spark, raw, want):
     assert one(spark, raw, lambda c: text.search_text(c)) == want
