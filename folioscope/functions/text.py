@@ -204,7 +204,8 @@ def decode_entities(c: Column) -> Column:
     for name, char in ENTITIES:
         c = F.replace(c, F.lit(name), F.lit(char))
     for start, digits, base in (("&#x", "[0-9a-fA-F]{1,6}", 16), ("&#X", "[0-9a-fA-F]{1,6}", 16), ("&#", "[0-9]{1,7}", 10)):
-        c = F.when(F.contains(c, F.lit(start)), _numeric(c, start, digits, base)).otherwise(c)
+        # a lambda's variable stands for the text, so that it isn't worked out again at each mention
+        c = F.get(F.transform(F.array(c), lambda x: F.when(F.contains(x, F.lit(start)), _numeric(x, start, digits, base)).otherwise(x)), F.lit(0))  # noqa: B023
     return c
 
 

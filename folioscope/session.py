@@ -60,10 +60,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_MADE: list[str] = []  # tables of this process that ``drop_tables`` hasn't removed, oldest first
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage is cut, and a lost
-    executor costs only its own tasks."""
+    executor costs only its own tasks. The table stays until ``drop_tables``, as the result may be read at any time."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tables_made() -> int:
+    return len(_MADE)
+
+
+def drop_tables(spark: SparkSession, since: int = 0, keep_last: int = 0) -> None:
+    """Removes the tables that ``materialize`` has written since ``tables_made()`` gave ``since``, but for the newest
+    ``keep_last``. Only for results that are written elsewhere or no longer needed."""
+    gone = _MADE[since : len(_MADE) - keep_last]
+    del _MADE[since : len(_MADE) - keep_last]
+    for path in gone:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -53,6 +53,8 @@ def run_to_table(stream: DataFrame, out: str, mode: str = "append") -> None:
         raise q.exception()
 
 
-def dedup_table(spark: SparkSession, path: str, out: str) -> DataFrame:
-    run_to_table(dedup(announcements(spark, path)).select("k"), out)
+def dedup_table(spark: SparkSession, path: str, out: str, lateness: str | None = "40 days") -> DataFrame:
+    """Distinct replay keys. The state holds the keys of ``lateness`` only; the table of events spans less than the default, so no
+    key of it can come back after it was forgotten."""
+    run_to_table(dedup(announcements(spark, path), lateness).select("k"), out)
     return spark.read.schema("k string").parquet(out).select("k", F.lit(True).alias("seen"))

@@ -242,3 +242,31 @@ def test_streams(spark, tmp_path):
     q.awaitTermination()
     batch = spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").agg(F.min("ts").cast("timestamp").alias("first"))
     assert spark.sql("select user_id, first from first").exceptAll(batch).count() == 0
+
+
+def test_watermark_forgets_old_keys(spark, tmp_path):
+    """A replay within the allowance is dropped; one that comes after its key was forgotten is taken as new."""
+    from folioscope.streaming import replay
+
+    def batch(k, *rows):
+        df = spark.createDataFrame([(i, t, u, "a", 1.0, "") for i, (t, u) in enumerate(rows)], "event_id long, ts string, user_id long, event_type string, value double, props string")
+        df.withColumn("ts", F.col("ts").cast("timestamp_ntz")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        replay.run_to_table(replay.dedup(replay.announcements(spark, str(tmp_path / "in")), "2 days").select("k"), str(tmp_path / "out"))
+        return spark.read.parquet(str(tmp_path / "out")).count()
+
+    assert batch(0, ("2024-01-01 01:00:00", 1), ("2024-01-01 05:00:00", 1), ("2024-01-01 02:00:00", 2)) == 2
+    assert batch(1, ("2024-01-01 09:00:00", 1), ("2024-01-02 01:00:00", 3)) == 3
+    assert batch(2, ("2024-02-01 01:00:00", 1)) == 4
+    assert batch(3, ("2024-02-01 02:00:00", 1), ("2024-02-02 02:00:00", 9)) == 5
+
+
+def test_drop_tables(spark):
+    from folioscope import session
+
+    since = session.tables_made()
+    one, two = (session.materialize(spark.range(3), f"t{i}") for i in range(2))
+    session.drop_tables(spark, since, keep_last=1)
+    assert two.count() == 3 and session.tables_made() == since + 1
+    session.drop_tables(spark, since)
+    with pytest.raises(Exception, match="not exist|FILE|PATH"):
+        spark.read.schema("id long").parquet(two.inputFiles()[0]).count()
