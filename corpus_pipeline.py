@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, language_id, mixing, near_dups, quality_classifier
 from folioscope.llm.filters import in_filter, key_filter
-from folioscope.session import materialize, table
+from folioscope.session import drop_tables, materialize, table, tables_made
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SHORT = 24
@@ -92,7 +92,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, since = table(spark, sf_dir, "documents"), tables_made()
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_tables(spark, since, keep_last=1)  # the tables of the stage, and its input
     return STAGES[-1][1](spark, docs, sf_dir)

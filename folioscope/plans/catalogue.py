@@ -215,7 +215,9 @@ def label_wrap(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("id", F.array_join(text.wrap_label(F.col("t")), "\n").alias("lines"), text.enum_label(F.col("p_brand"), kinds).alias("kind"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, coalesce(text, '') || ' arXiv:2401.' || lpad(CAST(doc_id AS VARCHAR), 5, '0') || 'v2' AS t, trim(regexp_replace(text, '^\s*\[[^\]]+\]\s*', '')) AS b FROM documents)
+  SELECT doc_id, array_to_string(list_sort(list_distinct([lower(x) FOR x IN regexp_extract_all(t, '(?i)(?:^|[^a-z0-9.\-])(\d{4}\.\d{4,5}|[a-z][a-z0-9.\-]+/\d{7})(?:v\d+)?(?:[^a-z0-9/]|$)', 1)])), ',') AS ids,
+    CASE WHEN regexp_matches(b, '^(?i)cited by:') THEN false ELSE b IS NOT NULL AND b <> '' END AS substantive FROM s""")
 def id_extract_lookaround(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" arXiv:2401."), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("v2"))
     rows = docs(spark, sf).select("doc_id", text.bare_ids(said).alias("ids"), text.is_substantive(F.col("text")).alias("substantive"))
