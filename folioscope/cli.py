@@ -7,12 +7,15 @@ import argparse
 import json
 import sys
 from collections.abc import Callable
+from dataclasses import asdict
+from datetime import date
 
 from pyspark.sql import functions as F
 
+from folioscope.operators import harvest
 from folioscope.operators.runs import LANES, SCHEMAS, Ledger, LedgerError
-from folioscope.session import build_session
-from folioscope.sources import readers
+from folioscope.session import build_session, ensure_workers, materialize
+from folioscope.sources import html, readers
 
 
 def _catalogue(spark, path: str):
@@ -24,6 +27,30 @@ def _frame(spark, path: str, name: str):
     return spark.read.schema(SCHEMAS[name]).json(path, multiLine=True)
 
 
+def _edges(x: Ledger, out: str) -> dict:
+    """Mapped edges as a table; the answer names it and its size."""
+    x.citations()["edges"].select("src", "dst").write.parquet(out)
+    return {"edges": x.spark.read.schema("src string, dst string").parquet(out).count(), "table": out}
+
+
+def _harvest(x: Ledger, path: str) -> dict:
+    """What a harvest by this configuration would ask for: checked sources, and the plan's window and due authors."""
+    checked = harvest.config(json.loads(x.files.read(path))).checked()
+    day = checked.coverage_through or date.today()
+    return {"config": {k: v for k, v in asdict(checked).items() if k != "errors"}, "plan": x.plan(day.isoformat(), checked.overlap_days, checked.author_limit)}
+
+
+def _references(x: Ledger, run: str, path: str, supersede: bool) -> dict:
+    """Bibliographies of a table of pages (id, version, html); the first page that isn't whole is an error."""
+    pages = x.spark.read.schema("id string, version int, html string").json(path)
+    ensure_workers(x.spark)
+    keyed = pages.select(F.to_json(F.struct("id", "version")).alias("key"), "html")
+    parsed = html.parse_pages(keyed, "key", "html", html.bibliography, "references array<string>, error string", with_key=True)
+    got = materialize(parsed, "references").select(F.from_json("key", "id string, version int").alias("k"), "references", "error")
+    rows = readers.strict(got.select("k.id", "k.version", F.col("references").alias("refs"), "error"), "references")
+    return x.record_references(run, rows, supersede)["tables"]
+
+
 SEEN = "id string, version int, digest string, updated string"
 
 #: command: (arguments, what it does with the ledger and the arguments)
@@ -35,12 +62,14 @@ COMMANDS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "record-listing": (("run", "source", "key", "ids", "seen", "--payload"), lambda x, a: x.record_listing(a.run, a.source, a.key, [r["id"] for r in readers.id_list(x.spark, a.ids).collect()], a.payload, a.seen)),
     "observe-paper": (("run", "rows"), lambda x, a: x.observe(a.run, x.spark.read.schema(SEEN).json(a.rows, multiLine=True))),
     "screen": (("run", "paper", "version", "decision", "--authors"), lambda x, a: x.screen(a.run, a.paper, int(a.version), a.decision, a.authors.split(";") if a.authors else [])),
-    "record-references": (("run", "rows", "--supersede"), lambda x, a: x.record_references(a.run, [(r["id"], r["version"], r["refs"]) for r in _frame(x.spark, a.rows, "snapshots").collect()], bool(a.supersede))),
+    "record-references": (("run", "rows", "--supersede"), lambda x, a: x.record_references(a.run, _frame(x.spark, a.rows, "snapshots").select("id", "version", "refs"), bool(a.supersede))),
     "set-search-cursor": (("run", "key", "value"), lambda x, a: x.set_cursor(a.run, "searches", a.key, json.loads(a.value))),
     "set-author-cursor": (("run", "key", "value"), lambda x, a: x.set_cursor(a.run, "authors", a.key, json.loads(a.value))),
     "get-cursor": (("lane", "key"), lambda x, a: x.get_cursor(a.lane, a.key)),
     "review-bundle": (("--limit",), lambda x, a: x.review_bundle(int(a.limit or 500))),
-    "mapped-citations": ((), lambda x, a: {"edges": [[r["src"], r["dst"]] for r in x.citations()["edges"].orderBy("src", "dst").collect()]}),
+    "mapped-citations": (("out",), lambda x, a: _edges(x, a.out)),
+    "harvest": (("config",), lambda x, a: _harvest(x, a.config)),
+    "references": (("run", "pages", "--supersede"), lambda x, a: _references(x, a.run, a.pages, bool(a.supersede))),
     "complete-run": (("run", "start", "end", "--changes"), lambda x, a: x.complete_run(a.run, a.start, a.end, int(a.changes or 0))),
     "abort-run": (("run",), lambda x, a: x.abort_run(a.run)),
     "status": ((), lambda x, a: x.status()),

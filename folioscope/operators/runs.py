@@ -9,7 +9,6 @@ nothing. One writer at a time; all days and times are arguments.
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from datetime import date
 
@@ -42,15 +41,14 @@ class LedgerError(ValueError):
 class Ledger:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self.path = f"{self.root}/manifest.json"
+        self.path, self.files = f"{self.root}/manifest.json", sinks.Shared(spark, root)
 
     # storage
 
     def manifest(self) -> dict:
-        if not os.path.exists(self.path):
+        if not self.files.exists(self.path):
             raise LedgerError("the ledger isn't initialised")
-        with open(self.path, encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(self.files.read(self.path))
 
     def table(self, name: str, m: dict | None = None) -> DataFrame:
         at = (m or self.manifest())["tables"].get(name)
@@ -61,15 +59,14 @@ class Ledger:
             at = f"tables/{name}-{uuid.uuid4().hex}"
             df.select(*self.spark.createDataFrame([], SCHEMAS[name]).columns).write.parquet(f"{self.root}/{at}")
             m["tables"][name] = at
-        sinks.write_atomic(self.path, json.dumps(m, indent=2, sort_keys=True) + "\n")
+        self.files.write(self.path, json.dumps(m, indent=2, sort_keys=True) + "\n")
         return m
 
     # runs
 
     def initialize(self, catalogue: DataFrame, log: DataFrame | None = None, scan_date: str | None = None) -> dict:
         """Imports the catalogue; covered versions become relevant, papers that left it are dropped from it."""
-        os.makedirs(self.root, exist_ok=True)
-        m = self.manifest() if os.path.exists(self.path) else {"tables": {}, "runs": {}, "cursors": {}, "coverage": None, "scan_date": scan_date, "seq": 0}
+        m = self.manifest() if self.files.exists(self.path) else {"tables": {}, "runs": {}, "cursors": {}, "coverage": None, "scan_date": scan_date, "seq": 0}
         covered = catalogue.select("id", F.col("version").alias("published"))
         old = self.table("versions", m)
         hit = F.coalesce(F.col("version") <= F.col("published"), F.lit(False))
@@ -179,20 +176,21 @@ class Ledger:
             changed["authors"] = state.insert_ignore(self.table("authors", m), rows, ["author"])
         return self._commit(m, **changed)
 
-    def record_references(self, run_id: str, rows: list[tuple[str, int, list[str]]], supersede: bool = False) -> dict:
-        """All snapshots or none; another list for a known version needs ``supersede``."""
+    def record_references(self, run_id: str, rows: list[tuple[str, int, list[str]]] | DataFrame, supersede: bool = False) -> dict:
+        """All snapshots or none, from rows or a table (id, version, refs); another list for a known version needs
+        ``supersede``."""
         m = self.manifest()
         self._running(m, run_id)
-        heads = {(r["id"], r["version"]): r["refs_sha"] for r in self.heads(m).where(F.col("id").isin([r[0] for r in rows])).collect()}
-        new = []
-        for paper, version, refs in rows:
-            refs = sorted({*refs})
-            sha = sinks.digest(refs)
-            if heads.get((paper, version), sha) != sha and not supersede:
-                raise LedgerError(f"{paper} v{version} has other references")
-            m["seq"] += 1
-            new.append((paper, version, refs, sha, m["seq"]))
-        return self._commit(m, snapshots=self.table("snapshots", m).union(self.spark.createDataFrame(new, SCHEMAS["snapshots"])))
+        given = rows if isinstance(rows, DataFrame) else self.spark.createDataFrame(rows, "id string, version int, refs array<string>")
+        sorted_refs = F.array_sort(F.array_distinct("refs"))
+        # the digest of the list as compact JSON
+        new = given.select("id", "version", sorted_refs.alias("refs")).withColumn("refs_sha", F.sha2(F.to_json("refs"), 256))
+        known = self.heads(m).select("id", "version", F.col("refs_sha").alias("was"))
+        clash = new.join(known, ["id", "version"]).where("refs_sha <> was").select("id", "version").limit(1).collect()
+        if clash and not supersede:
+            raise LedgerError(f"{clash[0]['id']} v{clash[0]['version']} has other references")
+        m["seq"] += 1
+        return self._commit(m, snapshots=self.table("snapshots", m).unionByName(new.withColumn("seq", F.lit(m["seq"]).cast("long"))))
 
     def heads(self, m: dict | None = None) -> DataFrame:
         last = self.table("snapshots", m).groupBy("id", "version").agg(F.max_by(F.struct("refs", "refs_sha"), "seq").alias("h"))
@@ -268,9 +266,9 @@ class Ledger:
 
     def rebuild(self, catalogue: DataFrame, log: DataFrame | None = None) -> str:
         """A fresh ledger in place of the old one, which stays beside it; returns the archive's path."""
-        archive = f"{self.root}.{uuid.uuid4().hex[:8]}"
-        rows, logged = catalogue.collect(), None if log is None else log.collect()  # the catalogue may lie in the old ledger
-        os.replace(self.root, archive)
-        remake = lambda r, n: self.spark.createDataFrame(r, SCHEMAS[n])
-        self.initialize(remake(rows, "catalogue"), None if logged is None else remake(logged, "log"))
+        name = uuid.uuid4().hex[:8]
+        archive, fresh = f"{self.root}.{name}", f"{self.root}.{name}-new"
+        Ledger(self.spark, fresh).initialize(catalogue, log)  # beside the old one, where the catalogue may lie
+        self.files.move(self.root, archive)
+        self.files.move(fresh, self.root)
         return archive

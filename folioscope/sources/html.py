@@ -6,6 +6,7 @@ batches. A parser that finds its page incomplete reports why and returns nothing
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -322,13 +323,18 @@ def page(html: str) -> dict:
     return {"title": title, "h1": h1, "links": links, "chars": chars, "error": None if title or chars else "empty page"}
 
 
-def parse_pages(pages: DataFrame, key: str, html: str, parser: Callable[[str], dict], fields: str) -> DataFrame:
-    """``parser`` over a column of pages; ``fields`` is the result's DDL (its names are the parser's keys)."""
+def parse_pages(pages: DataFrame, key: str, html: str, parser: Callable[..., dict], fields: str, with_key: bool = False) -> DataFrame:
+    """``parser`` over a column of pages; ``fields`` is the result's DDL (its names are the parser's keys). ``with_key``: the key is
+    JSON with the id and version that the page is expected to be of, and the parser gets them too."""
     names = [f.strip().split(" ")[0] for f in re.split(r",(?![^<]*>)", fields)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [parser(h) for h in b[html]]
+            if with_key:
+                wanted = [json.loads(k) for k in b[key]]
+                got = [parser(h, w.get("id"), w.get("version")) for h, w in zip(b[html], wanted)]
+            else:
+                got = [parser(h) for h in b[html]]
             yield pd.DataFrame({key: b[key], **{n: [g[n] for g in got] for n in names}})
 
     kind = dict(pages.dtypes)[key]

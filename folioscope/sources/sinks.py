@@ -6,7 +6,7 @@ import hashlib
 import json
 import os
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
@@ -20,6 +20,47 @@ def write_atomic(path: str, body: str) -> None:
     os.replace(side, path)
 
 
+class Shared:
+    """Small files in any store that Spark can reach, the driver's disk among them."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.jvm, self.gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.fs = self._path(root).getFileSystem(self.conf)
+
+    def _path(self, path: str):
+        return self.jvm.org.apache.hadoop.fs.Path(path)
+
+    def exists(self, path: str) -> bool:
+        return self.fs.exists(self._path(path))
+
+    def read(self, path: str) -> str:
+        stream = self.fs.open(self._path(path))
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, body: str) -> None:
+        """A file beside it and a rename over it: a reader sees the old or the new one, whole."""
+        side = f"{path}.tmp"
+        out = self.fs.create(self._path(side), True)
+        out.write(bytearray(body.encode("utf-8")))
+        out.close()
+        self._rename(side, path, "OVERWRITE")
+
+    def move(self, old: str, new: str) -> None:
+        """A file or folder to a place where nothing is."""
+        self._rename(old, new, "NONE")
+
+    def _rename(self, old: str, new: str, how: str) -> None:
+        kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self.gateway.new_array(kind, 1)
+        options[0] = kind.valueOf(how)
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        context.rename(self.fs.makeQualified(self._path(old)), self.fs.makeQualified(self._path(new)), options)
+
+
 def canonical(value: object) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 

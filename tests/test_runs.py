@@ -60,3 +60,24 @@ def test_a_run(spark, tmp_path, capsys):
     assert "isn't running" in json.loads(capsys.readouterr().err)["error"]
     archive = ledger.rebuild(ledger.table("catalogue"))
     assert Ledger(spark, archive).status()["newestRun"] == "r1" and ledger.status()["counts"]["catalogue"] == 2
+
+
+def test_commands_over_tables(spark, tmp_path, capsys):
+    root = str(tmp_path / "ledger")
+    ledger = Ledger(spark, root)
+    ledger.initialize(spark.createDataFrame([("2401.00001", 1), ("2401.00002", 1)], "id string, version int"), scan_date="2024-01-03")
+    ledger.start_run("r", "2024-01-01", "2024-01-05")
+    page = '<head><link rel="canonical" href="https://arxiv.org/abs/{0}v1"></head><section id="bib"><h2>References</h2><ul><li>arXiv:{1}</li></ul></section>'
+    rows = [("2401.00001", "2401.00002"), ("2401.00002", "2499.00001")]
+    (tmp_path / "pages.json").write_text("\n".join(json.dumps({"id": a, "version": 1, "html": page.format(a, b)}) for a, b in rows))
+    assert cli.main([root, "references", "r", str(tmp_path / "pages.json")], spark) == 0
+    assert cli.main([root, "mapped-citations", str(tmp_path / "edges")], spark) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["edges"] == 1
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "edges")).collect()] == [("2401.00001", "2401.00002")]
+    (tmp_path / "bad.json").write_text(json.dumps({"id": "2401.00001", "version": 2, "html": page.format("2401.00001", "2401.00002")}))
+    assert cli.main([root, "references", "r", str(tmp_path / "bad.json")], spark) == 2
+    (tmp_path / "config.json").write_text(json.dumps({"coverageThrough": "2024-01-07", "authorLimit": 3}))
+    assert cli.main([root, "harvest", str(tmp_path / "config.json")], spark) == 0
+    assert json.loads(capsys.readouterr().out.splitlines()[-1])["plan"]["end"] == "2024-01-05"
+    (tmp_path / "config.json").write_text('{"reviewLimit": 0}')
+    assert cli.main([root, "harvest", str(tmp_path / "config.json")], spark) == 2
