@@ -223,10 +223,12 @@ def _numeric(c: Column, start: str, digits: str, base: int) -> Column:
 
 
 def visible_text(html: Column) -> Column:
-    """Text of a page: scripts, styles, comments and tags out, entities decoded, spaces collapsed."""
-    c = F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</(?:script|style)>", " ")
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", " ")
-    c = F.regexp_replace(c, r"<[^>]*>", " ")
+    """Text of a page: scripts, styles, comments and tags out, entities decoded, spaces collapsed. The patterns never go
+    back over what they have read."""
+    body = r"<{0}\b[^>]*+>[^<]*+(?:<(?!/{0}>)[^<]*+)*+</{0}>"
+    c = F.regexp_replace(html, f"(?i){body.format('script')}|{body.format('style')}", " ")
+    c = F.regexp_replace(c, r"<!--[^-]*+(?:-(?!->)[^-]*+)*+-->", " ")
+    c = F.regexp_replace(c, r"<[^>]*+>", " ")
     return collapse_spaces(decode_entities(c))
 
 
