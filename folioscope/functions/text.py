@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,25 +26,30 @@ REFERENCE_LABEL = r"^\s*\[[^\]]+\]\s*"
 LEADING_JOINER = r"(?i)^(?:&|and\b|or\b)"
 
 
-class Marks(dict):
-    """For ``str.translate``: deletes combining marks."""
+@lru_cache(maxsize=1)
+def marks() -> re.Pattern:
+    """Runs of combining marks, as a class made from the character database."""
+    points = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    starts = [c for c, before in zip(points, [-2, *points]) if c != before + 1]
+    ends = [c for c, after in zip(points, [*points[1:], -2]) if after != c + 1]
+    return re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in zip(starts, ends)) + "]+")
 
-    def __missing__(self, point: int) -> int | None:
-        self[point] = None if unicodedata.category(chr(point))[0] == "M" else point
-        return self[point]
 
+OTHERS = re.compile(r"[\W_]+")
+PLAIN = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(128)
 
-MARKS, OTHERS = Marks(), re.compile(r"[\W_]+")
+
+def fold(x: str) -> str:
+    """NFKD, marks dropped, lower case, everything but letters and numbers to single spaces."""
+    x = marks().sub("", unicodedata.normalize("NFKD", x)).lower()
+    if x.isascii():
+        return b" ".join(x.encode().translate(PLAIN).split()).decode()
+    return OTHERS.sub(" ", x).strip()
 
 
 @F.pandas_udf(T.StringType())
 def _fold(s: pd.Series) -> pd.Series:
-    """NFKD, marks dropped, lower case, everything but letters and numbers to single spaces; null stays null."""
-
-    def one(x):
-        return None if x is None else OTHERS.sub(" ", unicodedata.normalize("NFKD", x).translate(MARKS).lower()).strip()
-
-    return s.map(one, na_action=None)
+    return s.map(fold, na_action="ignore")
 
 
 def normalize_search_text(c: Column) -> Column:
