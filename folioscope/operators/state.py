@@ -94,7 +94,11 @@ def previous(value: Column, key: str, order: str) -> Column:
 def budget(first: DataFrame, then: DataFrame, limit: int) -> DataFrame:
     """Rows of ``first`` and after them of ``then`` (both with ``ord`` columns) up to ``limit``, with the unlimited
     total. The sort is a top-k, so no task sorts all rows."""
-    rows = first.withColumn("stage", F.lit(1)).unionByName(then.withColumn("stage", F.lit(2)))
+    return staged_budget(first.withColumn("stage", F.lit(1)).unionByName(then.withColumn("stage", F.lit(2))), limit)
+
+
+def staged_budget(rows: DataFrame, limit: int) -> DataFrame:
+    """``budget`` of rows that have a ``stage``; they are read twice."""
     total = rows.agg(F.count("*").alias("total"))
     top = rows.orderBy("stage", "ord", "id").limit(limit)
     return top.crossJoin(F.broadcast(total)).withColumn("truncated", F.col("total") > limit)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import frontier, state, validate
 from folioscope.registry import query
-from folioscope.session import table
+from folioscope.session import materialize, table
 
 DAY = "CAST(CAST(ts AS DATE) AS VARCHAR)"
 
@@ -144,6 +144,11 @@ QUEUE = """q AS (SELECT d.doc_id, n_chars AS version, sha256(coalesce(source, ''
 
 
 def review(spark: SparkSession, sf: str) -> DataFrame:
+    return judged(spark, sf).where("want").drop("want")
+
+
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, with the reason for a review and whether they want one."""
     labels = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     log = table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(True).alias("logged")).distinct()
     d = table(spark, sf, "documents").select("doc_id", "source", "n_chars").join(labels, "doc_id", "left").join(log, "doc_id", "left")
@@ -161,7 +166,7 @@ def review(spark: SparkSession, sf: str) -> DataFrame:
         | ((c("status") == "relevant") & behind) | ((c("status") == "ambiguous") & ~c("logged"))
     )
     reason = state.review_reason(c("status"), c("in_cat"), c("published"), c("version"), c("reviewed"), c("digest"), F.lit(False))
-    return q.where(want).withColumn("reason", reason)
+    return q.withColumns({"want": F.coalesce(want, F.lit(False)), "reason": reason})
 
 
 @query(f"WITH {QUEUE} SELECT doc_id, version, status, reason FROM r")
@@ -172,9 +177,9 @@ def review_queue(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {QUEUE}, a AS (SELECT 1 AS stage, version AS ord, doc_id AS id FROM r UNION ALL SELECT 2, n_chars, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM r)),
   t AS (SELECT count(*) AS total FROM a) SELECT CAST(stage AS INTEGER) AS stage, id, total, total > 500 AS truncated FROM a, t ORDER BY stage, ord, id LIMIT 500""")
 def review_budget(spark: SparkSession, sf: str) -> DataFrame:
-    r = review(spark, sf).select(F.col("doc_id").alias("id"), F.col("version").alias("ord"))
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("ord")).join(r, "id", "left_anti")
-    return state.budget(r, d, 500).select("stage", "id", "total", "truncated")  # the budget is the feature
+    stage = F.when(F.col("want"), 1).otherwise(2).alias("stage")
+    rows = materialize(judged(spark, sf).select(stage, F.col("doc_id").alias("id"), F.col("version").alias("ord")), "review")
+    return state.staged_budget(rows, 500).select("stage", "id", "total", "truncated")  # the budget is the feature
 
 
 @query(f"""WITH {QUEUE}, g AS (SELECT count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (reviewed <> digest) AS changed, count(*) FILTER (status = 'relevant' AND NOT in_cat) AS unpublished,
