@@ -107,3 +107,16 @@ def plan_window(end: date, last: date | None, overlap: int = 2) -> tuple[date, d
 
 def utc_second(at: datetime) -> str:
     return at.astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
+def submission_second(c: Column) -> Column:
+    """An RFC 2822 time ("Mon, 3 Nov 2025 18:00:05 -0500", or UTC or GMT) as a UTC second in ISO form; null without a zone."""
+    bare = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3},\s*", "")
+    zoned = F.regexp_replace(bare, r"\s+(?:UTC|GMT|UT|Z)$", " +0000")
+    at = F.try_to_timestamp(F.when(zoned.rlike(r"[+\-]\d{4}$"), zoned), F.lit("d MMM yyyy HH:mm:ss Z"))
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def instant(c: Column) -> Column:
+    """The instant of an ISO time that states its zone; null for one that doesn't."""
+    return F.when(c.rlike(r"T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+\-]\d{2}:?\d{2})$"), F.try_to_timestamp(c))

@@ -201,6 +201,19 @@ def wrap_label(c: Column, per_char: float = 7.4, padding: float = 8, single: flo
     return F.when(one, F.array(c)).otherwise(F.array(best["a"], best["b"]))
 
 
+#: Fixed label sizes: least width, padding, height of one line and of each further one, widths of a title's and a kicker's letter.
+LEAST_WIDTH, LABEL_PADDING, ONE_LINE, NEXT_LINE, TITLE_LETTER, KICKER_LETTER = 92.0, 8.0, 34.0, 16.0, 7.4, 5.5
+
+
+def label_box(title: Column, kicker: Column) -> Column:
+    """struct<lines, width, height> of a label: its wrapped title above a kicker."""
+    lines = wrap_label(title, TITLE_LETTER, LABEL_PADDING)
+    widest = F.array_max(F.transform(lines, F.length)) * F.lit(TITLE_LETTER) + F.lit(LABEL_PADDING)
+    below = F.length(collapse_spaces(F.coalesce(kicker, F.lit("")))) * F.lit(KICKER_LETTER) + F.lit(LABEL_PADDING)
+    height = F.lit(ONE_LINE) + (F.size(lines) - 1) * F.lit(NEXT_LINE)
+    return F.struct(lines.alias("lines"), F.greatest(F.lit(LEAST_WIDTH), widest, below).alias("width"), height.alias("height"))
+
+
 #: Fixed entity names, in the order in which they are decoded: the ampersand first.
 ENTITIES = (("&amp;", "&"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "))
 

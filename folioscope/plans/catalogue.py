@@ -222,3 +222,41 @@ def id_extract_lookaround(spark: SparkSession, sf: str) -> DataFrame:
     said = F.concat(F.coalesce("text", F.lit("")), F.lit(" arXiv:2401."), F.lpad(F.col("doc_id").cast("string"), 5, "0"), F.lit("v2"))
     rows = docs(spark, sf).select("doc_id", text.bare_ids(said).alias("ids"), text.is_substantive(F.col("text")).alias("substantive"))
     return rows.select("doc_id", F.array_join("ids", ",").alias("ids"), "substantive")
+
+
+SPLITS = """p AS (SELECT p_partkey AS id, trim(regexp_replace(p_name || ' and ' || p_type, '\\s+', ' ', 'g')) AS t, p_brand FROM part), s AS (SELECT id, t, p_brand, string_split(t, ' ') AS w FROM p),
+  o AS (SELECT id, min(greatest(length(array_to_string(w[1:i], ' ')), length(array_to_string(w[i+1:], ' ')))) AS widest FROM s, range(1, 30) r(i) WHERE i < len(w) GROUP BY 1)"""
+
+
+@query(f"""WITH {SPLITS} SELECT s.id, round(greatest(92, 7.4 * CASE WHEN len(w) < 2 OR length(t) * 7.4 + 8 <= 168 THEN length(t) ELSE widest END + 8, length(p_brand) * 5.5 + 8), 6)::DOUBLE AS width,
+  CASE WHEN len(w) < 2 OR length(t) * 7.4 + 8 <= 168 THEN 34 ELSE 50 END::DOUBLE AS height FROM s LEFT JOIN o ON o.id = s.id""")
+def label_box(spark: SparkSession, sf: str) -> DataFrame:
+    box = text.label_box(F.concat("p_name", F.lit(" and "), "p_type"), F.col("p_brand")).alias("b")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), box).select("id", F.round("b.width", 6).alias("width"), "b.height")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 <> 3 THEN strftime(CAST(o_orderdate AS TIMESTAMP) + (CASE o_orderkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 0 ELSE -9 END) * INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ') END AS submitted,
+  o_orderkey % 2 = 0 AS zoned FROM orders""")
+def submission_second(spark: SparkSession, sf: str) -> DataFrame:
+    k, at = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp_ntz")
+    zone = F.when(k % 4 == 0, " -0500").when(k % 4 == 1, " UTC").when(k % 4 == 2, " +0900").otherwise("")
+    said = F.concat(F.date_format(at, "EEE, d MMM yyyy HH:mm:ss"), zone)
+    iso = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(k % 2 == 0, "+02:00").otherwise(""))
+    return table(spark, sf, "orders").select(k.alias("id"), dates.submission_second(said).alias("submitted"), dates.instant(iso).isNotNull().alias("zoned"))
+
+
+@query("""WITH known AS (SELECT DISTINCT p_brand AS v FROM part WHERE p_brand <> 'Brand#11'), l AS (SELECT p_partkey AS id, p_brand, unnest(range(5)) AS pos,
+    unnest(['Brand#11', 'Brand#' || (p_partkey % 5 + 1) || (p_partkey % 5 + 1), 'Brand#' || (p_partkey % 3 + 2) || '3', 'nowhere', 'Brand#' || (p_partkey % 4 + 1) || '2']) AS m FROM part),
+  f AS (SELECT id, p_brand, m, min(pos) AS pos FROM l GROUP BY ALL), k AS (SELECT id, m, pos, row_number() OVER (PARTITION BY id ORDER BY pos) AS rn FROM f JOIN known ON v = m WHERE m <> p_brand)
+  SELECT p_partkey AS id, any_value(p_brand) || coalesce(string_agg('|' || m, '' ORDER BY pos), '') AS islands FROM part LEFT JOIN k ON k.id = p_partkey AND rn <= 2 GROUP BY p_partkey""")
+def known_membership(spark: SparkSession, sf: str) -> DataFrame:
+    """The primary island, then up to two others that are known and aren't the observation (here Brand#11)."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    brand = lambda a, b: F.concat(F.lit("Brand#"), a.cast("string"), b.cast("string") if not isinstance(b, str) else F.lit(b))
+    listed = F.array(F.lit("Brand#11"), brand(k % 5 + 1, k % 5 + 1), brand(k % 3 + 2, "3"), F.lit("nowhere"), brand(k % 4 + 1, "2"))
+    rows = p.select(k.alias("id"), "p_brand", F.posexplode(F.array_distinct(listed)).alias("pos", "m"))
+    known = p.select(F.col("p_brand").alias("m")).distinct().where("m <> 'Brand#11'")
+    kept = rows.join(known, "m").where("m <> p_brand").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("xs"))
+    others = F.transform(F.slice("xs", 1, 2), lambda x: x["m"])
+    joined = p.select(k.alias("id"), "p_brand").join(kept, "id", "left")
+    return joined.select("id", F.array_join(F.concat(F.array("p_brand"), F.coalesce(others, F.array().cast("array<string>"))), "|").alias("islands"))
