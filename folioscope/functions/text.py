@@ -26,22 +26,27 @@ REFERENCE_LABEL = r"^\s*\[[^\]]+\]\s*"
 LEADING_JOINER = r"(?i)^(?:&|and\b|or\b)"
 
 
-@lru_cache(maxsize=1)
-def marks() -> re.Pattern:
-    """Runs of combining marks, as a class made from the character database."""
-    points = [c for c in range(0x110000) if unicodedata.category(chr(c))[0] == "M"]
+@lru_cache(maxsize=2)
+def marks(first: int, last: int) -> re.Pattern:
+    """Runs of combining marks between two code points, as a class made from the character database."""
+    points = [c for c in range(first, last) if unicodedata.category(chr(c))[0] == "M"]
     starts = [c for c, before in zip(points, [-2, *points]) if c != before + 1]
     ends = [c for c, after in zip(points, [*points[1:], -2]) if after != c + 1]
     return re.compile("[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in zip(starts, ends)) + "]+")
 
 
+HIGH = re.compile("[\U00010000-\U0010ffff]")
 OTHERS = re.compile(r"[\W_]+")
 PLAIN = bytes(c if chr(c).isalnum() else 32 for c in range(128)) + bytes(128)
 
 
 def fold(x: str) -> str:
     """NFKD, marks dropped, lower case, everything but letters and numbers to single spaces."""
-    x = marks().sub("", unicodedata.normalize("NFKD", x)).lower()
+    # two classes: one of code points below 2^16 is a bit table, one with higher ones a list that each letter runs through
+    x = marks(0, 1 << 16).sub("", unicodedata.normalize("NFKD", x))
+    if HIGH.search(x):
+        x = marks(1 << 16, 0x110000).sub("", x)
+    x = x.lower()
     if x.isascii():
         return b" ".join(x.encode().translate(PLAIN).split()).decode()
     return OTHERS.sub(" ", x).strip()
