@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators import layout, validate
+from folioscope.session import find_package
 
 #: Fixed schedule, strengths and distances of the layout.
 INNER_STEPS, INNER_CLEANUP, INNER_ALPHA, INNER_PULL, INNER_MOST = 260, 1200, (0.92, 0.34), 0.085, 4.5
@@ -142,6 +143,7 @@ def arrange(members: DataFrame, islands: DataFrame, width: float = 1160.0, heigh
         out = pd.DataFrame(rows, columns=["kind", "id", "x", "y", "radius"])
         return out.assign(map=head["map"], group=head["group"], overlap=worst)[[f.strip().split(" ")[0] for f in INNER.split(",")]]
 
+    find_package(sized.sparkSession)
     placed = sized.groupBy("map", "group").applyInPandas(inner, INNER)
     rings = placed.where("kind = 'island'").select("map", "group", F.col("x").alias("dx"), F.col("y").alias("dy"), F.col("radius").alias("content"))
     anchors = rings.join(islands, ["map", "group"])

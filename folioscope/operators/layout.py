@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import numbers
-from folioscope.session import materialize
+from folioscope.session import find_package, materialize
 
 #: Fixed layout constants.
 DENSITY, BLEND, MAX_SHIFT, PAPER_GAP, LABEL_GAP = 0.58, 0.06, math.pi / 18, 8.0, 9.0
@@ -170,6 +170,7 @@ def enclosing_circles(points: DataFrame) -> DataFrame:
         return pd.DataFrame({"group": [pdf["group"].iloc[0]], "x": [c[0]], "y": [c[1]], "radius": [c[2]]})
 
     while True:
+        find_package(held.sparkSession)
         circles = materialize(held.groupBy("group").applyInPandas(one, kind), "circles")
         about = circles.select("group", F.col("x").alias("cx"), F.col("y").alias("cy"), "radius")
         gone = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
@@ -276,6 +277,7 @@ def pack(points: DataFrame, gap: float = PAPER_GAP, most: int = 3000) -> DataFra
         x, y, worst = move(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["radius"].to_numpy(float), gap)
         return pd.DataFrame({"group": pdf["group"], "id": pdf["id"], "x": x, "y": y, "overlap": worst})
 
+    find_package(points.sparkSession)
     return points.groupBy("group").applyInPandas(one, "group int, id long, x double, y double, overlap double")
 
 

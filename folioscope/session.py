@@ -34,14 +34,20 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; only Spark opens the path, so any store Spark can read will do."""
+    find_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_workers(spark: SparkSession, rows_per_batch: int = 500) -> None:
-    """Let Python workers import this package and keep Arrow batches of long texts small."""
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package wherever the driver was started."""
     env = spark.sparkContext.environment
     if REPO_ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO_ROOT, env.get("PYTHONPATH", "")) if x)
+
+
+def ensure_workers(spark: SparkSession, rows_per_batch: int = 500) -> None:
+    """Let Python workers import this package and keep Arrow batches of long texts small."""
+    find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows_per_batch))
 
 

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from folioscope.functions.text import BARE_ID, DOI_ID, HOSTS, LABELLED_ID, PATH_ID, REFERENCE_LABEL, SPLIT_NAME
+from folioscope.session import find_package
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
@@ -338,4 +339,5 @@ def parse_pages(pages: DataFrame, key: str, html: str, parser: Callable[..., dic
             yield pd.DataFrame({key: b[key], **{n: [g[n] for g in got] for n in names}})
 
     kind = dict(pages.dtypes)[key]
+    find_package(pages.sparkSession)
     return pages.select(key, html).mapInPandas(run, f"{key} {kind}, {fields}")
