@@ -19,6 +19,16 @@ def citation_diameter(count: Column, least: float = 14, most: float = 44, refere
     return F.sqrt(F.lit(float(least**2)) + F.lit(float(most**2 - least**2)) * progress)
 
 
+#: Fixed diameters of the uniform map.
+OBSERVATION_DIAMETER, OTHER_DIAMETER = 28.0, 16.0
+
+
+def map_diameter(mode: Column, observation: Column, citations: Column) -> Column:
+    """A paper's diameter: by its citations in the mode 'citations', by its role in any other."""
+    uniform = F.when(observation, F.lit(OBSERVATION_DIAMETER)).otherwise(F.lit(OTHER_DIAMETER))
+    return F.when(mode == "citations", citation_diameter(citations)).otherwise(uniform)
+
+
 def collision_radius(diameter: Column, halo: float = 5, scale: float = 1.12) -> Column:
     return (diameter / 2 + F.lit(float(halo))) * F.lit(scale)
 

@@ -73,3 +73,18 @@ def reference_targets(status: DataFrame, accepted: DataFrame, explicit: DataFram
     exact = wanted.where("version is not null")
     loose = wanted.where("version is null").join(exact.select("id").distinct(), "id", "left_anti")
     return exact.unionByName(loose).orderBy("id", F.coalesce("version", F.lit(-1)))
+
+
+def projection_digests(papers: DataFrame, edges: DataFrame, block: int = 4096) -> DataFrame:
+    """(block, n, digest) of the catalogue that a layout depends on: ``papers(id, ...)`` in id order, each with its sorted
+    citations. Rows are digested by blocks of ids and the blocks' digests make that of block -1, the whole, so the largest
+    task reads one block or one digest a block."""
+    cites = edges.groupBy(F.col("src").alias("id")).agg(F.array_join(F.array_sort(F.collect_list(F.col("dst").cast("string"))), ",").alias("cites"))
+    rest = [c for c in papers.columns if c != "id"]
+    row = F.concat_ws("|", F.col("id").cast("string"), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rest], F.coalesce("cites", F.lit("")))
+    rows = papers.join(cites, "id", "left").select(F.floor(F.col("id") / block).alias("block"), F.struct("id", F.sha2(row, 256).alias("sha")).alias("x"))
+    joined = lambda xs: F.array_join(F.transform(F.array_sort(F.collect_list(xs)), lambda x: x["sha"]), "")
+    blocks = rows.groupBy("block").agg(F.count("*").alias("n"), F.sha2(joined("x"), 256).alias("digest"))
+    ordered = F.struct("block", F.col("digest").alias("sha"))
+    whole = blocks.agg(F.lit(-1).cast("long").alias("block"), F.sum("n").alias("n"), F.sha2(joined(ordered), 256).alias("digest"))
+    return blocks.unionByName(whole)

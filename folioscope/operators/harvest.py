@@ -12,6 +12,7 @@ from urllib.parse import urlsplit
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.functions import text
 from folioscope.functions.text import HOSTS, ID_BODY
 from folioscope.operators import frontier
 
@@ -167,3 +168,86 @@ def to_hydrate(seen: DataFrame, known: DataFrame, explicit: DataFrame) -> DataFr
     fresh = ids.join(known.select("id").distinct(), "id", "left_anti").withColumn("why", F.lit("new"))
     asked = explicit.select("id").distinct().withColumn("why", F.lit("explicit"))
     return again.union(fresh).union(asked).groupBy("id").agg(F.min("why").alias("why"))
+
+
+def listing_problems(pages: DataFrame, claims: DataFrame, entries: DataFrame) -> DataFrame:
+    """(page, error) of listings that aren't whole: ``pages(page, container, total, dated)``, ``claims(page, shown, total)`` of
+    their sections, ``entries(page, id)``. A page that states no entries is whole if it names its day."""
+    found = entries.groupBy("page").agg(F.countDistinct("id").alias("n"))
+    partial = claims.where(F.col("shown") < F.col("total")).select("page").distinct().withColumn("partial", F.lit(True))
+    rows = pages.join(found, "page", "left").join(partial, "page", "left")
+    n = F.coalesce("n", F.lit(0))
+    error = (
+        F.when((n == 0) & (F.col("total") == 0), F.when(~F.col("dated"), "no day"))
+        .when(~F.col("container"), "no container")
+        .when(F.col("partial"), "partial")
+        .when(n == 0, "no entries")
+        .when(F.col("total") != n, "count mismatch")
+    )
+    return rows.select("page", error.alias("error")).where("error is not null")
+
+
+def search_problems(pages: DataFrame, marks: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """(source, n_pages, met, error) of searches read newest first: ``pages(source, page, total, ids)`` numbered from 1 without
+    gaps, the last one of a source being its results' end. Pages are read up to the first with an id of ``marks(source, id)``."""
+    rows = pages.select("source", "page", "total", F.explode_outer("ids").alias("id"))
+    known = marks.select("source", "id").distinct()
+    stops = rows.join(known, ["source", "id"], "left_semi").groupBy("source").agg(F.min("page").alias("stop"))
+    ends = pages.groupBy("source").agg(F.max("page").alias("last"))
+    bound = ends.join(stops, "source", "left").join(known.select("source").distinct().withColumn("has", F.lit(True)), "source", "left")
+    bound = bound.withColumn("upto", F.least("last", F.coalesce("stop", F.col("last")), F.lit(max_pages)))
+    read = rows.join(bound.select("source", "upto"), "source").where("page <= upto")
+    # a page may repeat an id, two pages may not
+    per_id = read.groupBy("source", "id").agg(
+        F.countDistinct("page").alias("on"), F.min("total").alias("least"), F.max("total").alias("most"), F.bool_or(F.col("total").isNull()).alias("unsaid")
+    )
+    per = per_id.groupBy("source").agg(
+        F.count("id").alias("n"), (F.max(F.when(F.col("id").isNotNull(), F.col("on"))) > 1).alias("again"),
+        F.min("least").alias("least"), F.max("most").alias("most"), F.bool_or("unsaid").alias("unsaid"),
+    )
+    met = F.col("stop").isNotNull() & (F.col("stop") <= F.col("upto"))
+    ended = ~met & (F.col("upto") == F.col("last"))
+    error = (
+        F.when(F.col("unsaid"), "no total")
+        .when(F.col("least") != F.col("most"), "total changed")
+        .when(F.col("again"), "repeated ids")
+        .when(ended & (F.col("n") != F.col("most")), "total not reached")
+        .when(~met & ~ended, "too many pages")
+        .when(ended & F.col("has"), "frontier not met")
+    )
+    return bound.join(per, "source").select("source", F.col("upto").cast("long").alias("n_pages"), met.alias("met"), error.alias("error"))
+
+
+def coverage_problems(evidence: DataFrame, plan: tuple[str, str], bound: tuple[str, str] | None = None, newest: str | None = None) -> DataFrame:
+    """(source, error) where ``evidence(source, earliest, latest)`` doesn't cover the planned days up to ``newest`` (their end
+    where none is given); a plan other than the one bound to the run is an error of its own."""
+    if bound and bound != plan:
+        raise ValueError(f"the run is bound to {bound[0]} to {bound[1]}, the plan is {plan[0]} to {plan[1]}")
+    late = F.coalesce(F.col("earliest") > plan[0], F.lit(True))
+    early = F.coalesce(F.col("latest") < (newest or plan[1]), F.lit(True))
+    error = F.when(late, "starts late").when(early, "ends early")
+    return evidence.select("source", error.alias("error")).where("error is not null")
+
+
+def delta_batches(pages: DataFrame, marks: DataFrame) -> DataFrame:
+    """(source, batch_key, payload_sha, n): the discoveries of each page of ``pages(source, page, pos, id, page_sha)``. A batch is
+    known by its frontier and page, its payload by the page's content, the frontier and the new ids, so an equal one replays."""
+    fronts = marks.select("source", "id").distinct().groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(F.col("id").cast("string"))), ",").alias("front"))
+    ids = F.array_sort(F.collect_list(F.struct("pos", F.col("id").cast("string").alias("id"))))
+    new = new_on_pages(pages, marks).groupBy("source", "page").agg(F.array_join(F.transform(ids, lambda x: x["id"]), ",").alias("ids"), F.count("*").alias("n"))
+    shas = pages.select("source", "page", "page_sha").distinct()
+    rows = new.join(shas, ["source", "page"]).join(fronts, "source", "left").withColumn("front", F.coalesce("front", F.lit("")))
+    key = F.concat(F.lit("frontier:"), F.substring(F.sha2("front", 256), 1, 16), F.lit(":page:"), F.col("page").cast("string"))
+    return rows.select("source", key.alias("batch_key"), F.sha2(F.concat_ws("|", "page_sha", "front", "ids"), 256).alias("payload_sha"), "n")
+
+
+def author_queries(authors: DataFrame, overrides: DataFrame) -> DataFrame:
+    """``authors(id, name)`` with the search to run: that of ``overrides(name, query, archive)`` whose normalised name is the
+    same, else the name; collaborations are skipped. Overrides are a configuration's, one a name (the first by query where
+    several fold to one)."""
+    of = overrides.groupBy(text.author_key("name").alias("key")).agg(F.min(F.struct("query", "archive")).alias("o"))
+    rows = authors.withColumn("key", text.author_key("name")).join(of, "key", "left")
+    skipped = F.col("name").rlike(r"(?i)\bcollaboration\b")
+    return rows.select(
+        "id", skipped.alias("skipped"), F.when(~skipped, F.coalesce("o.query", "name")).alias("query"), F.when(~skipped, F.col("o.archive")).alias("archive")
+    )

@@ -109,3 +109,47 @@ def commit(df: DataFrame, root: str, version: int) -> str:
     path = f"{root}/v={version}"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def numbered(df: DataFrame, key: list[str], order: str, ties: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+    """``df`` with ``place``, from 1 within ``key`` in the order of the whole number ``order``, then ``ties``.
+
+    Blocks of the order are counted, then places run within a block, so that no task numbers a whole key; a task holds the
+    rows that share a block, and their number grows only where many share one value of ``order``. Nulls come first.
+    """
+    at = [*key, "__block"]
+    rows = df.withColumn("__block", F.floor(F.col(order) / block))
+    before = Window.partitionBy(*key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*at).agg(F.count("*").alias("__n"))
+    starts = counts.select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(at)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy(*at).orderBy(order, *ties)).cast("long")
+    same = [F.col(c).eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(at)]
+    placed = rows.withColumn("__in", inside).join(starts, same)
+    return placed.select(*df.columns, (F.col("__start") + F.col("__in")).alias("place"))
+
+
+def catalogue_places(papers: DataFrame) -> DataFrame:
+    """``papers(id, observation, published, ...)`` with ``place`` in catalogue order: observations, then by day and id. Only
+    days are summed in one task."""
+    day = papers.withColumns({"__late": ~F.coalesce("observation", F.lit(False)), "__day": F.unix_date("published")})
+    within = numbered(day, ["__late", "__day"], "id")
+    days = day.groupBy(F.col("__late").alias("__l"), F.col("__day").alias("__d")).agg(F.count("*").alias("__m"))
+    before = Window.orderBy("__l", "__d").rowsBetween(Window.unboundedPreceding, -1)
+    starts = F.broadcast(days.select("__l", "__d", F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__from")))  # two rows a day
+    met = within.join(starts, F.col("__late").eqNullSafe(F.col("__l")) & F.col("__day").eqNullSafe(F.col("__d")))
+    return met.select(*papers.columns, (F.col("place") + F.col("__from")).alias("place"))
+
+
+def snapshot_states(snapshots: DataFrame) -> DataFrame:
+    """Each of ``snapshots(id, version, seq, sha, supersede)`` with what it does to its (id, version): 'new', 'replayed' (the
+    head's content again), 'superseding', or 'conflict' (other content, which takes the head's place only on demand); and
+    whether it is the head. A window holds the snapshots of one version."""
+    w = Window.partitionBy("id", "version").orderBy("seq")
+    first = F.row_number().over(w) == 1
+    taken = F.when(F.col("first") | F.coalesce("supersede", F.lit(False)), F.col("sha"))
+    rows = snapshots.withColumn("first", first).withColumn("taken", taken)
+    rows = rows.withColumn("had", F.last("taken", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    what = F.when(F.col("first"), "new").when(F.col("sha").eqNullSafe(F.col("had")), "replayed").when(F.col("taken").isNotNull(), "superseding").otherwise("conflict")
+    leads = F.when(F.col("taken").isNotNull(), F.col("seq"))
+    newest = F.max(leads).over(Window.partitionBy("id", "version"))
+    return rows.select("id", "version", "seq", "sha", what.alias("state"), (F.col("seq") == newest).alias("head"))

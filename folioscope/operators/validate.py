@@ -95,3 +95,49 @@ def first_failure(*gates: tuple[str, Column]) -> Column:
     for name, ok in reversed(gates):
         out = F.when(~ok, F.lit(name)).otherwise(out)
     return out
+
+
+def membership_problems(papers: DataFrame) -> DataFrame:
+    """(rule, key) of ``papers(id, contribution, role, primary, islands)``: an observation is one by contribution and by role,
+    a paper has one island, none twice, and its primary one first."""
+    seen = lambda c: F.coalesce(F.col(c) == "observation", F.lit(False))
+    n = F.coalesce(F.size("islands"), F.lit(0))
+    rules = {
+        "role": seen("contribution") != seen("role"),
+        "no island": n < 1,
+        "one island": n > 1,
+        "repeated island": n != F.size(F.array_distinct("islands")),
+        "primary first": ~F.get("islands", F.lit(0)).eqNullSafe(F.col("primary")) & (n > 0),
+    }
+    broken = F.array_compact(F.array(*[F.when(bad, name) for name, bad in rules.items()]))
+    return papers.select(F.explode(broken).alias("rule"), F.col("id").cast("string").alias("key"))
+
+
+def completion(versions: DataFrame, catalogue: DataFrame, references: DataFrame, discoveries: DataFrame, log: DataFrame, lanes_done: Column, changes: int = 0) -> DataFrame:
+    """One row: what stands between a run and its end, and the first reason in the gates' order.
+
+    ``versions(id, version, digest, reviewed, status)``, ``catalogue(id, published)``, ``references(id, version)`` heads,
+    ``discoveries(id)``, ``log(id, version, digest)``. Each table is read once and joined by id.
+    """
+    heads = references.select("id", "version").distinct()
+    logged = log.select("id", "version", "digest").distinct().withColumn("logged", F.lit(True))
+    rows = versions.join(catalogue, "id", "left").join(heads.withColumn("held", F.lit(True)), ["id", "version"], "left").join(logged, ["id", "version", "digest"], "left")
+    settled = F.col("reviewed") == F.col("digest")
+    waits = (F.col("status") == "relevant") & settled & F.coalesce(F.col("published") < F.col("version"), F.lit(True))
+    of_versions = rows.agg(
+        F.count_if((F.col("status") == "pending") | ~F.coalesce(settled, F.lit(False))).alias("pending"),
+        F.count_if(waits & F.col("held").isNull()).alias("unreferenced"),
+        F.count_if(waits).alias("unpublished"),
+        F.count_if((F.col("status") == "ambiguous") & settled & F.col("logged").isNull()).alias("unlogged"),
+    )
+    mapped = catalogue.join(heads.select("id", F.col("version").alias("published"), F.lit(True).alias("held")), ["id", "published"], "left")
+    unmapped = mapped.agg(F.count_if(F.col("published").isNull() | F.col("held").isNull()).alias("unmapped"))
+    known = catalogue.select("id").union(versions.select("id"))
+    unhydrated = discoveries.select("id").join(known, "id", "left_anti").agg(F.count("*").alias("unhydrated"))
+    one = of_versions.crossJoin(F.broadcast(unmapped)).crossJoin(F.broadcast(unhydrated))  # one row each
+    none = lambda c: F.col(c) == 0
+    failed = first_failure(
+        ("lanes", lanes_done), ("review", none("pending") & none("unhydrated")), ("references", none("unreferenced")), ("mapped references", none("unmapped")),
+        ("unpublished", none("unpublished") | F.lit(changes > 0)), ("ambiguous", none("unlogged") | F.lit(changes > 0)),
+    )
+    return one.withColumn("first_failure", failed)

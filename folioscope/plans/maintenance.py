@@ -280,12 +280,7 @@ def next_rank(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "part")
     top = F.broadcast(p.agg(F.coalesce(F.max("p_size"), F.lit(-1)).cast("long").alias("top")))  # one row
     new = p.where("p_size = 1").select(F.col("p_partkey").alias("id"))
-    # ranks in two steps, so that no task numbers all rows: counts of id blocks, then places within a block
-    block = new.withColumn("block", F.expr("id div 4096"))
-    starts = block.groupBy("block").count().withColumn("start", F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)))
-    placed = block.withColumn("rn", F.row_number().over(Window.partitionBy("block").orderBy("id"))).join(starts, "block")
-    return placed.crossJoin(top).select("id", (F.col("top") + F.coalesce("start", F.lit(0)) + F.col("rn")).alias("rank"))
-
+    return state.numbered(new, [], "id").crossJoin(top).select("id", (F.col("top") + F.col("place")).alias("rank"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 <> 0 THEN 'old' ELSE 'new' END AS origin FROM orders""")
@@ -446,8 +441,8 @@ def newest_oldest(spark: SparkSession, sf: str) -> DataFrame:
 def ordinals(spark: SparkSession, sf: str) -> DataFrame:
     from folioscope.functions.numbers import GOLDEN_ANGLE
 
-    n = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long")
-    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), n.alias("ordinal"), F.round(n * F.lit(GOLDEN_ANGLE), 6).alias("angle"))
+    n = F.col("place") - 1
+    return state.numbered(table(spark, sf, "part").select("p_partkey", "p_brand"), ["p_brand"], "p_partkey").select(F.col("p_partkey").alias("id"), n.alias("ordinal"), F.round(n * F.lit(GOLDEN_ANGLE), 6).alias("angle"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'new' ELSE 'updated' END AS change, o_orderstatus = 'F' AS observation FROM orders

@@ -1,11 +1,12 @@
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import frontier, graph, layout, search, state, validate
+from folioscope.operators import frontier, graph, harvest, layout, search, state, validate
 
 
 def rows(df, *cols):
@@ -270,3 +271,64 @@ def test_drop_tables(spark):
     session.drop_tables(spark, since)
     with pytest.raises(Exception, match="not exist|FILE|PATH"):
         spark.read.schema("id long").parquet(two.inputFiles()[0]).count()
+
+
+def test_numbered(spark):
+    """Blocks of any size, ties, null keys and orders."""
+    rows = [("a", 5, 1), ("a", 1, 2), ("a", 1, 1), (None, 9000, 1), (None, 3, 1), ("a", None, 1), ("b", -1, 1)]
+    df = spark.createDataFrame(rows, "k string, at long, id long")
+    for block in (1, 3, 4096):
+        got = {(r["k"], r["at"], r["id"]): r["place"] for r in state.numbered(df, ["k"], "at", ("id",), block).collect()}
+        assert got == {("a", None, 1): 1, ("a", 1, 1): 2, ("a", 1, 2): 3, ("a", 5, 1): 4, (None, 3, 1): 1, (None, 9000, 1): 2, ("b", -1, 1): 1}
+    assert sorted(r["place"] for r in state.numbered(df, [], "at").collect()) == [*range(1, 8)]
+    assert state.numbered(df.limit(0), ["k"], "at").count() == 0
+
+
+def test_snapshot_states(spark):
+    rows = [(1, 1, 1, "x", False), (1, 1, 2, "x", False), (1, 1, 3, "y", False), (1, 1, 4, "y", True), (1, 1, 5, "x", None), (2, 1, 6, "x", True)]
+    got = state.snapshot_states(spark.createDataFrame(rows, "id long, version long, seq long, sha string, supersede boolean"))
+    assert [(r["state"], r["head"]) for r in got.orderBy("seq").collect()] == [
+        ("new", False), ("replayed", False), ("conflict", False), ("superseding", True), ("conflict", False), ("new", True)
+    ]
+
+
+def test_completion_gates_in_order(spark):
+    d = lambda rows, schema: spark.createDataFrame(rows, schema)
+    v = "id long, version long, digest string, reviewed string, status string"
+    none = (d([], "id long, published long"), d([], "id long, version long"), d([], "id long"), d([], "id long, version long, digest string"))
+
+    def first(versions, catalogue=none[0], references=none[1], found=none[2], log=none[3], done=True, changes=0):
+        return validate.completion(d(versions, v), catalogue, references, found, log, F.lit(done), changes).first()["first_failure"]
+
+    good, asked = (1, 2, "d", "d", "relevant"), d([(1, 2)], "id long, version long")
+    assert first([]) is None and first([], done=False) == "lanes"
+    assert first([(1, 1, "d", None, "excluded")]) == "review" and first([], found=d([(9,)], "id long")) == "review"
+    assert first([good]) == "references" and first([good], references=asked) == "unpublished" and first([good], references=asked, changes=1) is None
+    assert first([good], d([(1, 2)], "id long, published long"), asked) is None
+    assert first([], d([(3, None)], "id long, published long")) == "mapped references"
+    unsure = (1, 2, "d", "d", "ambiguous")
+    assert first([unsure]) == "ambiguous" and first([unsure], log=d([(1, 2, "d")], "id long, version long, digest string")) is None
+
+
+def test_bound_plan(spark):
+    evidence = spark.createDataFrame([("a", "2024-01-01", "2024-01-09"), ("b", None, None)], "source string, earliest string, latest string")
+    with pytest.raises(ValueError, match="bound"):
+        harvest.coverage_problems(evidence, ("2024-01-01", "2024-01-09"), ("2024-01-02", "2024-01-09"))
+    got = harvest.coverage_problems(evidence, ("2024-01-01", "2024-01-10"), newest="2024-01-09")
+    assert [tuple(r) for r in got.collect()] == [("b", "starts late")]
+
+
+def test_workers_find_the_package(tmp_path):
+    """A driver that starts elsewhere, without the repository on its workers' path."""
+    import subprocess
+    import sys
+
+    from folioscope.session import REPO_ROOT
+
+    code = (
+        f"import sys; sys.path.insert(0, {REPO_ROOT!r}); from folioscope import registry; from folioscope.session import build_session;"
+        "print('rows', registry.queries()['author_key'](build_session(1), '/root/testdata/sf0.001').count(), registry.queries()['search_text'](build_session(1), '/root/testdata/sf0.001').collect()[0]['chars'])"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "rows" in ran.stdout, ran.stderr[-2000:]
