@@ -6,8 +6,9 @@ order doesn't matter and a paragraph is added or taken away by one vector additi
 
 The vector has a dense part (eight 64-bit lanes; it tells multisets apart) and a sparse part (16-bit
 lanes in ten levels; a paragraph touches one lane of level 0, and with chance 1/8, 1/64, ... one of
-the next levels). The share of touched lanes on which two sums agree, read at the first level
-that isn't crowded, is their likeness. The last level takes 1 of 2^27 paragraphs, so two texts of 2^31 bytes
+the next levels). Two sums' likeness is read at the first level that isn't crowded: with a share u of its lanes untouched and a
+share d on which the sums differ, the union has about -ln u paragraphs a lane and those not in common are about -ln(1 - d), so
+that lanes which several paragraphs share don't lower it. The last level takes 1 of 2^27 paragraphs, so two texts of 2^31 bytes
 each, the longest there are, touch about 16 of its 32 lanes. As hex the first 128 lanes are
 always written, later ones as far as the last that isn't zero.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import re
 from collections.abc import Iterator
 
@@ -101,7 +103,8 @@ class Fingerprint:
             n = int(touched.sum())
             if level and n < 6:
                 break  # too few left to say more than the level before
-            answer = float(((a == b) & touched).sum()) / n if n else 0.0
+            differ = int((a != b).sum())
+            answer = 1.0 - math.log(1 - differ / width) / math.log(max(width - n, 0.5) / width) if differ < n else 0.0
             if n <= 0.75 * width:
                 break
         return answer

@@ -618,6 +618,18 @@ def test_likeness_of_long_texts(n):
     assert abs(np.mean(near) - np.mean(want)) < 0.15 and abs(np.mean(want) - 1 / 3) < 0.01
 
 
+@pytest.mark.parametrize(("n", "common"), [(20, 10), (100, 50), (100, 89), (400, 200)])
+def test_likeness_isnt_lowered_by_shared_lanes(n, common):
+    near = []
+    for k in range(150):
+        prints = [fingerprints.Fingerprint() for _ in "ab"]
+        for name, p in zip("ab", prints):
+            p.add([f"{k} {i}" for i in range(common)] + [f"{name}{k} {i}" for i in range(n - common)])
+        near.append(prints[0].likeness(prints[1]))
+        assert 0 <= near[-1] <= 1 and near[-1] == prints[1].likeness(prints[0])
+    assert abs(np.mean(near) - common / (2 * n - common)) < 0.06
+
+
 # 8
 
 
