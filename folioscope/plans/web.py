@@ -82,7 +82,17 @@ def sitemap_rows(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.sitemap_rows(pages(spark, sf), "url", day)
 
 
-@query()
+SAID = "{0}"
+for _name, _char in (("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#x27;", "''"), ("&nbsp;", " ")):
+    SAID = f"replace({SAID}, '{_name}', '{_char}')"
+SAID = f"regexp_replace({SAID}, '&amp;?', '&', 'g')"  # a cut title may end without the semicolon
+SHOWN = "regexp_replace(regexp_replace(html, '(?is)<head\\b.*?</head>|<(?:script\\b.*?</script|style\\b.*?</style)>|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+FOUND = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+TAG = "regexp_extract(html, '<{0}>([^<]*)</{0}>', 1)"
+
+
+@query(f"""SELECT page_id, {FOUND.format(SAID.format(TAG.format('title')))} AS title, {FOUND.format(SAID.format(TAG.format('h1')))} AS h1, CAST(len(regexp_extract_all(html, '<a\\s[^>]*href="[^"]+"')) AS BIGINT) AS n_links,
+  length({FOUND.format(SAID.format(SHOWN))}) AS chars, CAST(NULL AS VARCHAR) AS error FROM pages""")
 def page_parse_strict(spark: SparkSession, sf: str) -> DataFrame:
     ensure_workers(spark)
     parsed = html.parse_pages(pages(spark, sf), "page_id", "html", html.page, "title string, h1 string, links array<string>, chars long, error string")
