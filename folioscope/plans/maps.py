@@ -97,9 +97,16 @@ def json_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", value.alias("value"))
 
 
-@query()
+# the largest of the circles about three points each is that about all
+@query(f"""WITH {PTS}, t AS (SELECT a.grp, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3, (b.x - c.x) ^ 2 + (b.y - c.y) ^ 2 AS a2, (a.x - c.x) ^ 2 + (a.y - c.y) ^ 2 AS b2, (a.x - b.x) ^ 2 + (a.y - b.y) ^ 2 AS c2,
+    2 * (a.x * (b.y - c.y) + b.x * (c.y - a.y) + c.x * (a.y - b.y)) AS d FROM pts a JOIN pts b ON b.grp = a.grp AND b.id > a.id JOIN pts c ON c.grp = a.grp AND c.id > b.id),
+  r AS (SELECT grp, CASE WHEN a2 >= b2 + c2 THEN (x2 + x3) / 2 WHEN b2 >= a2 + c2 THEN (x1 + x3) / 2 WHEN c2 >= a2 + b2 THEN (x1 + x2) / 2 ELSE ((x1 * x1 + y1 * y1) * (y2 - y3) + (x2 * x2 + y2 * y2) * (y3 - y1) + (x3 * x3 + y3 * y3) * (y1 - y2)) / d END AS x,
+    CASE WHEN a2 >= b2 + c2 THEN (y2 + y3) / 2 WHEN b2 >= a2 + c2 THEN (y1 + y3) / 2 WHEN c2 >= a2 + b2 THEN (y1 + y2) / 2 ELSE ((x1 * x1 + y1 * y1) * (x3 - x2) + (x2 * x2 + y2 * y2) * (x1 - x3) + (x3 * x3 + y3 * y3) * (x2 - x1)) / d END AS y, x1, y1, x2, y2 FROM t),
+  m AS (SELECT grp, x, y, greatest((x1 - x) ^ 2 + (y1 - y) ^ 2, (x2 - x) ^ 2 + (y2 - y) ^ 2) AS r2 FROM r), k AS (SELECT grp, max(r2) AS r2, arg_max(x, r2) AS x, arg_max(y, r2) AS y FROM m GROUP BY 1)
+  SELECT grp AS "group", round(x, 6) AS x, round(y, 6) AS y, round(sqrt(r2), 6) AS radius FROM k""")
 def mec_by_group(spark: SparkSession, sf: str) -> DataFrame:
-    return layout.enclosing_circles(points(spark, sf))
+    c = layout.enclosing_circles(points(spark, sf))
+    return c.select("group", *[F.round(v, 6).alias(v) for v in ("x", "y", "radius")])
 
 
 @query()
