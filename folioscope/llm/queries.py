@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm import (
     bpe,
+    centroids,
     chat_format,
     fingerprints,
     language_id,
@@ -16,6 +17,8 @@ from folioscope.llm import (
     near_dups,
     quality_classifier,
     quality_rules,
+    sharding,
+    spelling,
     token_counts,
 )
 from folioscope.session import fresh_path, table
@@ -95,6 +98,24 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, clusters = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    named = F.broadcast(clusters.select("cluster", "cluster_inertia", "inertia", "centroid_sha256"))  # a row a cluster
+    return rows.join(named, "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    size = (F.octet_length(text) + 1).cast("long").alias("size")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "lang", "source", size, F.crc32(text).alias("text_crc32"))
+    placed = sharding.shard(docs, ["lang", "source", "size"], ["doc_id", "text_crc32"])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -105,7 +126,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_token_counts, op2_bpe_round_trip, op3_quality_rules, op4_near_duplicates, op5_quality_classifier,
-        op6_language_id, op7_fingerprints, op8_license_scan, op9_source_mixing, op10_chat_format, pipeline,
+        op6_language_id, op7_fingerprints, op8_license_scan, op9_source_mixing, op10_chat_format, op11_spelling_variants,
+        op12_centroid_clustering, op13_sharding, pipeline,
     )
 }
 
@@ -170,4 +192,97 @@ SELECT doc_id, n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, n_du
   nearest, round(c, 6) AS class_distance, round(w, 6) AS word_distance FROM g
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op10_chat_format": OP10_SQL}
+#: Unsigned crc32 of a text's UTF-8, by the table of its polynomial.
+_CRC_TABLE = """crc_steps(i, k, c) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) t(i) UNION ALL
+  SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT list(c ORDER BY i) AS crcs FROM crc_steps WHERE k = 8)"""
+
+
+def _crc(text: str) -> str:
+    bytes_ = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+    return f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda c, x: xor(c >> 8, crcs[(xor(c, x) & 255) + 1])))"
+
+
+OP11_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+each AS (SELECT id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY 1, 2),
+hashed AS (SELECT run, n, {_crc("id || ':' || run")} AS h FROM each, crc_table),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN h % 97 = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM hashed)
+  WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+cuts AS (SELECT word, n, i, word[1:i - 1] || word[i + 1:] AS cut FROM words, unnest(range(1, length(word) + 1)) r(i)),
+near AS MATERIALIZED (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON w.word = c.cut
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON w.word = c.cut),
+best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM near GROUP BY 1),
+tops AS (SELECT near.word, any_value(n_near) AS n_near, any_value(most) AS most, min(other) FILTER (n = most) AS top FROM near JOIN best USING (word) GROUP BY 1),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 2 * n THEN top END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n
+  FROM words LEFT JOIN tops USING (word)),
+walk(word, reached) AS (SELECT word, word FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.reached WHERE forms.form IS NOT NULL)
+SELECT forms.word, forms.form, walk.reached AS root, forms.n, CAST(forms.n_near AS BIGINT) AS n_near, CAST(forms.form_n AS BIGINT) AS form_n
+FROM forms JOIN walk USING (word) JOIN forms ends ON ends.word = walk.reached WHERE ends.form IS NULL
+"""
+
+
+def _op12_sql(k: int, rounds: int) -> str:
+    """Every round as a table of (cluster, i, y)."""
+    parts = [f"""
+WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT r, i, q[i] AS x FROM kept, range(1, 65) t(i)),
+seeds AS (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS cluster, q FROM kept),
+c0 AS MATERIALIZED (SELECT cluster, i, q[i] AS y FROM seeds, range(1, 65) t(i) WHERE cluster < {k})"""]
+    for n in range(rounds + 1):
+        parts.append(f"""
+d{n} AS (SELECT r, cluster, sum((x - y) * (x - y)) AS d FROM v JOIN c{n} USING (i) GROUP BY 1, 2),
+a{n} AS MATERIALIZED (SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM d{n} GROUP BY 1)""")
+        if n < rounds:
+            parts.append(f"""
+c{n + 1} AS MATERIALIZED (SELECT cluster, i, coalesce(s, y) AS y FROM c{n} LEFT JOIN (
+  SELECT cluster, i, CAST(sum(x) - ((sum(x) % count(*)) + count(*)) % count(*) AS HUGEINT) // count(*) AS s FROM v JOIN a{n} USING (r) GROUP BY 1, 2) m USING (cluster, i))""")
+    return ",".join(parts) + f""",
+named AS (SELECT cluster, sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c{rounds} GROUP BY 1)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256 FROM a{rounds} JOIN kept USING (r) JOIN named USING (cluster)
+"""
+
+
+OP12_SQL = _op12_sql(centroids.CLUSTERS, centroids.ROUNDS)
+
+
+def _op13_sql(dimensions: list[str], bits: int, shards: int) -> str:
+    made, width = sharding.turns(len(dimensions))
+    parts = [f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS MATERIALIZED (SELECT doc_id, lang, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {_crc("coalesce(text, '')")} AS text_crc32 FROM documents, crc_table)"""]
+    for k, name in enumerate(dimensions):
+        parts.append(f"""
+n{k} AS (SELECT {name}, count(*) AS n FROM d GROUP BY 1),
+q{k} AS (SELECT {name}, coalesce(sum(n) OVER (ORDER BY {name} NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * {1 << bits} // sum(n) OVER () AS p{k} FROM n{k})""")
+    joins = " ".join(f"JOIN q{k} ON d.{name} IS NOT DISTINCT FROM q{k}.{name}" for k, name in enumerate(dimensions))
+    cells = ", ".join(f"CAST(p{k} AS BIGINT) AS p{k}" for k in range(len(dimensions)))
+    parts.append(f"""
+turns AS (SELECT {made} AS turns),
+h{bits} AS (SELECT d.doc_id, d.size, d.text_crc32, {cells}, CAST(0 AS BIGINT) AS packed FROM d {joins})""")
+    for level in range(bits - 1, -1, -1):
+        corner = " + ".join(f"((p{k} >> {level}) & 1) * {1 << k}" for k in range(len(dimensions)))
+        held = ", ".join(f"p{k}" for k in range(len(dimensions)))
+        parts.append(f"""
+h{level} AS (SELECT doc_id, size, text_crc32, {held},
+  ((packed >> {width}) << {len(dimensions) + width}) + turns[(packed & {(1 << width) - 1}) * {1 << len(dimensions)} + {corner} + 1] AS packed FROM h{level + 1}, turns)""")
+    return ",".join(parts) + f""",
+r AS (SELECT doc_id, size, text_crc32, row_number() OVER (ORDER BY packed >> {width}, doc_id NULLS FIRST, text_crc32) - 1 AS rank, count(*) OVER () AS n FROM h0),
+s AS (SELECT *, rank * {shards} // n AS shard FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, CAST(rank - (shard * n + {shards - 1}) // {shards} AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM s
+"""
+
+
+OP13_SQL = _op13_sql(["lang", "source", "size"], sharding.BITS, sharding.SHARDS)
+
+ORACLE_SQL = {
+    "op3_quality_rules": OP3_SQL, "op10_chat_format": OP10_SQL, "op11_spelling_variants": OP11_SQL,
+    "op12_centroid_clustering": OP12_SQL, "op13_sharding": OP13_SQL,
+}
