@@ -103,4 +103,33 @@ def page_parse_strict(spark: SparkSession, sf: str) -> DataFrame:
 def streaming_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from folioscope.streaming import replay
 
-    return replay.dedup_table(spark, f"{sf}/events.parquet", fresh_path(spark, "stream"))
+    root = fresh_path(spark, "stream")
+    e = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
+    return replay.dedup_table(replay.slices(e, F.col("event_id"), 5, f"{root}/in"), f"{root}/out")  # each slice spans all days
+
+
+ACTIONS = """a AS (SELECT user_id AS id, event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'decided' WHEN 3 THEN 'listed' ELSE 'observed' END AS kind, 1 + event_id % 3 AS version,
+  sha256(event_type) AS digest, CASE WHEN event_id % 5 < 3 THEN 'relevant' ELSE 'excluded' END AS decision, nullif(user_id % 4, 0) AS published, event_id // 100 AS batch, event_id % 3 = 0 AS discover FROM events)"""
+
+
+@query(f"""WITH {ACTIONS}, o AS (SELECT id, version, seq, digest, published, lag(digest) OVER (PARTITION BY id, version ORDER BY seq) AS had FROM a WHERE kind = 'observed'),
+  v AS (SELECT id, version, arg_min(digest, seq) AS digest_0, arg_max(digest, seq) AS digest, coalesce(version <= any_value(published), false) AS covered FROM o GROUP BY 1, 2),
+  d AS (SELECT a.id, a.version, a.seq, any_value(a.decision) AS decision, arg_max(o.digest, o.seq) AS reviewed FROM a JOIN o ON o.id = a.id AND o.version = a.version AND o.seq < a.seq WHERE kind = 'decided' GROUP BY 1, 2, 3),
+  s AS (SELECT id, version, seq, 'pending' AS status, NULL AS reviewed FROM o WHERE digest <> had UNION ALL SELECT * FROM d),
+  l AS (SELECT id, version, arg_max(status, seq) AS status, arg_max(reviewed, seq) FILTER (reviewed IS NOT NULL) AS reviewed, count(reviewed) AS decisions FROM s GROUP BY 1, 2)
+  SELECT id, version, digest, coalesce(status, CASE WHEN covered THEN 'relevant' ELSE 'pending' END) AS status, coalesce(reviewed, CASE WHEN covered THEN digest_0 END) AS reviewed, coalesce(decisions, 0) AS decisions,
+    CAST(NULL AS BOOLEAN) AS discovered, CAST(NULL AS BIGINT) AS first_batch, CAST(NULL AS BIGINT) AS promoted FROM v LEFT JOIN l USING (id, version)
+  UNION ALL SELECT id, 0, NULL, NULL, NULL, 0, bool_or(discover), min(batch), min(batch) FILTER (discover) FROM a WHERE kind = 'listed' GROUP BY 1""")
+def paper_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Listings, observations and decisions of papers as keyed state, in five micro-batches of which each spans all time."""
+    from folioscope.streaming import papers, replay
+
+    k, root = F.col("event_id"), fresh_path(spark, "papers")
+    actions = table(spark, sf, "events").select(
+        F.col("user_id").cast("long").alias("id"), F.col("ts").cast("timestamp").alias("ts"), k.cast("long").alias("seq"),
+        F.when(k % 4 == 0, "decided").when(k % 4 == 3, "listed").otherwise("observed").alias("kind"), (1 + k % 3).cast("long").alias("version"),
+        F.sha2("event_type", 256).alias("digest"), F.when(k % 5 < 3, "relevant").otherwise("excluded").alias("decision"),
+        F.nullif(F.col("user_id") % 4, F.lit(0)).cast("long").alias("published"), F.expr("event_id div 100").alias("batch"), (k % 3 == 0).alias("discover"),
+    )
+    papers.paper_states(replay.slices(actions, -k * 3, 5, f"{root}/in"), f"{root}/out", "400 days")
+    return papers.latest(spark, f"{root}/out")
