@@ -9,7 +9,7 @@ too. ``Decoder`` is the inverse machine: it takes ids one block at a time, turns
 holding back at most an unfinished UTF-8 sequence.
 
 Letters, numbers and lower case are those of the tokenizer library's own tables: each non-ASCII character is
-put to its pre-tokenizer once, and words with characters that this Python doesn't know to its normaliser.
+put to its pre-tokenizer once, and words with combining marks or characters that this Python doesn't know to its normaliser.
 
 Defined results: null and empty texts give no tokens and the empty text; repeated rows each get a
 row; an empty table gives an empty result.
@@ -218,10 +218,12 @@ class Classes(dict):
 
 
 class Unknown(dict):
-    """For ``str.translate``: deletes the characters that this Python's tables know."""
+    """For ``str.translate``: deletes the characters whose normal form this Python surely shares with the library. Marks stay, as
+    tables of another age know fewer of them and so order them otherwise, and so do characters that Python doesn't know."""
 
     def __missing__(self, point: int) -> int | None:
-        self[point] = point if unicodedata.category(chr(point)) == "Cn" else None
+        c = chr(point)
+        self[point] = point if unicodedata.combining(c) or unicodedata.category(c) == "Cn" else None
         return self[point]
 
 
