@@ -6,13 +6,15 @@ sum of its trigram vectors; a language is the sum of its texts' unit vectors; a
 language whose prototype has the largest cosine with it.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; without any labelled
-row every text is ``und``; ties go to the first language by name; repeated rows each get a row.
+row every text is ``und``; ties go to the first language by name; repeated rows each get a row; a text of any length is
+summed whole; an empty table gives an empty result. There may be any number of languages.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -20,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscope.llm.filters import about
-from folioscope.session import ensure_workers
+from folioscope.session import ensure_workers, materialize
 
 DIMS = 1024
 UND = "und"
 SCALE = 1 << 20  # unit vectors are summed as integers, so the order of the sum doesn't matter
-MOST_LANGUAGES = 4096
+BLOCK = 1024  # languages that a pass scores against
+LEAST_ROWS = 32  # of a language, in a sample
+MOST_BROADCAST = 100_000  # languages whose counts are broadcast
 
 
 class Profiles:
@@ -104,59 +107,109 @@ def profiles(dims: int) -> Profiles:
     return Profiles(dims)
 
 
-def fit(labelled: DataFrame, most_rows: int | None = 24_000, dims: int = DIMS) -> dict[str, np.ndarray]:
-    """Unit prototypes by language from (doc_id, text, lang) rows with non-null lang.
+@dataclass
+class Prototypes:
+    """Unit prototypes as a table (lang, unit): 4 bytes a dimension, packed. They reach the driver a block at a time."""
 
-    ``most_rows`` bounds the sample (about that many rows, picked by a hash of the id); None takes all.
+    table: DataFrame
+
+    def blocks(self, size: int = BLOCK) -> Iterator[tuple[list[str], np.ndarray]]:
+        """(names, one row for each) in order of the names."""
+        rest = self.table
+        while rows := rest.orderBy("lang").limit(size).collect():
+            yield [r["lang"] for r in rows], np.stack([np.frombuffer(r["unit"], np.float32) for r in rows])
+            if len(rows) < size:
+                return
+            rest = self.table.where(F.col("lang") > F.lit(rows[-1]["lang"]))
+
+
+def sample(rows: DataFrame, most_rows: int) -> DataFrame:
+    """About ``most_rows`` of ``rows(doc_id, lang, text)``, as many of each language (LEAST_ROWS at least), all of a rarer one."""
+    counts = materialize(rows.groupBy("lang").agg(F.count("*").alias("of")), "languages")
+    n = counts.count()
+    quota = max(LEAST_ROWS, most_rows // max(1, n))
+    spread = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(7)), 11) / float(1 << 53)
+    taken = rows.join(F.broadcast(counts) if n <= MOST_BROADCAST else counts, "lang")
+    return taken.where(spread < F.lit(quota) / F.col("of")).select("doc_id", "lang", "text")
+
+
+def fit(labelled: DataFrame, most_rows: int | None = 24_000, dims: int = DIMS) -> Prototypes:
+    """Prototypes by language from (doc_id, text, lang) rows with non-null lang.
+
+    ``most_rows`` bounds the sample (see ``sample``; picked by a hash of the id); None takes all.
     """
     ensure_workers(labelled.sparkSession, 250)
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    if most_rows is not None:
-        rows = rows.where(about(most_rows, labelled.select("doc_id").count(), 7, "doc_id"))
+    rows = labelled.where(F.col("lang").isNotNull()).select("doc_id", "lang", "text")
+    rows = (rows if most_rows is None else sample(rows, most_rows)).where(F.col("text").isNotNull())
+    names = ["lang", "v"]
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            arrays = [pa.array([*total], pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))]
+            total.clear()
+            return pa.RecordBatch.from_arrays(arrays, names)
+
         for b in batches:
             langs = b.column(0).to_pylist()
             units = np.rint(profiles(dims).encode(b.column(1).to_pylist()) * SCALE).astype(np.int64)
             for lang in {*langs}:
                 total[lang] = total.get(lang, 0) + units[[x == lang for x in langs]].sum(0)
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([*total]), pa.array([v.tolist() for v in total.values()], pa.list_(pa.int64()))], ["lang", "v"]
-            )
+            if len(total) >= BLOCK:
+                yield out()
+        yield out()
+
+    def scale(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column(1).flatten().to_numpy().astype(np.float64).reshape(-1, dims)
+            n = np.linalg.norm(v, axis=1)
+            units = (v[n > 0] / n[n > 0, None]).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(n > 0)), pa.array([u.tobytes() for u in units], pa.binary())], ["lang", "unit"])
 
     sums = rows.select("lang", "text").mapInArrow(bundle, "lang string, v array<long>")
     parts = sums.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    whole = parts.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).limit(MOST_LANGUAGES + 1)
-    got = {r["lang"]: np.array([x["x"] for x in r["v"]], np.float64) for r in whole.collect()}
-    if len(got) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    return {k: (v / n).astype(np.float32) for k, v in sorted(got.items()) if (n := np.linalg.norm(v)) > 0}
+    whole = parts.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
+    units = whole.select("lang", F.transform("v", lambda p: p["x"]).alias("v")).mapInArrow(scale, "lang string, unit binary")
+    return Prototypes(materialize(units, "prototypes"))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dims: int = DIMS) -> DataFrame:
-    """``docs`` with lang_pred and score after its own columns; own columns of those names are replaced."""
+def predict(docs: DataFrame, prototypes: Prototypes | dict[str, np.ndarray], dims: int = DIMS) -> DataFrame:
+    """``docs`` with lang_pred and score after its own columns; own columns of those names are replaced.
+
+    A pass scores against up to BLOCK languages; with more of them each further pass takes the best so far along, so there is no
+    limit to their number.
+    """
     ensure_workers(docs.sparkSession, 250)
     docs = docs.drop("lang_pred", "score")
-    names = [*prototypes]
-    matrix = np.stack([*prototypes.values()]).T if names else np.zeros((dims, 0), np.float32)
     columns = docs.columns
-    at = columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            units = profiles(dims).encode(b.column(at).to_pylist())
-            cosines = units @ matrix
-            best = cosines.argmax(1) if names else np.zeros(len(units), int)
-            some = units.any(1) & bool(names)
-            lang = [names[k] if s else UND for k, s in zip(best, some)]
-            score = np.clip(cosines[np.arange(len(units)), best], 0, 1) * some if names else np.zeros(len(units))
-            arrays = [*b.columns, pa.array(lang, pa.string()), pa.array(score.astype(np.float64))]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, "lang_pred", "score"])
-
+    at, width = columns.index("text"), len(columns)
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+    def against(rows: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                units = profiles(dims).encode(b.column(at).to_pylist())
+                some = units.any(1) & bool(names)
+                cosines = units @ matrix.T if names else np.zeros((len(units), 1), np.float32)
+                best = cosines.argmax(1)
+                score = np.clip(cosines[np.arange(len(units)), best], 0, 1).astype(np.float64) * some
+                lang = [names[k] if s else UND for k, s in zip(best, some)]
+                if b.num_columns > width:  # an earlier block's best stands unless this one's is larger
+                    lang = [new if x > y else old for new, old, x, y in zip(lang, b.column(width).to_pylist(), score, b.column(width + 1).to_pylist())]
+                    score = np.maximum(score, b.column(width + 1).to_numpy())
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(lang, pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
+
+        return rows.mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+    if isinstance(prototypes, Prototypes):
+        blocks = prototypes.blocks()
+    else:
+        blocks = [([*prototypes], np.stack([*prototypes.values()]))] if prototypes else []
+    found = None
+    for names, matrix in blocks:
+        found = against(docs if found is None else materialize(found, "languages-so-far"), names, matrix)
+    return against(docs, [], np.zeros((0, dims), np.float32)) if found is None else found
 
 
 def fold(mod: int, doc_id: str = "doc_id") -> Column:
