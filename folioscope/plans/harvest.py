@@ -11,7 +11,7 @@ from folioscope.functions import camera, text
 from folioscope.operators import harvest, islands, search, validate
 from folioscope.plans import citations, maps
 from folioscope.registry import query
-from folioscope.session import table
+from folioscope.session import materialize, table
 from folioscope.sources import sinks
 
 
@@ -34,19 +34,34 @@ def search_index(spark: SparkSession, sf: str) -> DataFrame:
     return index(spark, sf).select("id", F.array_join("citedBy", ",").alias("cited_by"), F.col("incomingCitationCount").alias("n"), F.col("searchText").alias("t"))
 
 
-@query(f"""WITH {INDEX} SELECT 'missing' AS rule, id AS key, '' AS detail FROM idx WHERE k % 7 = 0 UNION ALL SELECT 'count', id, '' FROM idx WHERE k % 7 <> 0 AND k % 5 = 0
+PROBLEMS = f"""WITH {INDEX} SELECT 'missing' AS rule, id AS key, '' AS detail FROM idx WHERE k % 7 = 0 UNION ALL SELECT 'count', id, '' FROM idx WHERE k % 7 <> 0 AND k % 5 = 0
   UNION ALL SELECT 'text', id, '' FROM idx WHERE k % 7 <> 0 AND k % 5 <> 0 AND k % 3 = 0 UNION ALL SELECT 'citedBy', id, '' FROM idx WHERE k % 7 <> 0 AND k % 5 <> 0 AND k % 3 <> 0 AND n > 1
   UNION ALL SELECT 'unknown', 'new', '' UNION ALL SELECT 'repeated', id, '2' FROM idx WHERE k % 11 = 1 AND k % 7 <> 0
-  UNION ALL SELECT rule, id, '' FROM (SELECT id, CASE WHEN k % 5 = 0 THEN 'count' WHEN k % 3 = 0 THEN 'text' WHEN n > 1 THEN 'citedBy' END AS rule FROM idx WHERE k % 11 = 1 AND k % 7 <> 0) WHERE rule IS NOT NULL""")
-def index_problems(spark: SparkSession, sf: str) -> DataFrame:
-    built, k = index(spark, sf), F.col("id").cast("long")
+  UNION ALL SELECT rule, id, '' FROM (SELECT id, CASE WHEN k % 5 = 0 THEN 'count' WHEN k % 3 = 0 THEN 'text' WHEN n > 1 THEN 'citedBy' END AS rule FROM idx WHERE k % 11 = 1 AND k % 7 <> 0) WHERE rule IS NOT NULL"""
+
+
+def stored_index(spark: SparkSession, built: DataFrame) -> DataFrame:
+    """An index with a fault of each kind."""
+    k = F.col("id").cast("long")
     turned = F.when((k % 5 != 0) & (k % 3 != 0), F.reverse("citedBy")).otherwise(F.col("citedBy"))
     stored = built.where(k % 7 != 0).select(
         "id", turned.alias("citedBy"), F.when(k % 5 == 0, F.col("incomingCitationCount") + 1).otherwise(F.col("incomingCitationCount")).alias("incomingCitationCount"),
         F.when((k % 5 != 0) & (k % 3 == 0), F.concat("searchText", F.lit("!"))).otherwise(F.col("searchText")).alias("searchText"),
     )
     new = spark.createDataFrame([("new", [], 0, "")], sinks.INDEX)
-    return sinks.index_problems(stored.unionByName(stored.where(k % 11 == 1)).unionByName(new), built)
+    return stored.unionByName(stored.where(k % 11 == 1)).unionByName(new)
+
+
+@query(PROBLEMS)
+def index_problems(spark: SparkSession, sf: str) -> DataFrame:
+    built = index(spark, sf)
+    return sinks.index_problems(stored_index(spark, built), built)
+
+
+@query(PROBLEMS)
+def index_problems_by_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    built = materialize(index(spark, sf), "index")
+    return sinks.index_problems_in_blocks(stored_index(spark, built), built)
 
 
 @query("SELECT o_orderkey AS id, c_name AS name FROM orders JOIN customer ON c_custkey = o_custkey")

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.functions import text
+from folioscope.operators import digest_tree
+from folioscope.session import materialize
 
 
 def write_atomic(path: str, body: str) -> None:
@@ -167,6 +169,15 @@ def index_problems(stored: DataFrame, rebuilt: DataFrame) -> DataFrame:
     return bad.unionByName(again.select(F.lit("repeated").alias("rule"), "key", F.col("n").cast("string").alias("detail")))
 
 
+def index_problems_in_blocks(stored: DataFrame, rebuilt: DataFrame, stored_tree: DataFrame | None = None) -> DataFrame:
+    """The rows of ``index_problems``, found by digest trees: only rows of blocks that differ are joined. ``stored_tree`` is the
+    tree that was written with the index, if there is one: then of the stored side only those blocks' rows are used."""
+    columns = rebuilt.columns
+    tree = lambda rows: materialize(digest_tree.tree(rows, "id", columns), "digests")  # noqa: E731  as many rows as nodes
+    leaves, _ = digest_tree.differing_leaves(tree(stored) if stored_tree is None else stored_tree, tree(rebuilt))
+    return index_problems(digest_tree.only_leaves(stored, "id", leaves), digest_tree.only_leaves(rebuilt, "id", leaves))
+
+
 def index_or_rebuilt(stored: DataFrame | None, rebuilt: DataFrame) -> tuple[DataFrame, bool]:
     """The stored index if it is whole and fresh, else the one built afresh; and which."""
     if stored is not None and index_problems(stored, rebuilt).isEmpty():
