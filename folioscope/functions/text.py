@@ -77,7 +77,8 @@ def search_text(*parts: Column | str) -> Column:
 
 
 def collapse_spaces(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    # a space on its own stays as it is
+    return F.trim(F.regexp_replace(c, r" \s++|[\t\n\x0B\f\r]\s*+", " "))
 
 
 def strip_descriptor(c: Column, label: str) -> Column:
@@ -225,12 +226,19 @@ ENTITIES = (("&amp;", "&"), ("&quot;", '"'), ("&#x27;", "'"), ("&#39;", "'"), ("
 
 def decode_entities(c: Column) -> Column:
     """Named entities, then numeric ones; what is no code point stays as it is."""
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    for start, digits, base in (("&#x", "[0-9a-fA-F]{1,6}", 16), ("&#X", "[0-9a-fA-F]{1,6}", 16), ("&#", "[0-9]{1,7}", 10)):
-        # a lambda's variable stands for the text, so that it isn't worked out again at each mention
-        c = F.get(F.transform(F.array(c), lambda x: F.when(F.contains(x, F.lit(start)), _numeric(x, start, digits, base)).otherwise(x)), F.lit(0))  # noqa: B023
-    return c
+    once = lambda c, f: F.get(F.transform(F.array(c), f), F.lit(0))  # noqa: E731  a lambda's variable stands for the text, so that it isn't worked out again at each mention
+
+    def named(x: Column) -> Column:
+        for name, char in ENTITIES:
+            x = F.replace(x, F.lit(name), F.lit(char))
+        return once(x, lambda y: F.when(F.contains(y, F.lit("&#")), numbered(y)).otherwise(y))
+
+    def numbered(x: Column) -> Column:
+        for start, digits, base in (("&#x", "[0-9a-fA-F]{1,6}", 16), ("&#X", "[0-9a-fA-F]{1,6}", 16), ("&#", "[0-9]{1,7}", 10)):
+            x = once(x, lambda y: F.when(F.contains(y, F.lit(start)), _numeric(y, start, digits, base)).otherwise(y))  # noqa: B023
+        return x
+
+    return once(c, lambda x: F.when(F.contains(x, F.lit("&")), named(x)).otherwise(x))
 
 
 def _numeric(c: Column, start: str, digits: str, base: int) -> Column:

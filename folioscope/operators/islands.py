@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.operators import layout, validate
+from folioscope.operators.scan import scan
 from folioscope.session import find_package
 
 #: Fixed schedule, strengths and distances of the layout.
@@ -177,6 +178,11 @@ def in_geometry_order(bodies: DataFrame) -> DataFrame:
     return bodies.orderBy("x", "y", "radius")
 
 
+def geometry_places(bodies: DataFrame) -> DataFrame:
+    """``bodies(id, x, y, radius)`` with ``place``, from 1 in the order of ``in_geometry_order``, then by id; no task sorts them all."""
+    return scan(bodies, [], ["x", "y", "radius", "id"], {"place": ("count", F.lit(1))})
+
+
 def finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
@@ -192,7 +198,7 @@ def geometry_violations(members: DataFrame, islands: DataFrame) -> DataFrame:
         validate.rule(members, "member geometry", F.coalesce(bad_member, F.lit(True)), "id", F.concat_ws(",", "x", "y", "radius", "rank")),
         validate.rule(islands, "island geometry", F.coalesce(bad_island, F.lit(True)), "group", F.concat_ws(",", "x", "y", "label_width", "label_height")),
         validate.duplicates(members, "member id", ["map", "id"]),
-        validate.duplicates(members, "member rank", ["map", "rank"]),
+        validate.duplicates(members.where("rank is not null"), "member rank", ["map", "rank"]),
         validate.duplicates(islands, "island id", ["map", "group"]),
         validate.rule(members, "empty id", F.col("id").isNull(), "group", F.col("rank")),
         validate.rule(lost, "unknown island", F.lit(True), "id", F.col("group")),

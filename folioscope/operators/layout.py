@@ -13,25 +13,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscope.functions import numbers
+from folioscope.operators.scan import scan
 from folioscope.session import find_package, materialize
 
 #: Fixed layout constants.
 DENSITY, BLEND, MAX_SHIFT, PAPER_GAP, LABEL_GAP = 0.58, 0.06, math.pi / 18, 8.0, 9.0
 GOLDEN = math.pi * (3 - math.sqrt(5))
+BLOCK = 4096  # ranks that one task runs through
 MARGIN, CANVAS_STEP, OUTER_GAP, TOLERANCE, MOBILITY = 14.0, 8.0, 16.0, 1e-3, 0.25
 
 
 def sunflower(points: DataFrame, label_width: float = 120, label_height: float = 34, scale: float = 1.0) -> DataFrame:
     """(group, id, angle, target): prefix-stable targets of each group's members in ``rank`` order.
 
-    ``points(group, id, rank, x, y, radius)``, x and y relative to the group's centre. Area accumulates, angles step by
+    ``points(group, id, rank, x, y, radius)``, x and y relative to the group's centre, ranks whole numbers. Area accumulates, angles step by
     the golden angle and lean a little toward the member's own direction.
     """
-    w = Window.partitionBy("group").orderBy("rank", "id")
     grown = F.col("radius") + PAPER_GAP * scale / 2
-    df = points.withColumn("index", F.row_number().over(w) - 1).withColumn(
-        "area", F.sum(math.pi * grown * grown).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    running = {"index": ("count", F.lit(1)), "area": ("sum", math.pi * grown * grown)}
+    df = scan(points, ["group"], ["rank", "id"], running, block=F.floor(F.col("rank") / BLOCK)).withColumn("index", F.col("index") - 1)
     phase = numbers.direction(F.col("group").cast("string"), F.lit("compact"))
     df = df.withColumn("compact", phase + F.col("index") * numbers.GOLDEN_ANGLE)
     own = F.when(F.hypot("x", "y") > 1e-9, F.atan2("y", "x")).otherwise(F.col("compact"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
 from datetime import date
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.functions import dates
+from folioscope.session import find_package
 
 ALL = "all"
 
@@ -60,6 +65,55 @@ def containing(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return texts.join(pairs.distinct(), "doc_id").where(F.contains("t", "a")).select("doc_id", "item_id").distinct()
 
 
+def matching(texts: DataFrame, aliases: DataFrame, most_chars: int = 1 << 24) -> DataFrame:
+    """The rows of ``containing``, by one automaton over all aliases for each Python worker: a pass over the texts, no row for a word and
+    no join. The aliases are broadcast once their size is known to be at most ``most_chars``; more of them are joined by words."""
+    spark = texts.sparkSession
+    said = aliases.where("a is not null").select("item_id", "a")
+    if (said.agg(F.sum(F.length("a") + 32)).first()[0] or 0) > most_chars:
+        return containing(texts, aliases)
+    by_text: dict[str, list] = {}
+    for r in said.collect():
+        by_text.setdefault(r["a"], []).append(r["item_id"])
+    found_anywhere = by_text.pop("", [])
+    find_package(spark)
+    named = spark.sparkContext.broadcast((uuid.uuid4().hex, by_text, found_anywhere))
+    kinds = {**dict(texts.dtypes), **dict(aliases.dtypes)}
+    item = pa.array([x for ids in [*by_text.values(), found_anywhere] for x in ids[:1]][:1]).type if by_text or found_anywhere else pa.null()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, words, always = named.value
+        machine = automaton(key, words)
+        for b in batches:
+            at, items = [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if t is not None:
+                    met = {*always}
+                    for _, ids in machine.iter(t) if len(machine) else ():
+                        met.update(ids)
+                    at += [i] * len(met)
+                    items += met
+            if at:
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(items, item)], ["doc_id", "item_id"])
+
+    return texts.select("doc_id", "t").mapInArrow(run, f"doc_id {kinds['doc_id']}, item_id {kinds['item_id']}").distinct()
+
+
+_MACHINES: dict[str, ahocorasick.Automaton] = {}  # the last one of this worker
+
+
+def automaton(key: str, words: dict[str, list]) -> ahocorasick.Automaton:
+    """The automaton of ``words``, made once a worker."""
+    if key not in _MACHINES:
+        machine = ahocorasick.Automaton()
+        for word, ids in words.items():
+            machine.add_word(word, ids)
+        machine.make_automaton()
+        _MACHINES.clear()
+        _MACHINES[key] = machine
+    return _MACHINES[key]
+
+
 def facet_counts(rows: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """(value, n) over ``rows``, 0 for a value of the enumeration that has none."""
     counts = rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))

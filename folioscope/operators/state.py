@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.scan import scan
+
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """New rows replace old ones of the same key."""
@@ -128,6 +130,25 @@ def numbered(df: DataFrame, key: list[str], order: str, ties: tuple[str, ...] =
     return placed.select(*df.columns, (F.col("__start") + F.col("__in")).alias("place"))
 
 
+def numbered_since(df: DataFrame, key: str, order: str, flag: Column, block: int = 4096) -> DataFrame:
+    """``df`` with ``place`` as in ``numbered``, and ``last``: the place of the last earlier row with ``flag``, if there is one.
+
+    A block's rows are numbered on their own; its count and last flagged place are summed up over blocks of the key.
+    """
+    at = [key, "__block"]
+    inside = Window.partitionBy(*at).orderBy(order)
+    rows = df.withColumns({"__block": F.floor(F.col(order) / block), "__flag": flag})
+    rows = rows.withColumn("__in", F.row_number().over(inside).cast("long"))
+    flagged = F.when(F.col("__flag"), F.col("__in"))
+    rows = rows.withColumn("__last", F.max(flagged).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    before = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(F.col(key).alias("__k"), F.col("__block").alias("__b")).agg(F.count("*").alias("__n"), F.max(flagged).alias("__top"))
+    blocks = blocks.withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    blocks = blocks.withColumn("__had", F.max(F.col("__start") + F.col("__top")).over(before)).drop("__n", "__top")
+    joined = rows.join(blocks, F.col(key).eqNullSafe(F.col("__k")) & F.col("__block").eqNullSafe(F.col("__b")))
+    return joined.select(*df.columns, (F.col("__start") + F.col("__in")).alias("place"), F.coalesce(F.col("__start") + F.col("__last"), F.col("__had")).alias("last"))
+
+
 def catalogue_places(papers: DataFrame) -> DataFrame:
     """``papers(id, observation, published, ...)`` with ``place`` in catalogue order: observations, then by day and id. Only
     days are summed in one task."""
@@ -143,13 +164,12 @@ def catalogue_places(papers: DataFrame) -> DataFrame:
 def snapshot_states(snapshots: DataFrame) -> DataFrame:
     """Each of ``snapshots(id, version, seq, sha, supersede)`` with what it does to its (id, version): 'new', 'replayed' (the
     head's content again), 'superseding', or 'conflict' (other content, which takes the head's place only on demand); and
-    whether it is the head. A window holds the snapshots of one version."""
-    w = Window.partitionBy("id", "version").orderBy("seq")
-    first = F.row_number().over(w) == 1
-    taken = F.when(F.col("first") | F.coalesce("supersede", F.lit(False)), F.col("sha"))
-    rows = snapshots.withColumn("first", first).withColumn("taken", taken)
-    rows = rows.withColumn("had", F.last("taken", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    whether it is the head. Sequence numbers tell the snapshots of a version apart; a version may have any number of them."""
+    rows = scan(snapshots.select("id", "version", "seq", "sha", "supersede"), ["id", "version"], ["seq"], {"before": ("count", F.lit(1))}, inclusive=False)
+    first = F.col("before") == 0
+    taken = F.when(first | F.coalesce("supersede", F.lit(False)), F.col("sha"))
+    rows = scan(rows.withColumns({"first": first, "taken": taken}), ["id", "version"], ["seq"], {"had": ("last", F.col("taken"))}, inclusive=False)
     what = F.when(F.col("first"), "new").when(F.col("sha").eqNullSafe(F.col("had")), "replayed").when(F.col("taken").isNotNull(), "superseding").otherwise("conflict")
-    leads = F.when(F.col("taken").isNotNull(), F.col("seq"))
-    newest = F.max(leads).over(Window.partitionBy("id", "version"))
-    return rows.select("id", "version", "seq", "sha", what.alias("state"), (F.col("seq") == newest).alias("head"))
+    newest = rows.groupBy(F.col("id").alias("__i"), F.col("version").alias("__v")).agg(F.max(F.when(F.col("taken").isNotNull(), F.col("seq"))).alias("newest"))
+    joined = rows.join(newest, F.col("id").eqNullSafe(F.col("__i")) & F.col("version").eqNullSafe(F.col("__v")))
+    return joined.select("id", "version", "seq", "sha", what.alias("state"), (F.col("seq") == F.col("newest")).alias("head"))

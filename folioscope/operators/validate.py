@@ -12,6 +12,14 @@ def rule(df: DataFrame, name: str, bad: Column, key: str, detail: Column) -> Dat
     return df.where(bad).select(F.lit(name).alias("rule"), F.col(key).cast("string").alias("key"), detail.cast("string").alias("detail"))
 
 
+def rules(df: DataFrame, key: str, *each: tuple[str, Column, Column]) -> DataFrame:
+    """``rule`` of several (name, bad, detail) in one pass over ``df``; only rows that break a rule are taken apart."""
+    found = [F.when(bad, F.struct(F.lit(name).alias("rule"), detail.cast("string").alias("detail"))) for name, bad, detail in each]
+    some = reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for _, bad, _ in each])
+    rows = df.where(some).select(F.col(key).cast("string").alias("key"), F.explode(F.array_compact(F.array(*found))).alias("f"))
+    return rows.select("f.rule", "key", "f.detail")
+
+
 def missing_key(df: DataFrame, name: str, column: str, parent: DataFrame, parent_key: str, key: str) -> DataFrame:
     """Rows whose foreign key has no parent."""
     lost = df.join(parent.select(F.col(parent_key).alias(column)).distinct(), column, "left_anti")

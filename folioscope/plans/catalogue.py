@@ -155,7 +155,7 @@ def threshold_routing(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))""")
 def alias_match(spark: SparkSession, sf: str) -> DataFrame:
     d = docs(spark, sf).select("doc_id", F.lower("text").alias("t"))
-    return search.containing(d, table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("a")))
+    return search.matching(d, table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("a")))
 
 
 @query("""SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"n_chars":' || n_chars || ',"source":' || coalesce('"' || source || '"', 'null') || '}') AS digest FROM documents""")

@@ -186,10 +186,10 @@ def camera_moves(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(f"WITH {maps.PTS} SELECT id, round(x, 6) AS x, round(y, 6) AS y, grp AS radius FROM pts ORDER BY round(x, 6), round(y, 6), grp LIMIT 40")
+@query(f"WITH {maps.PTS} SELECT id, round(x, 6) AS x, round(y, 6) AS y, grp AS radius, row_number() OVER (ORDER BY round(x, 6), round(y, 6), grp, id) AS place FROM pts")
 def geometry_order(spark: SparkSession, sf: str) -> DataFrame:
     p = maps.points(spark, sf).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.col("group").alias("radius"))
-    return islands.in_geometry_order(p).limit(40)  # the report shows forty
+    return islands.geometry_places(p)
 
 
 @query(f"""WITH {maps.PTS} SELECT 'member geometry' AS rule, CAST(id AS VARCHAR) AS key FROM pts WHERE id % 10 = 3 OR id % 17 = 0 UNION ALL SELECT 'unknown island', CAST(id AS VARCHAR) FROM pts WHERE grp = 9
@@ -201,8 +201,7 @@ def geometry_rules(spark: SparkSession, sf: str) -> DataFrame:
     )
     rings = members.where("group <> 9").groupBy("map", "group").agg(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     rings = rings.select("*", F.when(F.col("group") == 4, -1.0).otherwise(5.0).alias("label_width"), F.lit(2.0).alias("label_height"))
-    found = islands.geometry_violations(members, rings).where("not (rule = 'member rank' and key = 'm')")
-    return found.select("rule", "key")
+    return islands.geometry_violations(members, rings).select("rule", "key")
 
 
 @query("""SELECT p_partkey AS id, '{"@context":"https://schema.org","@type":"ScholarlyArticle","headline":"' || p_name || ' \\u003cb>","author":[{"@type":"Person","name":"' || p_brand || '"}],"datePublished":"2024-01-02","url":"/' || p_partkey || '/","sameAs":"x","abstract":"y"}' AS article,

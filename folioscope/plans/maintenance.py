@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscope.operators import frontier, state, validate
+from folioscope.operators.scan import scan
 from folioscope.registry import query
 from folioscope.session import materialize, table
 
+BLOCK = 4096  # event numbers that one task runs through
 DAY = "CAST(CAST(ts AS DATE) AS VARCHAR)"
 
 
@@ -79,21 +81,20 @@ VER = "v AS (SELECT user_id AS id, row_number() OVER (PARTITION BY user_id ORDER
 
 
 def vers(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf, "events").select(
-        F.col("user_id").alias("id"), F.row_number().over(w).cast("long").alias("version"), "event_type", "value", "props", "event_id"
-    )
+    e = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_type", "value", "props", "event_id")
+    return scan(e, ["id"], ["event_id"], {"version": ("count", F.lit(1))}, block=F.floor(F.col("event_id") / BLOCK))
 
 
 @query(f"WITH {VER} SELECT id, max(version) AS version, arg_max(event_type, version) AS event_type FROM v GROUP BY 1")
 def version_heads(spark: SparkSession, sf: str) -> DataFrame:
-    return vers(spark, sf).groupBy("id").agg(F.max("version").alias("version"), F.max_by("event_type", "version").alias("event_type"))
+    # a paper's last version is the number of its events
+    return table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("version"), F.max_by("event_type", "event_id").alias("event_type"))
 
 
 @query(f"""WITH {VER} SELECT id, version, max(CASE WHEN event_id % 3 = 0 THEN version END) OVER (PARTITION BY id ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM v""")
 def previous_reviewed(spark: SparkSession, sf: str) -> DataFrame:
-    prior = state.previous(F.when(F.col("event_id") % 3 == 0, F.col("version")), "id", "version")
-    return vers(spark, sf).select("id", "version", prior.alias("prior"))
+    e = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_id")
+    return state.numbered_since(e, "id", "event_id", F.col("event_id") % 3 == 0, BLOCK).select("id", F.col("place").alias("version"), F.col("last").alias("prior"))
 
 
 @query("""WITH r AS (SELECT user_id AS id, event_type AS source, max(event_id) AS batch FROM events GROUP BY 1, 2),
@@ -266,13 +267,14 @@ def rank_contiguity(spark: SparkSession, sf: str) -> DataFrame:
 def violations(spark: SparkSession, sf: str) -> DataFrame:
     l, p, s = table(spark, sf, "lineitem"), table(spark, sf, "part"), table(spark, sf, "supplier")
     key = "l_orderkey"
-    return validate.together(
-        validate.rule(l, "domain", F.col("l_quantity") > 49, key, F.col("l_quantity").cast("long")),
-        validate.rule(l, "self", F.col(key) == F.col("l_partkey"), key, F.col("l_partkey")),
-        validate.missing_key(l, "foreign", key, p, "p_partkey", key),
-        validate.missing_key(s, "unused", "s_suppkey", l, "l_suppkey", "s_suppkey"),
-        validate.rule(l, "cross", (F.col("l_returnflag") == "R") & (F.col("l_linestatus") != "F"), key, F.col("l_linestatus")),
+    own = validate.rules(
+        l, key,
+        ("domain", F.col("l_quantity") > 49, F.col("l_quantity").cast("long")),
+        ("self", F.col(key) == F.col("l_partkey"), F.col("l_partkey")),
+        ("cross", (F.col("l_returnflag") == "R") & (F.col("l_linestatus") != "F"), F.col("l_linestatus")),
     )
+    foreign = validate.missing_key(l, "foreign", key, p, "p_partkey", key)
+    return validate.together(own, foreign, validate.missing_key(s, "unused", "s_suppkey", l, "l_suppkey", "s_suppkey"))
 
 
 @query("""SELECT p_partkey AS id, (SELECT coalesce(max(p_size), -1) FROM part) + row_number() OVER (ORDER BY p_partkey) AS rank FROM part WHERE p_size = 1""")

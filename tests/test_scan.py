@@ -26,8 +26,8 @@ def test_scan_equals_a_loop(spark):
     df = spark.createDataFrame(rows, "key string, at long, x long").repartition(5)
     kinds = ["sum", "count", "max", "min", "last", "first"]
     for inclusive in (True, False):
-        for blocks in (1, 7, 40):
-            got = scan(df, ["key"], ["at"], {k: (k, F.col("x")) for k in kinds}, inclusive, blocks).collect()
+        for how in ({"blocks": 1}, {"blocks": 7}, {"blocks": 40}, {"block": F.floor(F.col("at") / 16)}, {"block": F.lit(0)}):
+            got = scan(df, ["key"], ["at"], {k: (k, F.col("x")) for k in kinds}, inclusive, **how).collect()
             assert {(r["key"], r["at"]): tuple(r[k] for k in kinds) for r in got} == by_loop(rows, inclusive)
             assert len(got) == len(rows)
 

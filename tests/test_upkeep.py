@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioscope.operators import deltas, digest_tree, facets
+from folioscope.operators import deltas, digest_tree, facets, search, state, validate
 from folioscope.operators.postings import Postings
 from folioscope.session import fresh_path
 from folioscope.sources import sinks
@@ -139,3 +139,32 @@ def test_bitmaps_count_every_selection(spark):
                     want[f, v, *(picked.get(x) for x in "abc")] = sum(map(hit, kept))
         assert {(r["facet"], r["value"], r["a"], r["b"], r["c"]): r["n"] for r in got} == want
     assert facets.all_counts(df.where("id < 0"), "id", ["a", "b"]).count() == 0
+
+
+def test_automaton_finds_what_joins_find(spark):
+    docs = spark.createDataFrame([(1, "the quick brown fox"), (2, "quick"), (3, ""), (4, None), (5, "é quick é brown"), (6, "own fox\nquick brown")], "doc_id long, t string")
+    aliases = spark.createDataFrame([("a", "quick brown"), ("b", "quick"), ("c", "quick"), ("d", ""), ("e", None), ("f", "é"), ("g", "nothing"), ("h", "own fox")], "item_id string, a string")
+    want = sorted(map(tuple, search.containing(docs, aliases).collect()))
+    assert sorted(map(tuple, search.matching(docs, aliases).collect())) == want and len(want) > 12
+    assert sorted(map(tuple, search.matching(docs, aliases, most_chars=10).collect())) == want
+    assert search.matching(docs, aliases.where("a is null")).count() == 0 == search.matching(docs.where("doc_id < 0"), aliases).count()
+
+
+def test_places_since_a_flag_cross_blocks(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), i, rng.random() < 0.1) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, at long, f boolean")
+    for block in (1, 30, 1000):
+        want, seen = {}, {}
+        for k, at, f in rows:
+            n, last = seen.get(k, (0, None))
+            want[at] = (n + 1, last)
+            seen[k] = (n + 1, n + 1 if f else last)
+        got = state.numbered_since(df, "k", "at", F.col("f"), block).collect()
+        assert {r["at"]: (r["place"], r["last"]) for r in got} == want
+
+
+def test_rules_in_one_pass(spark):
+    df = spark.createDataFrame([(1, 5), (2, None), (3, -1)], "id long, x long")
+    got = validate.rules(df, "id", ("low", F.col("x") < 0, F.col("x")), ("odd", F.col("x") % 2 != 0, F.lit("odd")))
+    assert sorted(map(tuple, got.collect())) == [("low", "3", "-1"), ("odd", "1", "odd"), ("odd", "3", "odd")]
