@@ -9,7 +9,8 @@ and each control string becomes a backslash and one letter, so no control string
 can occur there, and ``unescape`` restores the text exactly.
 
 Defined results: a null text or role is empty; turns are ordered by (turn, role, text), nulls
-first, so ties and repeated rows have one order and all are kept; an empty table gives none.
+first, so ties and repeated rows have one order and all are kept; a text of any length is kept whole (a conversation is one
+row); an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ each, the longest there are, touch about 16 of its 32 lanes. As hex the first 12
 always written, later ones as far as the last that isn't zero.
 
 Defined results: null is the empty text, whose fingerprint is zero; equal texts have equal
-fingerprints and likeness 1; rows with equal ids are ordered by text.
+fingerprints and likeness 1; rows with equal ids are ordered by text, null ids come first; repeated rows each get a row and are each
+other's next documents; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ template's label if the chain covers enough of the template; where spans of seve
 another, the one that covers most words stands, as deeds and notices share sentences. Plain phrases are found beside that, as places where their words stand one after another.
 
 Defined results: null is the empty text; no words means no span and score 0; repeated rows each get a
-row; an empty table gives an empty result.
+row; a text of any length is scanned whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

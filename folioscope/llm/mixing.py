@@ -10,7 +10,8 @@ arrays of slots, so no row moves for it.
 
 No row is dropped: a source that ends early leaves its later slots empty. Defined results: a null
 source is a source of its own, written ''; sources of weight 0 come after all others have ended, with equal
-shares; equal ids are ordered arbitrarily but each keeps a place; an empty table gives an empty result.
+shares; equal ids (and null ones, which are equal) are ordered arbitrarily in one bucket but each keeps a place; texts don't matter; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations

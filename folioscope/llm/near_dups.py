@@ -24,7 +24,8 @@ Pairs inside one class need no test, so no class loses a link.
 
 Defined results: null is the empty text; texts with the same words are one class (so are those
 without words); a class id is its smallest doc_id; repeated rows each get a row; rows that share a doc_id but not
-their words each get the result of their own words; an empty table gives none.
+their words each get the result of their own words; a text of any length is hashed whole, in chunks; an empty table gives none;
+other columns are ignored.
 A null doc_id never stands for its words: such a row gets the result of the smallest real id with the same
 words and, if there is none, null for copy_of and class_id and no links.
 """

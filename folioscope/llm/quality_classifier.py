@@ -7,7 +7,7 @@ regression over equal score bins.
 
 Defined results: null and empty texts have the statistics of the empty text and are scored like any
 other; without labels of both kinds every score is the share of label 1 (0.5 without any); repeated rows
-each get a row; an empty table gives an empty result.
+each get a row; a text of any length is read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ A document in a language without a list of common words is held against the lang
 rejected as unlike all of them; add its list to COMMON.
 
 Defined results: null has no words and fails; without a labelled language only the base rules decide;
-repeated rows each get a row; an empty table gives an empty result.
+repeated rows, rows that share an id and rows without one each get a row of their own text; a text of any length is counted whole;
+an empty table gives an empty result; own columns named like a result are replaced.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ documents' digests to that table, encodes each distinct text it lacks once, appe
 counts, and joins all documents to the table again.
 
 Defined results: null and empty texts count 0 tokens and 0 bytes; repeated rows each get a row;
-an empty table gives an empty result; other columns of the input are ignored.
+rows that share an id
+each count their own text; a text of any length is encoded whole; an empty table gives an empty result; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
