@@ -18,6 +18,7 @@ ID_BODY = r"(?:\d{4}\.\d{4,5}|[a-z][a-z0-9.\-]+/\d{7})"
 VERSION = r"(?:v\d+)?"
 HOSTS = ("arxiv.org", "www.arxiv.org", "export.arxiv.org")
 PATH_ID = rf"(?i)/(?:abs|pdf|html)/({ID_BODY}{VERSION})(?:\.pdf)?/?$"
+ID_PREFIX = r"(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/"
 DOI_ID = rf"(?i)/arxiv\.({ID_BODY}{VERSION})(?:[/?#]|$)"
 LABELLED_ID = rf"(?i)\barxiv\s*[:.]\s*({ID_BODY}{VERSION})(?![a-z0-9/])"
 BARE_ID = rf"(?i)(?<![a-z0-9.\-])({ID_BODY}{VERSION})(?![a-z0-9/])"
@@ -98,7 +99,7 @@ def normalize_id(c: Column) -> Column:
     """struct<id, version>: URL, prefix, query, fragment, suffix and slashes dropped; null where
     what is left is no identifier."""
     c = F.trim(c)
-    c = F.regexp_replace(c, r"(?i)^https?://(?:www\.)?arxiv\.org/(?:abs|pdf)/", "")
+    c = F.regexp_replace(c, ID_PREFIX, "")
     c = F.regexp_replace(c, r"(?i)^arxiv:", "")
     c = F.regexp_replace(F.regexp_replace(c, r"[?].*$", ""), r"#.*$", "")
     c = F.regexp_replace(F.regexp_replace(c, r"(?i)\.pdf$", ""), r"^/+|/+$", "")

@@ -76,11 +76,11 @@ def config(value: dict, hosts: Iterable[str] = HOSTS) -> Config:
         need(plain, f"{raw!r} is no https address of a known host")
         return str(raw)
 
-    need(value.get("schemaVersion", 1) == 1, "unsupported schemaVersion")
+    need(value.get("schemaVersion", 1) == 1, "schemaVersion has to be 1")
     out.listings = sorted((str(x.get("name", "")), address(x.get("url"))) for x in value.get("listings", []))
     for x in value.get("searches", []):
         pages = x.get("maxPages", MAX_PAGES)
-        need(isinstance(pages, int) and pages > 0, "maxPages must be positive")
+        need(isinstance(pages, int) and pages > 0, "maxPages is below 1")
         marks = [p for raw in x.get("frontier", []) if (p := paper(raw))]
         out.searches.append({"name": str(x.get("name", "")), "url": address(x.get("url")), "frontier": marks, "max_pages": pages, "exhaustive": bool(x.get("exhaustive", False))})
     out.searches.sort(key=lambda s: s["name"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import numbers
 from folioscope.operators import graph
+from folioscope.operators.scan import scan
 from folioscope.registry import query
 from folioscope.session import materialize, table
 
@@ -118,6 +119,16 @@ def missing_targets(spark: SparkSession, sf: str) -> DataFrame:
     return graph.reference_targets(status(spark, sf), catalogue.where("id % 3 = 0"), explicit)
 
 
+@query(f"""WITH {VERSIONS}, w AS (SELECT id, expected AS version FROM status WHERE status IN ('missing', 'stale')
+  UNION SELECT id, version FROM catalogue WHERE id % 3 = 0 UNION SELECT id, CAST(NULL AS BIGINT) FROM catalogue WHERE id % 5 = 0),
+  t AS (SELECT id, version FROM w WHERE version IS NOT NULL OR id NOT IN (SELECT id FROM w WHERE version IS NOT NULL))
+  SELECT id, version, row_number() OVER (ORDER BY id, coalesce(version, -1)) AS place FROM t""")
+def target_order(spark: SparkSession, sf: str) -> DataFrame:
+    """The place of each target in the order in which they are fetched: by id, those without a version first."""
+    targets = missing_targets(spark, sf).withColumn("at", F.coalesce("version", F.lit(-1)))
+    return scan(targets, [], ["id", "at"], {"place": ("count", F.lit(1))}).drop("at")
+
+
 @query(f"""WITH {VERSIONS} SELECT count(*) AS papers, count(*) FILTER (status = 'exact') AS exact, count(*) FILTER (status = 'stale') AS stale,
   count(*) FILTER (status = 'missing') AS missing, count(*) FILTER (status = 'unknown') AS unknown, bool_and(status = 'exact') AS complete FROM status""")
 def snapshot_append(spark: SparkSession, sf: str) -> DataFrame:

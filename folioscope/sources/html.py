@@ -212,7 +212,7 @@ def abstract(html: str, expected: str | None = None) -> dict:
     subjects = sorted({s.strip() for n in root.walk() if "subjects" in n.classes() for s in re.sub(r"^Subjects:\s*", "", n.text()).split(";") if s.strip()})
     return {
         "id": paper, "version": history[-1][0], "title": " ".join(title.split()), "authors": authors, "abstract": " ".join(summary.split()),
-        "submitted": day_of(history[0][1]), "updated": day_of(history[-1][1]),
+        "submitted": first[:10] if first else day_of(history[0][1]), "updated": last[:10] if last else day_of(history[-1][1]),
         "submitted_at": first, "updated_at": last, "subjects": subjects, "error": None,
     }
 

@@ -84,3 +84,9 @@ def test_sinks(spark, tmp_path):
     assert bib == "@misc{k,\n  title = {T},\n}"
     index = spark.createDataFrame([("a", ["b"], "t"), ("b", [], "u")], "id string, cited_by array<string>, text string")
     assert sinks.catalogue_index(index, path) and sinks.catalogue_index(index, path, check=True)
+
+
+def test_abstract_days_are_utc():
+    page = ABSTRACT.format("[v2]").replace("3 Nov 2025 18:00:00 UTC", "3 Nov 2025 23:30:00 -0500")
+    got = html.abstract(page)
+    assert (got["submitted"], got["submitted_at"], got["updated"]) == ("2025-11-04", "2025-11-04T04:30:00Z", "2025-11-04")
