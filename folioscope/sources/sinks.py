@@ -190,3 +190,48 @@ def catalogue_index(rows: DataFrame, path: str, check: bool = False) -> bool:
     papers = {r["id"]: {"citedBy": r["cited_by"], "incomingCitationCount": len(r["cited_by"]), "searchText": r["text"]} for r in rows.orderBy("id").collect()}
     body = {"schemaVersion": 2, "catalogDigest": f"sha256:{digest(papers)}", "paperCount": len(papers), "edgeCount": sum(p["incomingCitationCount"] for p in papers.values()), "papers": papers}
     return write_or_check(path, body, check)
+
+
+def json_text(c: Column) -> Column:
+    """A JSON string literal."""
+    listed = F.to_json(F.array(c))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+
+def catalogue_parts(rows: DataFrame, path: str, parts: int | None = None) -> dict:
+    """The search index artefact of a catalogue of any size, from ``rows(id, cited_by, text)`` with distinct ids.
+
+    Entries are written in order of their ids as part files; a head and a foot stand beside them, and a manifest names all with
+    their digests. Joined in its order they are the artefact. Only the manifest, a line a part, is made on the driver.
+    """
+    spark = rows.sparkSession
+    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = materialize(rows.select("id", "cited_by", "text"), "catalogue")
+    whole = held.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("cited_by")), F.lit(0)).alias("edges"), F.max("id").alias("last")).first()
+    root = digest_tree.tree(held, "id", ["id", "cited_by", "text"]).where("level = 0").first()
+    named = {"schemaVersion": 2, "catalogDigest": f"sha256:{digest(root['digest'] if root else '')}", "paperCount": whole["n"], "edgeCount": whole["edges"], "papers": {}}
+    body = json.dumps(named, indent=2, ensure_ascii=False)
+    head, foot = (body[:-4] + "{\n", "  }\n}\n") if whole["n"] else (body + "\n", "")
+    cited = F.array_join(F.transform("cited_by", lambda c: F.concat(F.lit(" " * 8), json_text(c))), ",\n")
+    by = F.when(F.size("cited_by") == 0, "[]").otherwise(F.concat(F.lit("[\n"), cited, F.lit("\n      ]")))
+    entry = F.concat(
+        F.lit("    "), json_text(F.col("id")), F.lit(': {\n      "citedBy": '), by, F.lit(',\n      "incomingCitationCount": '), F.size("cited_by").cast("string"),
+        F.lit(',\n      "searchText": '), json_text(F.col("text")), F.when(F.col("id") == whole["last"], "\n    }").otherwise("\n    },"),
+    )
+    held.repartitionByRange(n, "id").sortWithinPartitions("id").select(entry.alias("value")).write.text(f"{path}/papers")
+    shared = Shared(spark, path)
+    shared.write(f"{path}/head", head)
+    shared.write(f"{path}/foot", foot)
+    name = F.regexp_extract("path", r"[^/]+$", 0)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/papers").select(name.alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    made = [{"name": f"papers/{r['name']}", "bytes": r["length"], "sha256": r["sha256"]} for r in files.where("length > 0").orderBy("name").collect()]
+    ends = [{"name": k, "bytes": len(v.encode()), "sha256": hashlib.sha256(v.encode()).hexdigest()} for k, v in (("head", head), ("foot", foot))]
+    manifest = {"catalogDigest": named["catalogDigest"], "parts": [ends[0], *made, ends[1]]}
+    shared.write(f"{path}/manifest.json", json.dumps(manifest))
+    return manifest
+
+
+def catalogue_is(rows: DataFrame, manifest: dict) -> bool:
+    """Whether a written catalogue holds ``rows``: their digests are summed where they lie, nothing is written."""
+    root = digest_tree.tree(rows, "id", ["id", "cited_by", "text"]).where("level = 0").first()
+    return manifest["catalogDigest"] == f"sha256:{digest(root['digest'] if root else '')}"

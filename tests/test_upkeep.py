@@ -1,6 +1,8 @@
 """Bucketed tables, signed deltas, digest trees, trigram postings and facet bitmaps against whole rebuilds."""
 
+import hashlib
 import itertools
+import json
 import random
 
 import pytest
@@ -168,3 +170,18 @@ def test_rules_in_one_pass(spark):
     df = spark.createDataFrame([(1, 5), (2, None), (3, -1)], "id long, x long")
     got = validate.rules(df, "id", ("low", F.col("x") < 0, F.col("x")), ("odd", F.col("x") % 2 != 0, F.lit("odd")))
     assert sorted(map(tuple, got.collect())) == [("low", "3", "-1"), ("odd", "1", "odd"), ("odd", "3", "odd")]
+
+
+def test_catalogue_parts_join_to_the_small_form(spark, tmp_path):
+    rows = [(f"26{i:02d}.00001", [f"x{j}" for j in range(i % 4)], f'text "é" \\ {i}') for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, cited_by array<string>, text string")
+    for name, some in (("all", df), ("none", df.where("1 = 0")), ("one", df.where("id = '2600.00001'"))):
+        path = str(tmp_path / name)
+        manifest = sinks.catalogue_parts(some, path, 5)
+        joined = b"".join((tmp_path / name / p["name"]).read_bytes() for p in manifest["parts"])
+        kept = {r["id"]: {"citedBy": r["cited_by"], "incomingCitationCount": len(r["cited_by"]), "searchText": r["text"]} for r in some.orderBy("id").collect()}
+        body = {"schemaVersion": 2, "catalogDigest": manifest["catalogDigest"], "paperCount": len(kept), "edgeCount": sum(len(p["citedBy"]) for p in kept.values()), "papers": kept}
+        assert joined.decode() == json.dumps(body, indent=2, ensure_ascii=False) + "\n"
+        assert all(hashlib.sha256((tmp_path / name / p["name"]).read_bytes()).hexdigest() == p["sha256"] for p in manifest["parts"])
+        assert sinks.catalogue_is(some.repartition(3), manifest) and (name == "all") == (len(manifest["parts"]) > 4)
+    assert not sinks.catalogue_is(df.withColumn("text", F.concat("text", F.lit("!"))), sinks.catalogue_parts(df, str(tmp_path / "again")))
