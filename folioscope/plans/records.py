@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from folioscope.operators import search
 from folioscope.registry import query
-from folioscope.session import table
+from folioscope.session import fresh_path, materialize, table
 from folioscope.sources import abstracts, feeds
+from folioscope.sources.response_cache import ResponseCache
 
 PAPER = "strftime(o_orderdate, '%y%m') || '.' || lpad(CAST(o_orderkey % 100000 AS VARCHAR), 5, '0')"
 
@@ -108,3 +109,32 @@ def status_tallies(spark: SparkSession, sf: str) -> DataFrame:
     status = F.when(q.isNull(), "pending").when((q == 1) & (t == 0), "relevant").when(q == 0, "excluded").otherwise("ambiguous")
     rows = d.select(F.coalesce("source", F.lit("")).alias("source"), status.alias("status"))
     return rows.groupBy("source").agg(*[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count("*").alias("total"))
+
+
+@query("""WITH r AS (SELECT page_id AS k, CASE WHEN page_id % 10 = 9 THEN 'https://elsewhere.example/' ELSE 'https://arxiv.org/' END || page_id AS url, html FROM pages),
+  held AS (SELECT *, CASE WHEN k % 6 = 0 OR k % 3 = 1 THEN 0 ELSE 5000 END AS age, CASE WHEN k % 3 = 1 THEN html || 'new' ELSE html END AS body, k % 4 = 0 OR k % 6 = 0 AS tagged FROM r WHERE k % 10 <> 9 AND (k % 2 = 0 OR k % 3 = 1))
+  SELECT r.url, CASE WHEN r.k % 10 = 9 THEN 'reject' WHEN held.k IS NULL THEN 'fetch' WHEN age = 0 THEN 'use' WHEN tagged THEN 'revalidate' ELSE 'fetch' END AS action,
+    CASE WHEN age > 0 AND tagged THEN 'tag' || r.k END AS etag, CASE WHEN age = 0 THEN sha256(body) END AS body FROM r LEFT JOIN held ON held.k = r.k""")
+def response_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """A round of answers (new bodies, confirmations, errors, a host that isn't allowed) over a store, then what the next round has to do."""
+    k = F.col("page_id")
+    url = F.concat(F.when(k % 10 == 9, "https://elsewhere.example/").otherwise("https://arxiv.org/"), k.cast("string"))
+    p = materialize(table(spark, sf, "pages").select(k.alias("k"), url.alias("url"), "html"), "pages")
+    k, then, now = F.col("k"), F.lit("2024-01-01 10:00:00").cast("timestamp"), F.lit("2024-01-01 11:23:20").cast("timestamp")
+    held = ResponseCache(spark, fresh_path(spark, "responses"), 16)
+    none = F.lit(None).cast("string")
+
+    def answer(rows: DataFrame, status, at, etag, body) -> DataFrame:
+        return rows.select("url", status.cast("int").alias("status"), at.alias("at"), etag.alias("etag"), none.alias("last_modified"), F.lit("text/html").alias("mime"), body.alias("body"))
+
+    tag = F.when(k % 4 == 0, F.concat(F.lit("tag"), k.cast("string")))
+    held.absorb(answer(p.where(k % 2 == 0), F.lit(200), then, tag, F.col("html")))
+    again, changed = p.where((k % 6 == 0) & (k % 3 != 1)), p.where(k % 3 == 1)
+    lost = p.where((k % 2 == 1) & (k % 3 != 1))
+    said = F.when(k % 3 == 1, F.concat("html", F.lit("new")))
+    held.absorb(
+        answer(again, F.lit(304), now, F.concat(F.lit("tag"), k.cast("string")), none)
+        .unionByName(answer(changed, F.lit(200), now, none, said))
+        .unionByName(answer(lost, F.when(k % 4 == 1, 503).otherwise(304), now, none, none))
+    )
+    return held.plan(p, now).select("url", "action", "etag", F.sha2("body", 256).alias("body"))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import random
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from folioscope.operators.postings import Postings
 from folioscope.session import fresh_path
 from folioscope.sources import sinks
 from folioscope.sources.buckets import BucketTable
+from folioscope.sources.response_cache import ResponseCache
 
 
 def table_of(spark, buckets=16):
@@ -185,3 +187,28 @@ def test_catalogue_parts_join_to_the_small_form(spark, tmp_path):
         assert all(hashlib.sha256((tmp_path / name / p["name"]).read_bytes()).hexdigest() == p["sha256"] for p in manifest["parts"])
         assert sinks.catalogue_is(some.repartition(3), manifest) and (name == "all") == (len(manifest["parts"]) > 4)
     assert not sinks.catalogue_is(df.withColumn("text", F.concat("text", F.lit("!"))), sinks.catalogue_parts(df, str(tmp_path / "again")))
+
+
+def test_response_cache_rounds(spark):
+    held = ResponseCache(spark, fresh_path(spark, "responses"), 8, fresh_seconds=60, most_bytes=20)
+    at = lambda s: datetime(2026, 1, 1, 0, 0, s)
+    kind = "url string, status int, at timestamp, etag string, last_modified string, mime string, body string"
+    url = lambda n: f"https://arxiv.org/{n}"
+    rows = [
+        (url("a"), 200, at(0), "e1", None, "text/html", "A"), (url("a"), 200, at(5), "e2", None, "text/html", "AA"), (url("b"), 200, at(0), None, None, "application/pdf", "B"),
+        (url("c"), 200, at(0), None, None, "text/html", "C" * 21), (url("d"), 304, at(0), None, None, None, None), ("https://x.example/", 200, at(0), None, None, "text/html", "X"), (url("e"), 200, at(0), None, "lm", "text/html", "E"),
+        (url("f"), 500, at(0), None, None, None, None), (url("g"), 200, at(0), None, None, "text/html", None),
+    ]
+    answers = spark.createDataFrame(rows, kind)
+    assert {r["url"][-1] if "arxiv" in r["url"] else "x": r["outcome"] for r in held.judge(answers).collect()} == {
+        "a": "stored", "b": "rejected", "c": "rejected", "d": "nothing to confirm", "x": "rejected", "e": "stored", "f": "status 500", "g": "no body",
+    }
+    held.absorb(answers)
+    asked = spark.createDataFrame([(url(n),) for n in "aabe"] + [("https://x.example/",)], "url string")
+    plan = lambda s: {r["url"][-1]: (r["action"], r["etag"], r["last_modified"], r["body"]) for r in held.plan(asked, F.lit(f"2026-01-01 00:0{s}").cast("timestamp")).collect()}
+    assert plan("0:30") == {"a": ("use", None, None, "AA"), "b": ("fetch", None, None, None), "e": ("use", None, None, "E"), "/": ("reject", None, None, None)}
+    assert plan("5:00")["a"] == ("revalidate", "e2", None, None) and plan("5:00")["e"] == ("revalidate", None, "lm", None)
+    met = held.absorb(spark.createDataFrame([(url("a"), 304, datetime(2026, 1, 1, 0, 5), None, None, None, None)], kind))
+    assert len(met) == 1 and plan("5:10")["a"] == ("use", None, None, "AA")
+    held.sweep([url("a")])
+    assert {r["url"] for r in held.table.read().collect()} == {url("a")}
