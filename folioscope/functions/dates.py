@@ -120,3 +120,20 @@ def submission_second(c: Column) -> Column:
 def instant(c: Column) -> Column:
     """The instant of an ISO time that states its zone; null for one that doesn't."""
     return F.when(c.rlike(r"T\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+\-]\d{2}:?\d{2})$"), F.try_to_timestamp(c))
+
+
+def range_query(start: Column, end: Column, low: Column, high: Column) -> Column:
+    """``range_to_params`` of one row's range, without other parameters."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    return F.when((start == low) & (end == high), "").otherwise(F.concat(F.lit("from="), day(start), F.lit("&to="), day(end)))
+
+
+def range_of_query(params: Column, low: Column, high: Column) -> Column:
+    """struct<start, end> that the parameters name, kept inside the bounds and in order; the bound itself where a day is absent or
+    no day."""
+    def read(name: str, default: Column) -> Column:
+        day = strict_iso(F.regexp_extract(params, rf"(?:^|&){name}=([^&]*)", 1))
+        return F.least(F.greatest(F.coalesce(day, default), low), high)
+
+    a, b = read("from", low), read("to", high)
+    return F.struct(F.least(a, b).alias("start"), F.greatest(a, b).alias("end"))

@@ -306,3 +306,16 @@ def spiral_place(seed: str, anchors: list[tuple[float, float]], taken: list[tupl
 
 def overlap_column(d: Column, r1: Column, r2: Column, gap: float = OUTER_GAP) -> Column:
     return F.greatest(F.lit(0.0), r1 + r2 + gap - d)
+
+
+def exit_columns(dx: Column, dy: Column, half_width: float, half_height: float, clear: Column) -> Column:
+    """struct<x, y>: the shortest move that takes a circle, at (dx, dy) from a rectangle's centre, to the distance ``clear`` from
+    it; 0 if it is clear. A centre inside leaves by the nearest side, the first of left, right, top and bottom among equals."""
+    ox = dx - numbers.clamp(dx, -half_width, half_width)
+    oy = dy - numbers.clamp(dy, -half_height, half_height)
+    out = F.hypot(ox, oy)
+    part = F.when(out < clear, (clear - out) / out).otherwise(0.0)
+    ways = [(F.lit(half_width) + clear + dx, -1.0, 0.0), (F.lit(half_width) + clear - dx, 1.0, 0.0), (F.lit(half_height) + clear + dy, 0.0, -1.0), (F.lit(half_height) + clear - dy, 0.0, 1.0)]
+    least = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(k).alias("k"), F.lit(x).alias("x"), F.lit(y).alias("y")) for k, (d, x, y) in enumerate(ways)]))
+    inside = F.struct((least["d"] * least["x"]).alias("x"), (least["d"] * least["y"]).alias("y"))
+    return F.when(out > 1e-6, F.struct((ox * part).alias("x"), (oy * part).alias("y"))).otherwise(inside)
