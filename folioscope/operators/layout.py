@@ -234,7 +234,7 @@ def close_pairs(x: np.ndarray, y: np.ndarray, reach: float, block: int = 200_000
 
 
 def relax_near(x: np.ndarray, y: np.ndarray, r: np.ndarray, gap: float, steps: int = 5000) -> tuple[np.ndarray, np.ndarray, float]:
-    """``relax`` for large groups: the same moves, over near pairs only, which are all that can overlap. Overlaps left
+    """``relax`` for groups of any size: the same moves, over near pairs only, which are all that can overlap. Overlaps left
     after ``steps`` are undone by widening the whole layout about its mean, so none stays above the tolerance."""
     x, y = x.astype(float).copy(), y.astype(float).copy()
     reach, worst = float(2 * r.max() + gap), 0.0
@@ -264,17 +264,15 @@ def relax_near(x: np.ndarray, y: np.ndarray, r: np.ndarray, gap: float, steps: i
     return x, y, worst
 
 
-def pack(points: DataFrame, gap: float = PAPER_GAP, most: int = 3000) -> DataFrame:
+def pack(points: DataFrame, gap: float = PAPER_GAP) -> DataFrame:
     """(group, id, x, y, overlap): members of each group moved apart, groups independent of one another.
 
-    A group is an island of one map and is packed by one task; above ``most`` members by near pairs, in memory that
-    follows the number of members.
+    A group is an island of one map and is packed by one task, by near pairs, in memory that follows the number of members.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["rank", "id"]).reset_index(drop=True)
-        move = relax if len(pdf) <= most else relax_near
-        x, y, worst = move(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["radius"].to_numpy(float), gap)
+        x, y, worst = relax_near(pdf["x"].to_numpy(), pdf["y"].to_numpy(), pdf["radius"].to_numpy(float), gap)
         return pd.DataFrame({"group": pdf["group"], "id": pdf["id"], "x": x, "y": y, "overlap": worst})
 
     find_package(points.sparkSession)

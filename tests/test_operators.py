@@ -203,7 +203,7 @@ def test_arrange(spark):
 
 
 def test_pack_large_group(spark):
-    """Above ``most`` members a group is packed by near pairs, to the same tolerance."""
+    """A group is packed by near pairs, to the tolerance of all pairs."""
     rng = np.random.default_rng(3)
     xs = rng.uniform(0, 900, (3200, 2))
     xs[1] = xs[0]
@@ -332,3 +332,17 @@ def test_workers_find_the_package(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     assert "rows" in ran.stdout, ran.stderr[-2000:]
+
+
+def test_pack_small_groups(spark):
+    """One member, members at one place, and groups that don't touch."""
+    rows = [(1, 0, 0, 5.0, 5.0, 3.0)] + [(2, i, i, 1.0, 1.0, 3.0) for i in range(12)] + [(3, i, i, 100.0 * i, 0.0, 3.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "group int, id long, rank long, x double, y double, radius double")
+    got = layout.pack(df, 1.0).toPandas()
+    assert len(got) == 18 and got["overlap"].max() <= 1e-3
+    for _, g in got.groupby("group"):
+        i, j = np.triu_indices(len(g), 1)
+        x, y = g["x"].to_numpy(), g["y"].to_numpy()
+        assert (np.hypot(x[i] - x[j], y[i] - y[j]) >= 7 - 1e-3).all()
+    still = got[got["group"] == 3].sort_values("id")
+    assert still["x"].tolist() == [0.0, 100.0, 200.0, 300.0, 400.0]
