@@ -18,7 +18,11 @@ Bands of components give buckets. Links come in two rounds, each verified on the
    copy; tokens are ordered by rarity (those of one class first, then by count), and a pair at the wanted similarity
    has at least t / (1 + t) (m + n) tokens in common, so the first m - that + 1 of one text and n - that + 1 of the other
    can't be disjoint. Nothing that reaches the similarity is lost, and texts that differ by edits of their
-   own share no such token.
+   own share no such token. Where texts share a template and stay just below the similarity, their prefixes meet in its
+   tokens; then odd sketches decide: a bit of a sketch is the parity of the tokens that hash to it, so two sketches
+   differ in at most as many bits as their token sets have unlike tokens, of which a pair at the similarity
+   has (1 - t) / (1 + t) (m + n) at most. That test, in the join itself, costs some words a pair and loses none; pairs
+   it leaves are tested for a shared bucket and by wider sketches before any tokens move.
 
 Pairs inside one class need no test, so no class loses a link.
 
@@ -51,6 +55,8 @@ SEEDS = np.arange(64, dtype=np.uint64) * GOLD
 STEP, CHUNK, LONG = 0xD6E8FEB86659FD93, 1 << 16, 1024
 #: Sizes n >= m of a pair are classed by n / m; the narrower a class, the shorter its prefixes.
 RATIOS = (1.0, 1.01, 1.03, 1.08)
+#: Bits of the sketch that each prefix row carries, and prefix rows of one token that one key takes.
+CARRIED, HOT = 1024, 2048
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -190,6 +196,14 @@ def tokens(hashes: np.ndarray) -> np.ndarray:
     return np.concatenate([keys, mix64(again + number.astype(np.uint64) * GOLD)])
 
 
+def odd_sketch(found: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Parities of the tokens by hash as words; where ``bits`` isn't given, of at least eight bits a token. A shorter sketch is
+    a longer one whose halves are xored."""
+    bits = bits or max(64, 1 << (8 * max(1, len(found)) - 1).bit_length())
+    parity = np.bincount(((found >> np.uint64(8)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = signature.reshape(bands, rows)
     key = np.arange(bands, dtype=np.uint64)
@@ -225,16 +239,18 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
 
 def bags(docs: DataFrame) -> DataFrame:
-    """(digest, tokens) for each row."""
+    """(digest, tokens, odd, wide) for each row: ``odd`` and ``wide`` are its sketches, of CARRIED bits and by its size."""
     ensure_workers(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             both = [shingles(text.as_py()) for text in b.column(0).cast(pa.binary())]
-            arrays = [pa.array([d for d, _ in both], pa.binary()), lists([tokens(h).view(np.int64) for _, h in both])]
-            yield pa.RecordBatch.from_arrays(arrays, ["digest", "tokens"])
+            found = [tokens(h) for _, h in both]
+            sketches = [[odd_sketch(t, bits) for t in found] for bits in (CARRIED, None)]
+            arrays = [pa.array([d for d, _ in both], pa.binary()), lists([t.view(np.int64) for t in found]), *map(lists, sketches)]
+            yield pa.RecordBatch.from_arrays(arrays, ["digest", "tokens", "odd", "wide"])
 
-    return docs.select("text").mapInArrow(run, "digest binary, tokens array<long>")
+    return docs.select("text").mapInArrow(run, "digest binary, tokens array<long>, odd array<long>, wide array<long>")
 
 
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -291,8 +307,41 @@ def fits(x: str, y: str, similarity: float) -> F.Column:
     return F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
 
 
+def unlike_carried(one: str, two: str) -> F.Column:
+    """As ``unlike`` for sketches of CARRIED bits, in generated code."""
+    return sum(F.bit_count(F.get(one, F.lit(k)).bitwiseXOR(F.get(two, F.lit(k)))) for k in range(CARRIED // 64))
+
+
+def unlike(small: str | F.Column, large: str | F.Column) -> F.Column:
+    """Bits in which two sketches differ, the longer one folded once: no more than the tokens that only one text has."""
+    small, large = (F.col(c) if isinstance(c, str) else c for c in (small, large))
+    half = F.size(small)
+    xor = lambda x, y: x.bitwiseXOR(y)
+    folded = F.zip_with(F.slice(large, F.lit(1), half), F.slice(large, half + 1, half), xor)
+    same = F.when(F.size(large) == half, large).when(F.size(large) == 2 * half, folded)
+    # sizes too far apart for one fold give null: nothing is known then
+    return F.coalesce(F.aggregate(F.zip_with(small, same, xor), F.lit(0), lambda n, x: n + F.bit_count(x)), F.lit(0))
+
+
+def most_unlike(m: str, n: str, similarity: float) -> F.Column:
+    """Tokens that only one of two texts of these sizes has, at most, where they reach ``similarity``."""
+    return F.lit((1 - similarity) / (1 + similarity)) * (F.col(m) + F.col(n)) + 1e-6
+
+
+def close_pairs(pairs: DataFrame, kept: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that share a bucket and whose full sketches let them reach ``similarity``; ``kept`` has node, size,
+    keys and wide."""
+    side = lambda c: kept.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("size", "keys", "wide")])
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.arrays_overlap("keys_a", "keys_b"))
+    first = F.col("size_a") <= F.col("size_b")
+    small, large = (F.when(first, F.col(f"wide_{x}")).otherwise(F.col(f"wide_{y}")) for x, y in (("a", "b"), ("b", "a")))
+    return joined.where(unlike(small, large) <= most_unlike("size_a", "size_b", similarity)).select("a", "b")
+
+
 def prefix_pairs(apart: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of ``apart`` (node, comp, size, tokens), of different classes, that share a token of their prefixes.
+    """Pairs (a, b) of ``apart`` (node, comp, size, tokens and, if there, odd), of different classes, that share a token of
+    their prefixes and whose sketches let them reach ``similarity``. Rows of a token with more than HOT texts are dealt over
+    several keys.
 
     Tokens that occur in one class only are first in every order and can't be shared between classes, so just
     their number counts; the others are ordered by their number of texts and themselves.
@@ -301,9 +350,8 @@ def prefix_pairs(apart: DataFrame, similarity: float) -> DataFrame:
     shared = every.groupBy("token").agg(F.count("*").alias("n"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     kept = every.select("node", "token").join(shared.select("token", "n"), "token")
     order = kept.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
-    ranked = materialize(
-        order.select("node", F.col("shared.token").alias("shared")).join(apart.select("node", "comp", "size"), "node"), "prefixes"
-    )
+    sketch = [c for c in ("odd",) if c in apart.columns]
+    ranked = materialize(order.join(apart.select("node", "comp", "size", *sketch), "node"), "prefixes")
     own = F.col("size") - F.size("shared")
     part = similarity / (1 + similarity)
 
@@ -313,10 +361,12 @@ def prefix_pairs(apart: DataFrame, similarity: float) -> DataFrame:
         for k, (low, high) in enumerate(zip(RATIOS, (*RATIOS[1:], 1 / similarity))):
             common = F.ceil(least_common(low, high) - F.lit(1e-6))
             prefix = F.greatest(F.size("shared") * 0, (F.col("size") - common + 1 - own).cast("int"))
-            classes.append(F.transform(F.slice("shared", F.lit(1), prefix), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("token"))))  # noqa: B023
-        return ranked.select("node", "comp", "size", F.explode(F.flatten(F.array(*classes))).alias("at")).select(
-            "node", "comp", "size", "at.kind", "at.token"
-        ).alias(name)
+            classes.append(F.transform(F.slice("shared", F.lit(1), prefix), lambda t: F.struct(F.lit(k).alias("kind"), t["token"].alias("token"), t["n"].alias("n"))))  # noqa: B023
+        each = ranked.select("node", "comp", "size", *sketch, F.explode(F.flatten(F.array(*classes))).alias("at")).select(
+            "node", "comp", "size", *sketch, "at.kind", "at.token", (1 + F.floor(F.col("at.n") / HOT)).cast("int").alias("parts")
+        )
+        part_of = F.pmod(F.xxhash64("node"), "parts").cast("int") if name == "held" else F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+        return each.withColumn("part", part_of).alias(name)
 
     # the smaller text of a pair is held by its own prefix, the larger one asks for it
     held = rows("held", lambda low, high: part * (1 + low) * F.col("size"))
@@ -324,11 +374,13 @@ def prefix_pairs(apart: DataFrame, similarity: float) -> DataFrame:
     m, n = F.col("held.size"), F.col("asks.size")
     ratio = n / m
     kind = sum((ratio >= F.lit(r)).cast("int") for r in RATIOS[1:])
-    met = held.join(asks, (F.col("held.kind") == F.col("asks.kind")) & (F.col("held.token") == F.col("asks.token"))).where(
+    same = [F.col(f"held.{c}") == F.col(f"asks.{c}") for c in ("kind", "token", "part")]
+    met = held.join(asks, same).where(
         (F.col("held.comp") != F.col("asks.comp"))
         & ((m < n) | ((m == n) & (F.col("held.node") < F.col("asks.node"))))
         & (m >= F.lit(similarity) * n)
         & (kind == F.col("held.kind"))
+        & (unlike_carried("held.odd", "asks.odd") <= most_unlike("held.size", "asks.size", similarity) if sketch else F.lit(True))
     )
     return met.select(F.least("held.node", "asks.node").alias("a"), F.greatest("held.node", "asks.node").alias("b")).distinct()
 
@@ -358,8 +410,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     members = materialize(reps.join(score.select("node"), "node").join(stars, "node", "left").join(led, "node", "left"), "members")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     wanted = texts.join(F.broadcast(key_filter(members, "doc_id")), in_filter("doc_id"), "left_semi")
-    held = bags(wanted).groupBy("digest").agg(F.first("tokens").alias("tokens"))
-    kept = materialize(held.join(members, "digest").select("node", "size", "keys", "leader", "leads", "tokens"), "bags")
+    held = bags(wanted).groupBy("digest").agg(*[F.first(c).alias(c) for c in ("tokens", "odd", "wide")])
+    kept = materialize(held.join(members, "digest").select("node", "size", "keys", "leader", "leads", "tokens", "odd", "wide"), "bags")
 
     star = kept.where("leader is not null").select(F.col("leader").alias("a"), F.col("node").alias("b"), "size", "keys", "tokens")
     links = materialize(verified(star, kept.where("leads").select("node", "size", "keys", "tokens"), similarity), "links")
@@ -368,8 +420,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int
     now = open_.select("key", F.col("node").alias("id")).join(label, "id")
     mixed = now.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
     still = materialize(now.join(mixed.select("key"), "key", "left_semi").groupBy("id").agg(F.first("comp").alias("comp")), "apart")
-    apart = kept.select("node", "size", "tokens").join(still.withColumnRenamed("id", "node"), "node")
-    pairs = materialize(prefix_pairs(apart, similarity), "pairs")
+    apart = kept.select("node", "size", "tokens", "odd").join(still.withColumnRenamed("id", "node"), "node")
+    pairs = materialize(close_pairs(prefix_pairs(apart, similarity), kept, similarity), "pairs")
     with_b = pairs.join(kept.select(F.col("node").alias("b"), "size", "keys", "tokens"), "b")
     late = materialize(verified(with_b, kept.select("node", "size", "keys", "tokens"), similarity), "links")
     label = merge_classes(label, late)
