@@ -1,9 +1,9 @@
 """Papers as keyed state of a stream: listings, observations of versions and decisions come in any order.
 
 Each paper holds an open log of actions and a settled state. Actions are applied in the order of their numbers, so slices
-of a stream may come in any order: a paper's state is its settled part with the open log played on it. Once an action is
-``lateness`` older than the watermark a timer settles it, which bounds the log. An action that comes later still isn't lost: it is
-applied where it arrives, after what is settled. An action read twice counts once while it is open; where sources repeat
+of a stream may come in any order: a paper's state is its settled part with the open log played on it. When rows of a paper
+have been played, its actions that are ``lateness`` older than the watermark settle, which bounds the log; that of a paper without
+new rows stays as it is. An action that comes later still isn't lost: it is applied where it arrives, after what is settled. An action read twice counts once while it is open; where sources repeat
 settled ones, put ``replay.keep_first`` before.
 
 Rules of an action on a version: the first observation makes it relevant if the catalogue covers it, else pending; a changed
@@ -13,12 +13,13 @@ one on a version not yet observed is void. Listings are coverage evidence; the f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from folioscope.session import find_package
 
@@ -52,85 +53,53 @@ def play(versions: dict[int, dict], actions: list[dict]) -> dict[int, dict]:
     return versions
 
 
-class Papers(StatefulProcessor):
-    """Settled versions in map state, open actions in list state, and one timer a paper that settles the oldest."""
-
-    def __init__(self, lateness_ms: int):
-        self.lateness_ms = lateness_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.settled = handle.getMapState("settled", "version long", STATE)
-        self.open = handle.getListState("open", ACTION)
-
-    def _settled(self) -> dict[int, dict]:
-        return {k[0]: dict(zip(OUT, v)) for k, v in self.settled.iterator()}
-
-    def _open(self) -> list[dict]:
-        return [dict(zip(FIELDS, a)) for a in self.open.get()]
-
-    def _keep(self, actions: list[dict]) -> None:
-        """``actions`` as the open log, with a timer at which the oldest settles."""
-        for t in [*self.handle.listTimers()]:
-            self.handle.deleteTimer(t)
-        if not actions:
-            self.open.clear()
-            return
-        self.open.put([tuple(a[f] for f in FIELDS) for a in actions])
-        self.handle.registerTimer(min(a["at"] for a in actions) + self.lateness_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = [{f: None if pd.isna(x) else x for f, x in r.items()} for frame in rows for r in frame[FIELDS].to_dict("records")]
-        for a in got:
-            a |= {f: int(a[f]) for f in ("seq", "at", "version", "published", "batch") if a[f] is not None}
-        log = {a["seq"]: a for a in self._open()}
-        before = play(self._settled(), [dict(a) for a in log.values()])
-        for a in got:  # one that was read before has its number in the log
-            log.setdefault(a["seq"], a)
-        after = play(self._settled(), [*log.values()])
-        self._keep([*log.values()])
-        changed = [v for k, v in after.items() if before.get(k) != v]
+def settled_and_open(settled: dict[int, dict], log: list[dict], end: int) -> tuple[dict[int, dict], list[dict]]:
+    """Both after the actions up to the time ``end`` are settled, in order: none with a smaller number may stay open."""
+    last = max((a["seq"] for a in log if a["at"] <= end), default=None)
+    if last is None:
+        return settled, log
+    return play(settled, [a for a in log if a["seq"] <= last]), [a for a in log if a["seq"] > last]
+
+
+def keeper(lateness_ms: int) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """The step of a paper: its rows are played on its state, then what is late enough settles. State, actions and changed rows are
+    texts, so a paper costs one read and one write of its state in a micro-batch, however many versions and actions it has."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        settled, log = json.loads(state.get[0]) if state.exists else ([], [])
+        copy = lambda: {v["version"]: dict(v) for v in settled}
+        log = {a["seq"]: a for a in log}
+        before = play(copy(), [*log.values()])
+        for frame in frames:
+            for a in map(json.loads, frame["action"]):
+                log.setdefault(a["seq"], a)  # one that was read before has its number in the log
+        after = play(copy(), [*log.values()])
+        kept, still = settled_and_open(copy(), [*log.values()], state.getCurrentWatermarkMs() - lateness_ms)
+        state.update((json.dumps([[*kept.values()], still]),))
+        changed = [json.dumps(v) for k, v in after.items() if before.get(k) != v]
         if changed:
-            yield frame_of(key[0], changed)
+            yield pd.DataFrame({"id": key[0], "state": changed})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = timerValues.getCurrentWatermarkInMs() - self.lateness_ms
-        log = self._open()
-        old = [a for a in log if a["at"] <= end]
-        # settled in order: nothing with a smaller number may stay open
-        last = max((a["seq"] for a in old), default=None)
-        old = [a for a in log if last is not None and a["seq"] <= last]
-        for k, v in play(self._settled(), old).items():
-            self.settled.updateValue((k,), tuple(v[f] for f in OUT))
-        self._keep([a for a in log if last is None or a["seq"] > last])
-        return iter(())
-
-    def close(self) -> None:
-        pass
-
-
-def frame_of(paper: int, versions: list[dict]) -> pd.DataFrame:
-    kinds = {"version": "int64", "decisions": "int64", "first_batch": "Int64", "promoted": "Int64", "discovered": "boolean"}
-    frame = pd.DataFrame([[v[f] for f in OUT] for v in versions], columns=OUT).astype(kinds)
-    frame.insert(0, "id", paper)
-    return frame
+    return step
 
 
 def paper_states(actions: DataFrame, out: str, lateness: str = "2 days") -> None:
     """Runs a stream of ``actions(id, ts, seq, kind, version, digest, decision, published, batch, discover)`` into the table ``out`` of
     changed rows, a folder a micro-batch; one that is run again replaces its folder.
 
-    The watermark is that of ``ts``, which goes on under another name, so that Spark drops no late row.
+    The watermark is that of ``ts``. There is no timeout, so Spark drops no late row.
     """
     spark = actions.sparkSession
     find_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     ms = int(pd.Timedelta(lateness).total_seconds() * 1000)
-    named = actions.withWatermark("ts", "0 seconds").select("id", F.unix_millis("ts").alias("at"), *[f for f in FIELDS if f != "at"])
-    states = named.groupBy("id").transformWithStateInPandas(Papers(ms), ROW, "Update", "EventTime")
+    action = F.struct(*[F.unix_millis("ts").alias(f) if f == "at" else F.col(f) for f in FIELDS])
+    named = actions.withWatermark("ts", "0 seconds").select("id", "ts", F.to_json(action, {"ignoreNullFields": "false"}).alias("action"))
+    states = named.groupBy("id").applyInPandasWithState(keeper(ms), "id long, state string", "state string", "update", GroupStateTimeout.NoTimeout)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        rows = batch.select("id", F.from_json("state", STATE).alias("s")).select("id", "s.*")
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     q = states.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{out}-offsets").trigger(availableNow=True).start()
     q.awaitTermination()

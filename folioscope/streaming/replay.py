@@ -95,9 +95,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def slices(rows: DataFrame, by: Column, n: int, root: str) -> DataFrame:
-    """``rows`` as a stream of ``n`` micro-batches, slice by slice: each slice is a file."""
+    """``rows`` as a stream of ``n`` micro-batches, slice by slice: each slice is a file. Only its writer is one task."""
     for k in range(n):
-        rows.where(F.pmod(by, F.lit(n)) == k).coalesce(1).write.parquet(f"{root}/slice={k}")
+        rows.where(F.pmod(by, F.lit(n)) == k).repartition(1).write.parquet(f"{root}/slice={k}")
     return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/slice=*")
 
 

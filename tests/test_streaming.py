@@ -1,8 +1,10 @@
 """Keyed state of papers and late first sightings, over several micro-batches in any order."""
 
+import json
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from folioscope.session import fresh_path
@@ -66,6 +68,34 @@ def test_settled_actions_are_kept_and_late_ones_count(spark):
     assert got[50, 1][:2] == ("z", "pending") and {k: v for k, v in got.items() if k[0] != 50} == by_force(rows)
 
 
+def test_a_step_reads_and_writes_its_state_once():
+    """Whatever a paper holds, one read and one write of its state a micro-batch; what is late enough settles with all before it."""
+
+    class State:
+        value, exists, reads, writes = None, False, 0, 0
+
+        @property
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def update(self, value):
+            self.value, self.exists, self.writes = value, True, self.writes + 1
+
+        def getCurrentWatermarkMs(self):
+            return 1_000
+
+    act = {"kind": "observed", "version": 1, "decision": None, "published": None, "batch": 0, "discover": None}
+    rows = [act | {"seq": k, "at": at, "digest": d} for k, at, d in ((1, 950, "a"), (2, 800, "b"), (3, 990, "a"))]
+    state, step = State(), papers.keeper(100)
+    for part in (rows[2:], rows[:2], rows):
+        got = [json.loads(x) for f in step((7,), iter([pd.DataFrame({"action": [json.dumps(a) for a in part]})]), state) for x in f["state"]]
+        settled, still = json.loads(state.value[0])
+    assert (state.reads, state.writes) == (2, 3)
+    assert [v["digest"] for v in settled] == ["b"] and [a["seq"] for a in still] == [3]
+    assert got == []  # the same rows once more end as before
+
+
 def test_late_first_sightings_are_kept(spark):
     day = lambda n: datetime(2026, 1, 1, tzinfo=timezone.utc) + timedelta(days=n)
     rows = [(0, day(0), 1), (0, day(100), 2), (1, day(101), 3), (2, day(30), 4), (2, day(0), 1), (3, day(30), 4), (3, day(30), 4), (3, day(100), 2)]
