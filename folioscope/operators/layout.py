@@ -218,18 +218,25 @@ def close_pairs(x: np.ndarray, y: np.ndarray, reach: float, block: int = 200_000
     cx, cy = cx - cx.min(), cy - cy.min()
     high = int(cy.max()) + 3
     cell = cx * high + cy
-    order = np.argsort(cell, kind="stable")
+    order = np.argsort(cell.astype(np.uint16) if cell.max() < 1 << 16 else cell, kind="stable")  # short ones by radix
     ranked = cell[order]
+    dense = int(ranked[-1]) < 16 * len(cell) + (1 << 16)  # then a table of where each cell begins
+    firsts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=int(ranked[-1]) + high + 2))]) if dense else None
     for step in (0, 1, high - 1, high, high + 1):  # itself and half of its neighbours; the others find it
-        start, end = np.searchsorted(ranked, ranked + step), np.searchsorted(ranked, ranked + step, "right")
+        if dense:
+            start, end = firsts[ranked + step], firsts[ranked + step + 1]
+        else:
+            start, end = np.searchsorted(ranked, ranked + step), np.searchsorted(ranked, ranked + step, "right")
         if not step:
             start = np.arange(1, len(order) + 1)
         n = np.maximum(end - start, 0)
         upto = np.concatenate([[0], np.cumsum(n)])
         for low in range(0, int(upto[-1]), block):
-            at = np.arange(low, min(low + block, int(upto[-1])))
-            a = np.searchsorted(upto, at, "right") - 1
-            i, j = order[a], order[start[a] + at - upto[a]]
+            last = min(low + block, int(upto[-1]))
+            a0, a1 = np.searchsorted(upto, [low, last - 1], "right") - 1
+            times = np.minimum(upto[a0 + 1 : a1 + 2], last) - np.maximum(upto[a0 : a1 + 1], low)
+            i = np.repeat(order[a0 : a1 + 1], times)
+            j = order[np.arange(low, last) + np.repeat((start - upto[:-1])[a0 : a1 + 1], times)]
             yield np.minimum(i, j), np.maximum(i, j)
 
 
@@ -240,10 +247,13 @@ def relax_near(x: np.ndarray, y: np.ndarray, r: np.ndarray, gap: float, steps: i
     reach, worst = float(2 * r.max() + gap), 0.0
     if reach <= 0:
         return x, y, 0.0
+    even, limit = r.min() == r.max(), reach**2 * (1 + 1e-9) + 1e-17
     for step in itertools.count(1):
         mx, my, worst, ratio = np.zeros(len(x)), np.zeros(len(x)), 0.0, 1.0
         for i, j in close_pairs(x, y, reach):
             dx, dy = x[j] - x[i], y[j] - y[i]
+            near = np.flatnonzero(dx * dx + dy * dy < (limit if even else (r[i] + r[j] + gap) ** 2 * (1 + 1e-9) + 1e-17))  # the only ones to overlap
+            i, j, dx, dy = i[near], j[near], dx[near], dy[near]
             d = np.hypot(dx, dy)
             over = r[i] + r[j] + gap - d
             same = np.where(d < 1e-9)[0]

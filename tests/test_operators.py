@@ -219,6 +219,18 @@ def test_pack_large_group(spark):
     assert {*zip(i[d < 7].tolist(), j[d < 7].tolist())} <= near
 
 
+def test_close_pairs_by_table_and_by_search():
+    """A far member, for whom no table of cells is made, changes neither pairs nor their order nor the blocks."""
+    xs = np.random.default_rng(5).uniform(0, 300, (900, 2))
+    far = np.concatenate([xs, [[1e9, 1e9]]])
+    for block in (7, 1000, 200_000):
+        table, search = ([[*zip(i.tolist(), j.tolist())] for i, j in layout.close_pairs(p[:, 0], p[:, 1], 9.0, block)] for p in (xs, far))
+        assert table == search and max(map(len, table)) <= block
+    i, j = np.triu_indices(900, 1)
+    near = np.hypot(*(xs[i] - xs[j]).T) < 9
+    assert {*zip(i[near].tolist(), j[near].tolist())} <= {p for b in table for p in b} and len(table) <= 5
+
+
 def test_enclosing_circles_exact(spark):
     """Support points between two of the 256 directions are not lost."""
     turn = 2 * math.pi / 256
