@@ -45,9 +45,13 @@ def snapshot_status(papers: DataFrame, observed: DataFrame, heads: DataFrame) ->
     The version expected is the larger of the observed and the catalogue's. A head at it is exact; only
     others is stale; none is missing; nothing expected is unknown.
     """
-    seen = observed.groupBy("id").agg(F.max("version").alias("seen"))
-    got = heads.groupBy("id").agg(F.collect_set("version").alias("versions"), F.max("version").alias("newest"))
-    joined = papers.join(seen, "id", "left").join(got, "id", "left")
+    # one aggregate and one join for both, so a task sorts once for them
+    none = F.lit(None)
+    told = observed.select("id", F.col("version").alias("seen"), none.alias("head"), F.lit(False).alias("is_head"))
+    told = told.unionByName(heads.select("id", none.alias("seen"), F.col("version").alias("head"), F.lit(True).alias("is_head")))
+    got = told.groupBy("id").agg(F.max("seen").alias("seen"), F.collect_set("head").alias("versions"), F.max("head").alias("newest"), F.max("is_head").alias("held"))
+    got = got.withColumn("versions", F.when(F.col("held"), F.col("versions")))
+    joined = papers.join(got, "id", "left")
     expected = F.greatest("version", "seen")
     status = (
         F.when(expected.isNull(), "unknown")
@@ -69,10 +73,10 @@ def reference_targets(status: DataFrame, accepted: DataFrame, explicit: DataFram
     """What to fetch next: gaps, accepted but unpublished versions and explicit ids; an id without a version
     gives way to the same id with one."""
     gaps = status.where("status in ('missing', 'stale')").select("id", F.col("expected").alias("version"))
-    wanted = gaps.unionByName(accepted.select("id", "version")).unionByName(explicit.select("id", "version")).distinct()
-    exact = wanted.where("version is not null")
-    loose = wanted.where("version is null").join(exact.select("id").distinct(), "id", "left_anti")
-    return exact.unionByName(loose).orderBy("id", F.coalesce("version", F.lit(-1)))
+    wanted = gaps.unionByName(accepted.select("id", "version")).unionByName(explicit.select("id", "version"))
+    # an id's versions are few; one without any gives a row without one
+    targets = wanted.groupBy("id").agg(F.collect_set("version").alias("versions")).select("id", F.explode_outer("versions").alias("version"))
+    return targets.orderBy("id", F.coalesce("version", F.lit(-1)))
 
 
 def projection_digests(papers: DataFrame, edges: DataFrame, block: int = 4096) -> DataFrame:

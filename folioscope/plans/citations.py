@@ -78,11 +78,12 @@ def versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFr
         F.sum(F.when(F.col("event_type") == F.col("lo"), 1).otherwise(0)).alias("seen"),
         F.sum(F.when(F.col("event_type") == F.col("hi"), 1).otherwise(0)).alias("head"),
     )
+    both = materialize(both, "versions")  # a row a paper; read three times, the events once
     key = F.col("c_custkey")
     catalogue = (
         table(spark, sf, "customer")
         .select(key.alias("id"), F.when(key % 7 != 0, key % 19).alias("version"))
-        .join(events.select("id").distinct(), "id", "left_semi")
+        .join(both.select("id"), "id", "left_semi")
     )
     return catalogue, both.select("id", F.col("seen").alias("version")), both.where("head > 12").select("id", F.col("head").alias("version"))
 
@@ -114,9 +115,10 @@ def mapped_citations(spark: SparkSession, sf: str) -> DataFrame:
   UNION SELECT id, version FROM catalogue WHERE id % 3 = 0 UNION SELECT id, CAST(NULL AS BIGINT) FROM catalogue WHERE id % 5 = 0)
   SELECT id, version FROM w WHERE version IS NOT NULL OR id NOT IN (SELECT id FROM w WHERE version IS NOT NULL)""")
 def missing_targets(spark: SparkSession, sf: str) -> DataFrame:
-    catalogue, _, _ = versions(spark, sf)
+    catalogue, observed, heads = versions(spark, sf)
+    catalogue = materialize(catalogue, "catalogue")  # read three times
     explicit = catalogue.where("id % 5 = 0").select("id", F.lit(None).cast("long").alias("version"))
-    return graph.reference_targets(status(spark, sf), catalogue.where("id % 3 = 0"), explicit)
+    return graph.reference_targets(graph.snapshot_status(catalogue, observed, heads), catalogue.where("id % 3 = 0"), explicit)
 
 
 @query(f"""WITH {VERSIONS}, w AS (SELECT id, expected AS version FROM status WHERE status IN ('missing', 'stale')

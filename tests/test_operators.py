@@ -358,3 +358,19 @@ def test_pack_small_groups(spark):
         assert (np.hypot(x[i] - x[j], y[i] - y[j]) >= 7 - 1e-3).all()
     still = got[got["group"] == 3].sort_values("id")
     assert still["x"].tolist() == [0.0, 100.0, 200.0, 300.0, 400.0]
+
+
+def test_targets_sort_few_times(spark):
+    """What is missing is told by a grouping of ids and a join, so that a task doesn't hold a sort for each input; a head
+    without a version still is one."""
+    papers = spark.createDataFrame([(1, 2), (2, 2), (3, None), (4, 1)], "id long, version long")
+    observed = spark.createDataFrame([(1, 3), (1, 1), (3, None)], "id long, version long")
+    heads = spark.createDataFrame([(1, 2), (2, None), (2, 1), (4, 1), (3, 5)], "id long, version long")
+    status = graph.snapshot_status(papers, observed, heads.where("id <> 2 or version is null"))
+    want = [(1, 3, "stale", 2), (2, 2, "stale", None), (3, None, "unknown", 5), (4, 1, "exact", 1)]
+    assert sorted(tuple(r) for r in status.collect()) == want
+    more = spark.createDataFrame([(1, 3), (9, 4), (9, 5), (4, None)], "id long, version long")
+    targets = graph.reference_targets(status, more, spark.createDataFrame([(9, None), (8, None)], "id long, version long"))
+    assert [tuple(r) for r in targets.collect()] == [(1, 3), (2, 2), (4, None), (8, None), (9, 4), (9, 5)]
+    plan = targets._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 2, plan
