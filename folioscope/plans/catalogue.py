@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from folioscope.functions import dates, text
 from folioscope.operators import search
 from folioscope.registry import query
-from folioscope.session import table
+from folioscope.session import ensure_workers, table
 
 NORM = "trim(regexp_replace(lower(strip_accents(coalesce({0}, ''))), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
 def docs(spark: SparkSession, sf: str) -> DataFrame:
+    ensure_workers(spark)  # texts go to Python in small batches
     return table(spark, sf, "documents")
 
 

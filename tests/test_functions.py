@@ -118,3 +118,14 @@ def test_fnv(spark):
     for c in b"a:b":
         h = ((h ^ c) * 16777619) % (1 << 32)
     assert one(spark, "a:b", numbers.fnv1a) == h
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from folioscope.plans import catalogue
+
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q in (catalogue.search_text, catalogue.search_text_variant, catalogue.search_contains):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        q(spark, "/root/testdata/sf0.001")
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
