@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from folioscope.functions import dates, text
 
-_VALUE = r"""(?:"([^"]*)"|'([^']*)')"""
-
-
 def _once(c: Column, f) -> Column:
     """``f(c)`` with ``c`` worked out once."""
     return F.get(F.transform(F.array(c), f), F.lit(0))
@@ -21,8 +18,7 @@ def _once(c: Column, f) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """A quoted attribute of an opening tag's inside; '' if there is none."""
-    pattern = rf"(?is)(?:^|\s){name}\s*=\s*{_VALUE}"
-    return F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
+    return F.regexp_extract(tag, rf"(?is)(?:^|\s){name}\s*=\s*([\"'])(.*?)\1", 2)
 
 
 def metas(html: Column) -> Column:
@@ -30,8 +26,7 @@ def metas(html: Column) -> Column:
     tags = F.regexp_extract_all(html, F.lit(r"(?is)<meta\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"), F.lit(1))
 
     def one(tag: Column) -> Column:
-        name = attribute(tag, "name")
-        named = F.when(name != "", name).otherwise(attribute(tag, "property"))
+        named = _once(attribute(tag, "name"), lambda name: F.when(name != "", name).otherwise(attribute(tag, "property")))
         return F.struct(F.lower(named).alias("name"), text.collapse_spaces(text.decode_entities(attribute(tag, "content"))).alias("content"))
 
     return F.transform(tags, one)
@@ -45,7 +40,7 @@ def labelled(html: Column, css_class: str, label: str) -> Column:
     """The text of the first element of a class, without its label; null if there is none."""
     element = rf"(?is)<(\w+)\b[^>]*\bclass\s*=\s*[\"'][^\"'>]*\b{css_class}\b[^\"'>]*[\"'][^>]*>(.*?)</\1>"
     said = F.regexp_replace(text.visible_text(F.regexp_extract(html, element, 2)), rf"(?i)^{label}\s*:\s*", "")
-    return F.when(html.rlike(element) & (said != ""), said)
+    return _once(said, lambda x: F.when(x != "", x))  # no element gives none
 
 
 def history(html: Column) -> Column:

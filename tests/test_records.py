@@ -62,3 +62,11 @@ def test_feeds(spark, tmp_path):
     (tmp_path / "b.xml").write_text(docs[1])
     with pytest.raises(ValueError, match="b.xml: empty feed"):
         feeds.feed_files(spark, str(tmp_path))
+
+
+def test_attributes_are_read_by_one_pattern(spark):
+    tags = [(' name="a" content=\'x "y"\'', 'x "y"'), (" content=\"it's\"", "it's"), (' content="" name="b"', ""), (' content="open name=\'c\'', ""), (" data-content='n' CONTENT = 'p\nq'", "p\nq")]
+    one = abstracts.attribute(F.col("t"), "content")
+    assert str(one).count("regexp_extract") == 1
+    got = spark.createDataFrame([(t,) for t, _ in tags], "t string").select(one)
+    assert [r[0] for r in got.collect()] == [want for _, want in tags]
